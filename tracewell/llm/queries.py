@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import fertility, html_density, nbsvm, shards, simhash
+from tracewell.llm import fertility, html_density, linededup, nbsvm, shards, simhash, warc
 from tracewell.scratch import table
 
 
@@ -34,12 +34,42 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "script")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_repeated_chunks(table(spark, sf_dir, "documents"), count_cols=True)
+    return kept.select("doc_id", "n_chunks", "n_removed", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op5_sharding": op5_sharding,
     "op6_html": op6_html,
+    "op7_warc": op7_warc,
     "op8_rules": op8_rules,
+    "op9_lines": op9_lines,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM least THEN least END AS refers_to
+        FROM f""",
+    "op9_lines": """
+        WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+        h AS (SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
+        r AS (SELECT *, list_transform(hs, lambda x, i: (x + 31 * CASE WHEN i > 1 THEN hs[i - 1] ELSE 0 END) % 2) AS rs FROM h),
+        e AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR (i > 1 AND rs[i] = 0 AND rs[i - 1] <> 0)) AS ends FROM r),
+        c AS (SELECT doc_id, text, unnest(list_transform(ends, lambda x, i: {'pos': i, 'n': x - CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END,
+                     't': array_to_string(ls[1 + CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END : x], chr(10))})) AS s FROM e),
+        f AS (SELECT doc_id, text, s.pos AS pos, s.t AS t, s.n > 1 AND row_number() OVER (PARTITION BY s.t, s.n > 1 ORDER BY doc_id, s.pos) > 1 AS gone FROM c),
+        g AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed,
+                     coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id)
+        SELECT doc_id, n_chunks, n_removed, length(kept) AS n_chars, sha256(kept) AS text_sha256 FROM g""",
+}
