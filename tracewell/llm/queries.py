@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import fertility, html_density, linededup, nbsvm, shards, simhash, warc
+from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, shards, simhash, warc
 from tracewell.scratch import table
 
 
@@ -21,6 +21,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.balanced_shards(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_html": op6_html,
     "op7_warc": op7_warc,
@@ -54,6 +60,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i : i + 9], ' '))) AS t,
+                      least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+        dw AS (SELECT doc_id, k.n AS n, unnest(list_transform(range(1, len(w) - k.n + 2), lambda i: {'i': i, 't': array_to_string(w[i : i + k.n - 1], ' ')})) AS s
+               FROM d, (SELECT DISTINCT n FROM bw) k WHERE len(w) >= k.n),
+        m AS (SELECT DISTINCT doc_id, item_id, s.i AS i, dw.n AS n FROM dw JOIN bw ON dw.s.t = bw.t AND dw.n = bw.n),
+        h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+        g AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)""",
     "op7_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
