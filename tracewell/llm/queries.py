@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, shards, simhash, warc
+from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, shards, simhash, unigram, warc
 from tracewell.scratch import table
 
 
@@ -21,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -51,6 +55,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_pieces": op3_pieces,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_html": op6_html,
