@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, shards, simhash, unigram, warc
+from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, pii, shards, simhash, unigram, warc
 from tracewell.scratch import table
 
 
@@ -52,6 +52,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_chunks", "n_removed", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_rules": op8_rules,
     "op9_lines": op9_lines,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
