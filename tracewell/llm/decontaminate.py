@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import word_blocks
+from tracewell.llm.text import fresh, word_blocks
 from tracewell.scratch import written
 
 WINDOW = 10
@@ -186,5 +186,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without those that hold a benchmark window; rows that share a doc_id with such go as well."""
-    hit = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    (key,) = fresh(docs.columns, "key")
+    hit = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.text import fresh
+
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
@@ -199,6 +201,6 @@ def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             texts = [extract(h) if h else "" for h in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*others, "text"])
 
-    kept = pages.select(*others)
+    kept = pages.select(*(F.col(f"`{c}`") for c in others))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "text string"])
-    return pages.select(*others, F.col(html_col).alias("_html")).mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    return pages.select(*(F.col(f"`{c}`") for c in others), F.col(html_col).alias(fresh(others, "html")[0])).mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))

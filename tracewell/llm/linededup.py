@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.text import fresh
 from tracewell.scratch import written
 
 #: A line's rolling hash covers it and the WINDOW - 1 lines before it.
@@ -19,45 +20,54 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """array<struct<text, lines, hash>>; the texts joined by \\n give the text. Null for a null text.
+    """array<struct<text, many, hash>>: the chunks of a text, in a form that `unflagged` turns back, whether they have
+    several lines, and their hash. Null for a null text.
 
     A chunk ends after a line whose rolling hash is 0 modulo divisor while that of the line before isn't, so all
-    chunks but a text's last have two lines or more, and boundaries move with their lines.
+    chunks but a text's last have two lines or more, and boundaries move with their lines. The work is linear in the
+    text: lines are joined again with a sign before each but the first, b where it begins a chunk and c where it goes
+    on with one, and split before the b.
     """
 
     def line(x: Column) -> Column:
         return F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
 
     def rolled(hashes: Column) -> Column:
-        def one(h: Column, i: Column) -> Column:
-            total = h
+        def one(x: Column, i: Column) -> Column:
+            total = x
             for k in range(1, window):
-                total = total + F.when(i >= k, F.get(hashes, i - k)).otherwise(0) * 31**k
+                total = total + F.when(i >= k, F.get(hashes, F.greatest(i - k, F.lit(0)))).otherwise(0) * 31**k
             return F.pmod(total, F.lit(divisor))
 
         return F.transform(hashes, one)
 
-    def ends(roll: Column) -> Column:
-        at = F.transform(roll, lambda r, i: F.when((i == F.size(roll) - 1) | (r == 0) & (i > 0) & (F.get(roll, F.greatest(i - 1, F.lit(0))) != 0), i + 1))
-        return F.filter(at, lambda x: x.isNotNull())
+    def flagged(lines: Column, roll: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            ended = (i > 1) & (F.get(roll, F.greatest(i - 1, F.lit(0))) == 0) & (F.get(roll, F.greatest(i - 2, F.lit(0))) != 0)
+            return F.concat(F.when(i == 0, "").when(ended, "b").otherwise("c"), x)
 
-    def cut(lines: Column, hashes: Column, stops: Column) -> Column:
-        def one(end: Column, i: Column) -> Column:
-            start = F.when(i == 0, 0).otherwise(F.get(stops, F.greatest(i - 1, F.lit(0))))
-            return F.struct(F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("text"), (end - start).alias("lines"), F.xxhash64(F.slice(hashes, start + 1, end - start)).alias("hash"))
+        return F.array_join(F.transform(lines, one), "\n")
 
-        return F.transform(stops, one)
+    def part(x: Column) -> Column:
+        return F.struct(x.alias("text"), F.contains(x, F.lit("\n")).alias("many"), F.xxhash64(x).alias("hash"))
 
-    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, line), lambda hashes: let(ends(rolled(hashes)), lambda stops: cut(lines, hashes, stops))))
+    def parts(lines: Column) -> Column:
+        return let(F.transform(lines, line), lambda hashes: let(rolled(hashes), lambda roll: F.transform(F.split(flagged(lines, roll), "\nb", -1), part)))
+
+    return let(F.split(text, "\n", -1), parts)
+
+
+def unflagged(parts: Column) -> Column:
+    """The text of chunks that stand one after the other."""
+    return F.regexp_replace(F.array_join(parts, "\nb"), "\n[bc]", "\n")
 
 
 def _keys(cs: Column) -> Column:
     return F.transform(cs, lambda c, i: F.concat_ws(":", i, c["hash"]))
 
 
-def _repeated(cs: Column) -> Column:
-    """The chunks whose keys are in _again."""
-    return F.transform(F.array_intersect(_keys(cs), "_again"), lambda k: F.get(cs, F.substring_index(k, ":", 1).cast("int")))
+def _place(k: Column) -> Column:
+    return F.substring_index(k, ":", 1).cast("int")
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_cols: bool = False) -> DataFrame:
@@ -72,38 +82,38 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     others are compared (least and greatest text under a hash are equal), and under a hash with different texts
     nothing is removed. A chunk in a third of all texts is one row of each task before it is shuffled.
     """
-    own = docs.select(F.col(id_col).alias("_id"), F.posexplode(chunks(F.col(text_col))).alias("_at", "c"))
-    light = own.where("c.lines > 1").select("_id", "_at", F.col("c.hash").alias("h"))
-    light = written(light, "chunks")
-    first = light.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_at")).alias("first")).where("n > 1")
-    again = light.join(first, "h").select("_id", F.concat_ws(":", "_at", "h").alias("k"), (~F.struct("_id", "_at").eqNullSafe(F.col("first"))).alias("later"))
-    marks = again.groupBy("_id").agg(F.collect_set("k").alias("_again"), F.collect_set(F.when(F.col("later"), F.col("k"))).alias("_later"))
-
-    plain = docs.withColumns({"_id0": F.col(id_col)}) if "_id" in docs.columns else docs.withColumn("_id0", F.col(id_col))
-    marks = marks.withColumnRenamed("_id", "_id1")
-    met = written(plain.join(marks, F.col("_id0").eqNullSafe(F.col("_id1")), "left").drop("_id0", "_id1"), "marked")
-
-    found = met.where("_again IS NOT NULL").select(F.explode(let(chunks(F.col(text_col)), _repeated)).alias("c")).select(F.col("c.hash").alias("h"), F.col("c.text").alias("t"))
-    unlike = written(found.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h"), "unlike")
-    later = F.coalesce("_later", F.array().cast("array<string>"))
+    own = docs.select(F.col(id_col).alias("id"), F.posexplode(chunks(F.col(text_col))).alias("at", "c"))
+    light = written(own.where("c.many").select("id", "at", F.col("c.hash").alias("h")), "chunks")
+    first = light.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
+    seen = light.join(first, "h").select("id", F.concat_ws(":", "at", "h").alias("k"), (~F.struct("id", "at").eqNullSafe(F.col("first"))).alias("later"))
+    key, again, later, rest = fresh(docs.columns, "key", "again", "later", "rest")
+    marks = seen.groupBy(F.col("id").alias(key)).agg(F.collect_set("k").alias(again), F.collect_set(F.when(F.col("later"), F.col("k"))).alias(later))
+    met = written(docs.join(marks, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key), "marked")
+
+    def repeated(cs: Column) -> Column:
+        return F.transform(F.array_intersect(_keys(cs), again), lambda k: F.get(cs, _place(k)))
+
+    found = met.where(F.col(again).isNotNull()).select(F.explode(let(chunks(F.col(text_col)), repeated)).alias("c")).select("c.hash", "c.text")
+    unlike = written(found.groupBy("hash").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("hash"), "unlike")
+    gone = F.coalesce(later, F.array().cast("array<string>"))
     if not unlike.isEmpty():
-        one = unlike.agg(F.collect_set(F.col("h").cast("string")).alias("_unlike"))
-        met = met.crossJoin(F.broadcast(one))  # one row: the hashes, if any, under which texts differ
-        later = F.filter(later, lambda k: ~F.array_contains("_unlike", F.substring_index(k, ":", -1)))
-
-    text = F.col(text_col)
+        # Hashes under which texts differ: none but by chance in very many chunks, so a handful.
+        apart = [r[0] for r in unlike.collect()]
+        gone = F.filter(gone, lambda k: ~F.substring_index(k, ":", -1).cast("long").isin(apart))
 
-    def rest(cs: Column) -> Column:
+    def left(cs: Column) -> Column:
         def build(kept: Column) -> Column:
-            joined = F.array_join(F.transform(kept, lambda k: F.get(cs, F.substring_index(k, ":", 1).cast("int"))["text"]), "\n")
+            joined = F.when(F.size(kept) < F.size(cs), unflagged(F.transform(kept, lambda k: F.get(cs, _place(k))["text"])))
             return F.struct(joined.alias("text"), F.size(cs).alias("n"), F.size(kept).alias("kept"))
 
-        return let(F.array_except(_keys(cs), later), build)
+        return let(F.array_except(_keys(cs), gone), build)
 
-    out = met.withColumn("_rest", let(chunks(text), rest))
-    gone = F.coalesce(F.col("_rest.n") - F.col("_rest.kept"), F.lit(0))
-    new = {text_col: F.when(gone > 0, F.col("_rest.text")).otherwise(text)}
-    cols = [(new[c].alias(c) if c in new else F.char_length(new[text_col]).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns]
+    out = met.withColumn(rest, let(chunks(F.col(text_col)), left))
+    n_gone = F.coalesce(F.col(f"{rest}.n") - F.col(f"{rest}.kept"), F.lit(0))
+    new = {text_col: F.when(n_gone > 0, F.col(f"{rest}.text")).otherwise(F.col(text_col))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length(new[text_col]).cast(docs.schema["n_chars"].dataType)
+    cols = [new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns]
     if count_cols:
-        cols += [F.coalesce("_rest.n", F.lit(0)).cast("long").alias("n_chunks"), gone.cast("long").alias("n_removed")]
+        cols += [F.coalesce(f"{rest}.n", F.lit(0)).cast("long").alias("n_chunks"), n_gone.cast("long").alias("n_removed")]
     return out.select(*cols)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import word_blocks
+from tracewell.llm.text import fresh, word_blocks
 from tracewell.operators.components import connected_components
 from tracewell.scratch import written
 
@@ -209,8 +209,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     only if their whole group has no doc_id, all of them.
     """
     found = written(simhash_components(docs, id_col, text_col), "components")
-    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
-    lone = found.where("doc_id IS NULL AND component_id IS NULL").limit(1).count() > 0
-    kept = docs.join(first, docs[id_col].cast("long") == F.col("_id"))
-    out = kept.where("NOT _again").select(*docs.columns).unionByName(kept.where("_again").dropDuplicates(["_id"]).select(*docs.columns))
+    key, again = fresh(docs.columns, "key", "again")
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg((F.count("*") > 1).alias(again))
+    lone = not found.where("doc_id IS NULL AND component_id IS NULL").isEmpty()
+    kept = docs.join(first, F.col(id_col).cast("long") == F.col(key))
+    out = kept.where(~F.col(again)).drop(key, again).unionByName(kept.where(again).dropDuplicates([key]).drop(key, again))
     return out.unionByName(docs.where(F.col(id_col).isNull())) if lone else out

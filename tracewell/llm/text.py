@@ -18,3 +18,14 @@ def word_blocks(data: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
             end = gap.start() if gap else n
         yield data[start:end].split()
         start = end
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from all columns."""
+    used, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
