@@ -57,6 +57,8 @@ def entity_features(events: DataFrame, transfers: DataFrame, hits: DataFrame, ho
     tiers = hits.groupBy("entity_id").agg(F.count(F.when(F.col("tier") == "STRONG", 1)).alias("strong"), F.count(F.when(F.col("tier") == "MEDIUM", 1)).alias("medium"))
     calls = max_in_window(events.where("event_type = 'CALL'"), 60).withColumnRenamed("most", "max_calls_hour")
     parts = [base, money, fan_in, fan_out, tiers, calls, max_gap_days(txns).withColumnRenamed("gap_days", "max_dormancy_days"), rapid_forward(flows, hold_minutes).withColumnRenamed("forwarded", "max_rapid_forward")]
-    f = reduce(lambda a, b: a.join(b, "entity_id", "full_outer"), parts).where("entity_id IS NOT NULL")
+    # Each part has an entity once, so one shuffle of their union brings them together.
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).where("entity_id IS NOT NULL")
+    f = both.groupBy("entity_id").agg(*(F.max(c).alias(c) for c in both.columns if c != "entity_id"))
     f = f.fillna(0, [c for c in f.columns if c not in ("entity_id", "from_transfers_only")]).fillna(False, ["from_transfers_only"])
     return f.withColumn("night_ratio", F.when(F.col("total_events") > 0, F.col("night_events") / F.col("total_events")).otherwise(0.0)).withColumn("inout_ratio", F.when(F.col("total_in") != 0, F.col("total_out") / F.col("total_in")).otherwise(0.0))

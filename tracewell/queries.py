@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars
-from tracewell.operators import correlate, entities, features, graph, ledger, rules, search, transfers
-from tracewell.plans.adapter import EVENTS_SQL, canonical_events, micros
+from tracewell.operators import anomaly, correlate, entities, features, graph, ledger, reports, rules, search, similar, transfers
+from tracewell.plans.adapter import EVENTS_SQL, canonical_events
 from tracewell.plans.adapter import ledger as ledger_rows
 from tracewell.scratch import table, written
+from tracewell.sources import grids, html_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -237,6 +238,33 @@ def a01_entity_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- rules and score
 
+_FLAGS_SQL = f"""WITH {_hits_sql(60)}, tr AS (SELECT entity_id AS f, cp AS t, amount, asset, ts_start AS ts, ref_no FROM ev WHERE direction = 'DEBIT' AND entity_id <> cp),
+    own AS (SELECT DISTINCT entity_id FROM ev WHERE event_type = 'TRANSACTION'),
+    fl AS (SELECT entity_id, asset, direction, amount, ts_start AS ts FROM ev WHERE event_type = 'TRANSACTION'
+           UNION ALL SELECT f, asset, 'DEBIT', amount, ts FROM tr WHERE f NOT IN (SELECT entity_id FROM own) UNION ALL SELECT t, asset, 'CREDIT', amount, ts FROM tr WHERE t NOT IN (SELECT entity_id FROM own)),
+    fw AS (SELECT entity_id, round(max(least(1.0, out / amount)), 3) AS forwarded FROM (SELECT *, sum(CASE direction WHEN 'DEBIT' THEN amount ELSE 0 END) OVER (PARTITION BY entity_id, asset ORDER BY ts
+           RANGE BETWEEN CURRENT ROW AND INTERVAL 1440 MINUTES FOLLOWING) AS out FROM fl) x WHERE direction = 'CREDIT' AND amount > 0 GROUP BY entity_id),
+    fi AS (SELECT t AS entity_id, count(DISTINCT f) AS fan_in FROM tr GROUP BY 1),
+    co AS (SELECT entity_id, count(*) FILTER (tier = 'STRONG') AS strong, count(*) AS n FROM hits GROUP BY 1),
+    cb AS (SELECT entity_id, max(n) AS most FROM (SELECT entity_id, count(*) OVER (PARTITION BY entity_id ORDER BY ts_start RANGE BETWEEN INTERVAL 60 MINUTES PRECEDING AND CURRENT ROW) AS n FROM ev WHERE event_type = 'CALL') x GROUP BY 1),
+    da AS (SELECT entity_id, max(g) AS gap FROM (SELECT entity_id, (epoch_us(ts_start) - epoch_us(lag(ts_start) OVER (PARTITION BY entity_id ORDER BY ts_start))) / 86400000000.0 AS g FROM ev WHERE event_type = 'TRANSACTION') x GROUP BY 1),
+    g AS (SELECT f AS s, t AS d, arg_max(epoch_us(ts), ref_no) AS t FROM tr WHERE amount >= 150 GROUP BY 1, 2),
+    cy AS (SELECT [a.s, a.d] AS p FROM g a JOIN g b ON b.s = a.d AND b.d = a.s WHERE a.s < a.d
+      UNION ALL SELECT [a.s, a.d, b.d] FROM g a JOIN g b ON b.s = a.d JOIN g c ON c.s = b.d AND c.d = a.s WHERE a.s < a.d AND a.s < b.d AND a.d <> b.d
+      UNION ALL SELECT [a.s, a.d, b.d, c.d] FROM g a JOIN g b ON b.s = a.d JOIN g c ON c.s = b.d JOIN g e ON e.s = c.d AND e.d = a.s WHERE a.s < a.d AND a.s < b.d AND a.s < c.d AND a.d <> b.d AND a.d <> c.d AND b.d <> c.d),
+    la AS (SELECT DISTINCT unnest([a.s, a.d, b.d, c.d]) AS entity_id FROM g a JOIN g b ON b.s = a.d AND b.d <> a.s AND b.t - a.t <= 172800000000 JOIN g c ON c.s = b.d AND c.d <> a.s AND c.d <> a.d AND c.t - a.t <= 172800000000),
+    flags AS (SELECT entity_id, 'rapid_in_out' AS rule, 0.2::DOUBLE AS weight, forwarded::DOUBLE AS value FROM fw WHERE forwarded >= 0.8
+      UNION ALL SELECT entity_id, 'mule_account', 0.15, forwarded FROM fw JOIN fi USING (entity_id) WHERE fan_in >= 5 AND forwarded >= 0.7
+      UNION ALL SELECT entity_id, 'call_transfer_coincidence', CASE WHEN strong > 0 THEN 0.15 ELSE 0.075 END, n FROM co
+      UNION ALL SELECT entity_id, 'comm_burst', 0.1, most FROM cb WHERE most >= 2
+      UNION ALL SELECT entity_id, 'dormant_activation', 0.1, gap FROM da WHERE gap >= 20
+      UNION ALL SELECT entity_id, 'circular_flow', 0.15, count(*) FROM (SELECT unnest(p) AS entity_id FROM cy) x GROUP BY 1
+      UNION ALL SELECT entity_id, 'layering', 0.15, 1 FROM la),
+    ids AS (SELECT entity_id FROM ev WHERE entity_id IS NOT NULL UNION SELECT entity_id FROM fi UNION SELECT f FROM tr UNION SELECT entity_id FROM co),
+    sc AS (SELECT entity_id, round(coalesce(sum(weight), 0), 6) AS raw_weight, count(rule) AS typologies_fired FROM ids LEFT JOIN flags USING (entity_id) GROUP BY entity_id),
+    scores AS (SELECT *, round(100 * (0.7 * least(1.0, raw_weight)), 1) AS risk_score, raw_weight > 1 AS saturated, false AS ml_scored FROM sc),
+    banded AS (SELECT *, CASE WHEN risk_score BETWEEN 70 AND 100 THEN 'high' WHEN risk_score BETWEEN 40 AND 69 THEN 'medium' ELSE 'low' END AS band FROM scores)"""
+
 _T = rules.Thresholds(rapid_minutes=1440, mule_minutes=1440, mule_fan_in=5, calls_per_hour=2, dormant_days=20)
 
 
@@ -251,29 +279,29 @@ def _flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return f, written(rules.run_all(parts), "flags")
 
 
-@query()
+@query(f"{_FLAGS_SQL} SELECT entity_id, rule, weight, round(value, 4) AS value FROM flags")
 def r12_rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir)[1].select("entity_id", "rule", "weight", F.round("value", 4).alias("value"))
 
 
-@query()
+@query(f"{_FLAGS_SQL} SELECT entity_id, risk_score, band, typologies_fired, raw_weight, saturated, ml_scored FROM banded")
 def r14_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, flags = _flags(spark, sf_dir)
     return rules.score(f, flags)
 
 
-@query()
+@query(f"{_FLAGS_SQL} SELECT entity_id, risk_score, band, typologies_fired, raw_weight, saturated, ml_scored FROM banded ORDER BY risk_score DESC, typologies_fired DESC, raw_weight DESC, entity_id LIMIT 20")
 def l01_risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, flags = _flags(spark, sf_dir)
     return rules.ranked(rules.score(f, flags), 20)
 
 
-@query()
+@query(f"""{_FLAGS_SQL} SELECT entity_id, {", ".join(f"round(max(CASE rule WHEN '{r}' THEN weight END) * 100, 2) AS {r}" for r in sorted(rules.Thresholds().weights))} FROM flags GROUP BY entity_id""")
 def a18_heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.heat_map(_flags(spark, sf_dir)[1], sorted(_T.weights))
 
 
-@query()
+@query(f"{_FLAGS_SQL} SELECT rule, max(weight) AS max_weight, count(DISTINCT entity_id) AS entities, count(*) AS evidence FROM flags GROUP BY rule")
 def a19_rule_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_rollup(_flags(spark, sf_dir)[1])
 
@@ -430,3 +458,103 @@ def a17_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w07_relative_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = search.Search(window=search.Window("last", -3, 3, "TRANSACTION"), limit=100)
     return search.run(canonical_events(spark, sf_dir), s).select("event_id", "event_type", "ts_start")
+
+
+# ---------------------------------------------------------------- messy sources
+
+
+@query("SELECT url, title, links FROM (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title, len(regexp_extract_all(html, '<li>')) AS links FROM pages) x")
+def s10_html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select("url", F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(<li>)"), 1)).cast("long").alias("links"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS rows FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 2")
+def s10_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tables.tables(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("rows"))
+
+
+_GRID = "grid AS (SELECT doc_id AS file, (unnest(g)).r::INT AS row, (unnest(g)).c AS cells FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: {'r': i - 1, 'c': string_split(x, ' ')}) AS g FROM documents WHERE text IS NOT NULL) x)"
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("row", "line"))
+    return lines.select("file", "row", F.split("line", " ", -1).alias("cells"))
+
+
+@query(f"""WITH {_GRID}, w AS (SELECT file, row, len(cells) AS width FROM grid), n AS (SELECT file, width, count(*) AS n FROM w GROUP BY 1, 2), c AS (SELECT file, max({{'n': n, 'w': width}}).w AS common FROM n GROUP BY 1),
+    k AS (SELECT w.file, row, width, width IS DISTINCT FROM lag(width) OVER (PARTITION BY w.file ORDER BY row) AS new FROM w JOIN c ON c.file = w.file WHERE width >= 0.6 * common),
+    r AS (SELECT *, sum(new::INT) OVER (PARTITION BY file ORDER BY row) AS run FROM k) SELECT file, run::BIGINT AS run, width, min(row) AS first_row, max(row) AS last_row, count(*) AS rows FROM r GROUP BY file, run, width""")
+def g05_width_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.width_runs(_grid(spark, sf_dir))
+
+
+@query("""SELECT * FROM (VALUES ('a', 'integer'), ('b', 'amount'), ('c', 'text'), ('d', 'date')) t(col, kind)""")
+def g17_column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    wide = c.select(F.col("c_custkey").cast("string").alias("a"), F.format_string("%.2f", "c_acctbal").alias("b"), F.col("c_name").alias("c"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "dd/MM/yyyy").alias("d"))
+    return grids.column_types(wide.unpivot([], ["a", "b", "c", "d"], "col", "value")).select("col", "kind")
+
+
+@query("SELECT 'c_custkey' AS col, true AS serial UNION ALL SELECT 'c_nationkey', true UNION ALL SELECT 'balance', false")
+def g18_serial_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.col("c_nationkey").cast("string").alias("c_nationkey"), (F.abs("c_acctbal") * 1000).cast("long").cast("string").alias("balance"))
+    return grids.serial_columns(c.unpivot([], ["c_custkey", "c_nationkey", "balance"], "col", "value"))
+
+
+@query("""SELECT class, count(*) AS documents FROM (SELECT doc_id, unnest(CASE WHEN len(k) = 0 THEN ['unclassified'] ELSE k END) AS class FROM (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)licen[sc]ed? under|rights reserved') THEN 'licence' END,
+    CASE WHEN regexp_matches(text, 'token = "[0-9a-f]+') THEN 'secret' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]') THEN 'contact' END, CASE WHEN regexp_matches(text, '[A-Z]{3,}!!') THEN 'shouting' END,
+    CASE WHEN regexp_matches(text, ' [|] ') THEN 'table' END], lambda x: x IS NOT NULL) AS k FROM documents) x) y GROUP BY class""")
+def f38_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = reports.document_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("documents"))
+
+
+# ---------------------------------------------------------------- scores, similarity and reports
+
+
+@query()
+def r13_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = canonical_events(spark, sf_dir)
+    f = features.entity_features(e, _transfers(spark, sf_dir), correlate.correlate(e, 60)).where("total_events > 0")
+    return anomaly.isolation_scores(f, ["total_in", "total_out", "txn_count", "fan_in", "fan_out", "night_ratio", "inout_ratio", "strong", "medium", "max_calls_hour", "max_dormancy_days", "max_rapid_forward"])
+
+
+@query()
+def j14_similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 pairs of part names that look most alike: a top-k report."""
+    got = similar.similar_labels(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    return got.orderBy(F.desc("similarity"), "a", "b").limit(50)
+
+
+@query()
+def a20_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, flags = _flags(spark, sf_dir)
+    tests = {"rapid_in_out": F.col("total_in") > 0, "mule_account": F.col("fan_in") >= 5, "call_transfer_coincidence": (F.col("strong") > 0) | (F.col("medium") > 0), "comm_burst": F.col("max_calls_hour") > 0, "dormant_activation": F.col("txn_count") > 1, "structuring": F.col("total_in") >= 900_000}
+    return reports.eligibility(f, flags, tests, set(tests) - {"comm_burst"})
+
+
+@query(f"WITH {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY ts_start::DATE, ts_start, event_id) - 1 AS place, count(*) OVER () AS c FROM ev) SELECT event_id, ts_start FROM n WHERE place % ceil(c / 500)::BIGINT = 0")
+def w08_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.downsample(canonical_events(spark, sf_dir), 500, ["ts_start", "event_id"]).select("event_id", "ts_start")
+
+
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT entity_id, list_sort(list_distinct(list(cp::VARCHAR))) AS ids FROM ev WHERE event_type = 'CALL' AND cp IS NOT NULL GROUP BY 1)
+    SELECT entity_id, array_to_string(ids[1:4], ', ') || CASE WHEN len(ids) > 4 THEN ' (+' || (len(ids) - 4) || ' more)' ELSE '' END AS subject FROM s""")
+def p09_subject_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = canonical_events(spark, sf_dir).where("event_type = 'CALL' AND counterparty_entity_id IS NOT NULL")
+    return c.groupBy("entity_id").agg(F.collect_set(F.col("counterparty_entity_id").cast("string")).alias("ids")).select("entity_id", reports.subject_line(F.col("ids")).alias("subject"))
+
+
+@query("""SELECT event_type AS source_file, count(*) AS rows, count(*) FILTER (event_id % 3 = 0) AS rejected FROM events GROUP BY 1""")
+def a13_reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_file")).agg(F.count("*").alias("rows"), F.count(F.when(F.col("event_id") % 3 == 0, 1)).alias("rejected"))
+    return reports.reject_report(r)
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT entity_id, entity_id % 7 AS own, 'member' AS how FROM (SELECT DISTINCT entity_id FROM ev) x WHERE entity_id IN (SELECT cp FROM ev WHERE event_type = 'CALL')""")
+def u06_ego_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that someone called: a semi join of a graph's nodes with its edges."""
+    e = canonical_events(spark, sf_dir)
+    called = e.where("event_type = 'CALL'").select(F.col("counterparty_entity_id").alias("entity_id"))
+    return e.select("entity_id").distinct().join(called, "entity_id", "left_semi").select("entity_id", (F.col("entity_id") % 7).alias("own"), F.lit("member").alias("how"))
