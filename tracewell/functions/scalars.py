@@ -76,7 +76,7 @@ def timestamp(c: Column, source_tz: str = "Asia/Kolkata", zone: str = "Asia/Kolk
 def call_direction(c: Column) -> Column:
     """OUT words go before IN words, since a word such as ROAMING holds IN; OUT where neither stands."""
     u = F.upper(c)
-    return F.when(u.rlike("OUT|MOC|SMS-O|ORIG"), "OUT").when(u.rlike("IN|MTC|TERM"), "IN").otherwise("OUT")
+    return F.when(u.rlike("MOC|SMS-O|OUT"), "OUT").when(u.rlike("MTC|SMS-T|IN"), "IN").otherwise("OUT")
 
 
 def bank_movement(debit: Column, credit: Column, signed: Column) -> Column:
