@@ -85,6 +85,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = docs.select(F.col(id_col).alias("id"), F.posexplode(chunks(F.col(text_col))).alias("at", "c"))
     light = written(own.where("c.many").select("id", "at", F.col("c.hash").alias("h")), "chunks")
     first = light.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
+    first = written(first, "first")  # read back, both sides of the join below can be split where a hash is very common
     seen = light.join(first, "h").select("id", F.concat_ws(":", "at", "h").alias("k"), (~F.struct("id", "at").eqNullSafe(F.col("first"))).alias("later"))
     key, again, later, rest = fresh(docs.columns, "key", "again", "later", "rest")
     marks = seen.groupBy(F.col("id").alias(key)).agg(F.collect_set("k").alias(again), F.collect_set(F.when(F.col("later"), F.col("k"))).alias(later))

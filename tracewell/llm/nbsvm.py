@@ -89,14 +89,17 @@ def features(text: bytes, coder: Coder, bits: int) -> np.ndarray:
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int, alpha: float) -> np.ndarray:
     """log of the ratio of each feature's smoothed share of class 1 to its share of class 0."""
-    p, q = (np.bincount(np.concatenate([*(r for r, v in zip(rows, y, strict=True) if v == k), np.zeros(0, np.int64)]), minlength=1 << bits) + alpha for k in (1, 0))
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    counts = np.full((2, 1 << bits), alpha)
+    for r, v in zip(rows, y, strict=True):
+        counts[v, r] += 1  # a row has each feature once
+    share = np.log(counts / counts.sum(1, keepdims=True))
+    return share[1] - share[0]
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of the L1-loss linear SVM: one dual variable at a time, in a new random order each epoch."""
     w, b, dual = np.zeros(size), 0.0, np.zeros(len(rows))
-    norm = np.array([float(v @ v) for v in values]) + 1.0
+    norm = np.array([float(v.astype(np.float64) @ v) for v in values]) + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
@@ -161,7 +164,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> Model:
     learn = np.flatnonzero(~aside)
     own, v = [rows[i] for i in learn], y[learn]
     ratio = log_count_ratios(own, v, s.bits, s.alpha)
-    values = [ratio[r] / max(float(np.sqrt(ratio[r] @ ratio[r])), 1e-9) for r in own]
+    values = [(ratio[r] / max(float(np.sqrt(ratio[r] @ ratio[r])), 1e-9)).astype(np.float32) for r in own]
     share = v.mean()
     c = s.c * np.where(v == 1, 0.5 / share, 0.5 / (1 - share))
     w, b = dual_coordinate_descent(own, values, np.where(v == 1, 1.0, -1.0), size, c, s.epochs, s.seed)
@@ -194,10 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col), "UTF-8").alias("b")).join(F.broadcast(ids), "_id").select("_id", "y", "b")
     got = texts.mapInArrow(run, "id long, y int, f binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
-    rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in got.column("f").to_pylist()]
-    order = np.random.default_rng(s.seed).permutation(len(rows))
-    y = got.column("y").to_numpy()
-    return fit([rows[i] for i in order], np.asarray(y)[order].astype(np.int64), s)
+    order = np.random.default_rng(s.seed).permutation(got.num_rows)
+    y = got.column("y").to_numpy()[order].astype(np.int64)
+    rows = [np.frombuffer(f, np.int32) for f in got.column("f").to_pylist()]
+    del got
+    return fit([rows[i] for i in order], y, s)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ class Vocabulary:
     no piece begins with weighs 10 * 2 ** 16 below the least piece and becomes the bytes of its UTF-8 form.
     """
 
-    def __init__(self, model: str, cache: int = 200_000) -> None:
+    def __init__(self, model: str, cache: int = 400_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -51,7 +51,12 @@ class Vocabulary:
         self.unknown_id = sp.unk_id()
         self.unknown = min(w for _, w in self.pieces.values()) - 10 * (1 << 16)
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        self.trie: dict = {}
+        for p, (_, w) in self.pieces.items():
+            node = self.trie
+            for sign in p:
+                node = node.setdefault(sign, {})
+            node[None] = w
         self.outputs = [sp.IdToPiece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in self.of_byte.items():
             self.outputs[i] = bytes([b])
@@ -70,13 +75,13 @@ class Vocabulary:
 
     def starting(self, text: str, at: int) -> list[tuple[int, int]]:
         """(length, weight) of the pieces at a place; a lone sign, unknown to the vocabulary, too."""
-        out, pieces, prefixes = [], self.pieces, self.prefixes
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            if part in pieces:
-                out.append((end - at, pieces[part][1]))
-            if part not in prefixes:
+        out, node = [], self.trie
+        for length, sign in enumerate(text[at : at + self.longest], 1):
+            node = node.get(sign)
+            if node is None:
                 break
+            if None in node:
+                out.append((length, node[None]))
         if not out or out[0][0] != 1:
             out.insert(0, (1, self.unknown))
         return out
@@ -90,18 +95,27 @@ class Vocabulary:
     def forward(self, text: str, enters: np.ndarray | list[int], stop: int) -> tuple[list[int], list[int]]:
         """Best weight of each place from the given entries, and the last piece's length (0: an entry). Pieces begin
         before `stop`. Of equal ways the longer last piece wins, and an entry, whose piece began earlier, before all."""
-        best, back = [NONE] * (len(text) + 1), [0] * (len(text) + 1)
+        size, root, unknown, no = len(text), self.trie, self.unknown, NONE // 2
+        best, back = [NONE] * (size + 1), [0] * (size + 1)
         for a, w in enumerate(enters):
-            if a <= len(text):
+            if a <= size:
                 best[a] = int(w)
         for at in range(stop):
             b = best[at]
-            if b <= NONE // 2:
+            if b <= no:
                 continue
-            for length, w in self.starting(text, at):
-                to = at + length
-                if b + w > best[to]:
-                    best[to], back[to] = b + w, length
+            node, to = root, at
+            while to < size:
+                node = node.get(text[to])
+                to += 1
+                w = node.get(None) if node is not None else None
+                if w is None:
+                    if to == at + 1 and b + unknown > best[to]:
+                        best[to], back[to] = b + unknown, 1
+                    if node is None:
+                        break
+                elif b + w > best[to]:
+                    best[to], back[to] = b + w, to - at
         return best, back
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -136,18 +150,26 @@ class Vocabulary:
     def transfer(self, text: str, size: int) -> np.ndarray:
         """The chunk's matrix: from the first piece end at or after its begin to the first at or after `size`."""
         n = self.longest
-        best = np.full((len(text) + 1, n), NONE, np.int64)
+        best = np.full((min(len(text), size) + n, n), NONE, np.int64)
         for a in range(min(n, len(text) + 1)):
             best[a, a] = 0
-        for at in range(size):
+        out, reach, at = np.full((n, n), NONE, np.int64), 0, 0
+        while at < size:
+            if at >= n and reach <= at:
+                # No piece stands across this place, so all ways lead through it: one search serves for all of them.
+                rest, _ = self.forward(text[at:], [0], size - at)
+                tail = np.array(rest[size - at : size - at + n], np.int64)
+                out[:, : len(tail)] = best[at][:, None] + tail[None, :]
+                break
             row = best[at]
-            if row.max() <= NONE // 2:
-                continue
-            for length, w in self.starting(text, at):
-                np.maximum(best[at + length], row + w, out=best[at + length])
-        out = np.full((n, n), NONE, np.int64)
-        tail = best[size : size + n]
-        out[:, : len(tail)] = tail.T
+            if row.max() > NONE // 2:
+                for length, w in self.starting(text, at):
+                    reach = max(reach, at + length)
+                    np.maximum(best[at + length], row + w, out=best[at + length])
+            at += 1
+        else:
+            tail = best[size : min(size + n, len(text) + 1)]
+            out[:, : len(tail)] = tail.T
         out[out <= NONE // 2] = NONE
         return out
 
@@ -253,9 +275,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(model)
         for b in batches:
+            flat, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([v.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "ids", "text"])
+                texts = [v.decode(flat[i:j].tolist()) for i, j in zip(ends[at : at + len(part)], ends[at + 1 : at + len(part) + 1], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
