@@ -179,6 +179,7 @@ def test_pii_patterns():
             want += [(kind, *m.span())] * ok
     assert pii.base_spans(text) == want and len(want) >= 6
     assert pii.base_spans("7" * 50_000 + "@" * 50_000) == []
+    assert pii.base_spans("0" * 9000 + "1.2.3.4 1.2.3.256") == [("ip", 0, 9007)]
 
 
 def test_pii_network_on_held_out_lines():

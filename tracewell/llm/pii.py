@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _ANCHOR.search(text):
         return []
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m[0]) if len(m[0]) < 64 else ""
         if 16 <= len(d) <= 19 and luhn(d):
