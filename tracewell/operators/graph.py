@@ -39,8 +39,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(path): each simple cycle of two to `longest` nodes once, from its smallest node, by joins one edge at a time."""
-    e = edges.select("src", "dst").distinct()
+    """(path): each simple cycle of two to `longest` nodes once, from its smallest node, by joins one edge at a time;
+    the paths of each length are written."""
+    e = written(edges.select("src", "dst").distinct(), "edges")
     found, paths = [], e.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
     for n in range(2, longest + 1):
         back = e.select(F.col("src").alias("end"), F.col("dst").alias("_first"))
@@ -48,6 +49,7 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
         if n < longest:
             step = e.select(F.col("src").alias("end"), F.col("dst").alias("_next"))
             paths = paths.join(step, "end").where("_next > path[0] AND NOT array_contains(path, _next)").select(F.concat("path", F.array("_next")).alias("path"), F.col("_next").alias("end"))
+            paths = written(paths, "paths")
     return reduce(DataFrame.unionByName, found)
 
 

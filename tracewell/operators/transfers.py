@@ -37,3 +37,14 @@ def upper_median(transfers: DataFrame) -> DataFrame:
 def over_floor(transfers: DataFrame, floor: float) -> DataFrame:
     """Transfers that count for structure: other assets and unknown amounts, and INR amounts of the floor or more."""
     return transfers.where((F.col("asset") != "INR") | F.col("amount").isNull() | (F.col("amount") >= floor)) if floor else transfers
+
+
+def over_adaptive_floor(transfers: DataFrame, configured: float) -> DataFrame:
+    """over_floor with the smaller of the configured floor and the transfers' own upper median; no INR amounts leave
+    the configured floor, and a floor of zero lets all through. The floor stays in the plan, as one broadcast row."""
+    if not configured:
+        return transfers
+    low = F.least(F.lit(float(configured)), F.coalesce(F.min("median"), F.lit(float(configured))))
+    floor = upper_median(transfers).agg(low.alias("_floor"))
+    kept = (F.col("asset") != "INR") | F.col("amount").isNull() | (F.col("amount") >= F.col("_floor"))
+    return transfers.crossJoin(F.broadcast(floor)).where(kept).drop("_floor")

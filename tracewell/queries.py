@@ -137,8 +137,13 @@ def r16_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIGRAPH = f"""{TRANSFERS_SQL}, g AS (SELECT from_entity AS s, to_entity AS d, arg_max(epoch_us(ts), ref) AS t FROM tr WHERE amount >= 150 GROUP BY 1, 2)"""
 
 
+def _digraph(tr: DataFrame) -> DataFrame:
+    """The graph of the structural rules, over the smaller of the configured floor and the median; written, as several joins read it."""
+    return written(graph.digraph(transfers.over_adaptive_floor(tr, _T.floor)), "digraph")
+
+
 def _strong_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.digraph(transfers.over_floor(_transfers(spark, sf_dir), 150.0))
+    return _digraph(_transfers(spark, sf_dir))
 
 
 @query(f"""WITH {_DIGRAPH}, c AS (
@@ -148,13 +153,13 @@ def _strong_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
                 WHERE a.s < a.d AND a.s < b.d AND a.s < c.d AND a.d <> b.d AND a.d <> c.d AND b.d <> c.d),
     u AS (SELECT unnest(p) AS entity_id, len(p) AS n FROM c) SELECT entity_id, count(*) AS cycles, min(n)::INT AS shortest FROM u GROUP BY entity_id""")
 def r07_circular_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.circular_flow(_strong_graph(spark, sf_dir), 4)
+    return graph.circular_flow(_strong_graph(spark, sf_dir), _T.cycle_length)
 
 
 @query(f"""WITH {_DIGRAPH} SELECT DISTINCT unnest([a.s, a.d, b.d, c.d]) AS entity_id FROM g a JOIN g b ON b.s = a.d AND b.d <> a.s AND b.t - a.t <= 172800000000
     JOIN g c ON c.s = b.d AND c.d <> a.s AND c.d <> a.d AND c.t - a.t <= 172800000000""")
 def r08_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.layering(_strong_graph(spark, sf_dir), 48)
+    return graph.layering(_strong_graph(spark, sf_dir), _T.span_hours)
 
 
 @query()
@@ -274,8 +279,8 @@ def _flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = written(features.entity_features(e, tr, correlate.correlate(e, 60)), "features")  # read by five rules
     flows = features.flows_with_counterparties(e.where("event_type = 'TRANSACTION'"), tr)
     parts = [rules.structuring(flows, _T), rules.rapid_in_out(flows, _T), rules.mule_account(flows, f, _T), rules.coincidence(f, _T), rules.comm_burst(f, _T), rules.dormant_activation(f, _T)]
-    g = graph.digraph(transfers.over_floor(tr, 150.0))
-    parts += [rules.member_flags(graph.circular_flow(g, 4), "circular_flow", _T, "cycles"), rules.member_flags(graph.layering(g, 48).withColumn("n", F.lit(1)), "layering", _T, "n")]
+    g = _digraph(tr)
+    parts += [rules.member_flags(graph.circular_flow(g, _T.cycle_length), "circular_flow", _T, "cycles"), rules.member_flags(graph.layering(g, _T.span_hours).withColumn("n", F.lit(1)), "layering", _T, "n")]
     return f, written(rules.run_all(parts), "flags")
 
 
