@@ -13,10 +13,9 @@ MERGE_KINDS = ("PHONE", "ACCOUNT_NO", "IMEI", "IMSI")
 
 
 def identifier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b): phones and devices seen together, from one event in twenty of the events table's sparse projection."""
+    """(a, b): phones and devices seen together in any event."""
     k = F.regexp_extract("props", "([0-9]+)", 1)
-    e = table(spark, sf_dir, "events").where("event_id % 20 = 0")
-    return e.select(F.concat(F.lit("PHONE:"), F.col("user_id").cast("string")).alias("a"), F.concat(F.lit("IMEI:"), k, F.lit("-"), F.floor(F.col("user_id") / 10).cast("string")).alias("b"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("PHONE:"), F.col("user_id").cast("string")).alias("a"), F.concat(F.lit("IMEI:"), k, F.lit("-"), F.floor(F.col("user_id") / 10).cast("string")).alias("b"))
 
 
 def resolve(edges: DataFrame, cap: int = 50) -> DataFrame:
