@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.text import fresh
@@ -12,6 +12,8 @@ from tracewell.scratch import written
 
 #: A line's rolling hash covers it and the WINDOW - 1 lines before it.
 WINDOW, DIVISOR = 2, 2
+#: A repeated passage of more words than this goes, however its lines fall into chunks.
+PASSAGE = 50
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -118,3 +120,53 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if count_cols:
         cols += [F.coalesce(f"{rest}.n", F.lit(0)).cast("long").alias("n_chunks"), n_gone.cast("long").alias("n_removed")]
     return out.select(*cols)
+
+
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE) -> DataFrame:
+    """docs, all columns and rows, their texts without runs of lines of over `least` words that stand in an earlier place.
+
+    A line is repeated if it and a neighbour stand one after the other in an earlier place, or if it alone has over
+    `least` words and stands in one; a run is a longest row of repeated lines. So a passage that an earlier place has
+    line for line goes whole, its first and last line too. Places are ordered by doc_id (nulls first), text hash and
+    line; rows alike in both ids and texts are one place, and every line stays where it stands first. Null texts and
+    n_chars are as in drop_repeated_chunks.
+
+    Lines meet by 128 bits of hash, without their text; hashes found once go no further.
+    """
+    text = F.col(text_col)
+
+    def pairs(lines: Column) -> Column:
+        def counted(words: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                y = F.get(lines, i + 1)
+                here, there = F.get(words, i), F.get(words, i + 1)
+                two = F.struct(i.alias("at"), here.alias("w"), there.alias("w2"), F.xxhash64(x, F.lit("\n"), y).alias("h"), F.xxhash64(F.lit(2), x, F.lit("\n"), y).alias("g"))
+                alone = F.struct(i.alias("at"), here.alias("w"), F.lit(None).cast("int").alias("w2"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
+                return F.array(F.when(y.isNotNull(), two), F.when(here > least, alone))
+
+            return F.filter(F.flatten(F.transform(lines, one)), lambda p: p.isNotNull())
+
+        return let(F.transform(lines, lambda x: F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+"))), counted)
+
+    own = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("v"), F.explode(let(F.split(text, "\n", -1), pairs)).alias("p"))
+    light = written(own.select("id", "v", "p.*"), "pairs")
+    place = F.struct("id", "v", "at")
+    first = light.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first")
+    first = written(first, "first")
+    met = light.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
+    both = F.array(F.struct(F.col("at"), F.col("w")), F.when(F.col("w2").isNotNull(), F.struct((F.col("at") + 1).alias("at"), F.col("w2").alias("w"))))
+    lines = met.select("id", "v", F.explode(both).alias("l")).where("l IS NOT NULL").select("id", "v", "l.at", "l.w").distinct()
+    run = lines.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("id", "v").orderBy("at")))
+    runs = run.groupBy("id", "v", "run").agg(F.sum("w").alias("words"), F.collect_list("at").alias("ats")).where(F.col("words") > least)
+    key, version, gone = fresh(docs.columns, "key", "again", "later")
+    marks = written(runs.groupBy(F.col("id").alias(key), F.col("v").alias(version)).agg(F.flatten(F.collect_list("ats")).alias(gone)), "passages")
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    out = docs.join(marks, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(version)), "left")
+    new = {text_col: F.when(F.col(gone).isNotNull(), let(F.split(text, "\n", -1), left)).otherwise(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(gone).isNotNull(), F.char_length(new[text_col]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
