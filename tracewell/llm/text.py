@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+
+#: Bytes of an Arrow batch between Spark and Python. A batch also ends at Spark's own bound of rows.
+BATCH_BYTES = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -29,3 +33,12 @@ def fresh(columns: list[str], *names: str) -> list[str]:
         used.add(n.lower())
         out.append(n)
     return out
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Python batches of BATCH_BYTES at most (or of one larger row): a task then
+    holds a few megabytes of texts at a time, however long they are. A smaller bound that is set already stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int("".join(filter(str.isdigit, conf.get(key)))) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
