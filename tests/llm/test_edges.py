@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, pii, shards, simhash, unigram, warc
+from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, near, pii, shards, simhash, unigram, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "\n".join(f"line {i} of a very long text that goes on and on" for i in range(6000))
@@ -91,7 +91,7 @@ def test_simhash_groups(docs):
 
 
 def test_near_dedup_keeps_one_row_of_each_group(docs):
-    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
+    kept = [r.doc_id for r in near.drop_near_duplicates(docs).collect()]
     assert sorted(kept) == [1, 2, 4, 6]
 
 

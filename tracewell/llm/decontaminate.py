@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import fresh, word_blocks
+from tracewell.llm.text import fresh, in_small_batches, word_blocks
 from tracewell.scratch import written
 
 WINDOW = 10
 #: Words of a shard, unless one document has more; words of a block of benchmark items that is searched at once.
-SHARD_WORDS, BLOCK_WORDS = 1 << 18, 1 << 21
+SHARD_WORDS, BLOCK_WORDS = 1 << 18, 1 << 19
 #: Signs between words become spaces, capitals small letters; all other bytes are word signs.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("b"))
-    return written(rows.mapInArrow(run, SCHEMA), "index")
+    return written(in_small_batches(rows).mapInArrow(run, SCHEMA), "index")
 
 
 @dataclass
@@ -185,7 +185,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without those that hold a benchmark window; rows that share a doc_id with such go as well."""
+    """docs, all columns, without those that hold a benchmark window. What a row's own text holds decides, whatever
+    other rows have its id or none. Null texts, ties and repeated rows stay as they are; an empty table gives an
+    empty result."""
     (key,) = fresh(docs.columns, "key")
-    hit = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti")
+    version = F.xxhash64(text_col)
+    keyed = docs.select(version.alias("version"), F.col(text_col).alias("text"))
+    hit = contamination(keyed, benchmark, "version", "text").where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(hit, version == F.col(key), "left_anti")

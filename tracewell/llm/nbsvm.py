@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import word_blocks
+from tracewell.llm.text import in_small_batches, word_blocks
 
 
 @dataclass(frozen=True)
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("b"))
-    out = rows.mapInArrow(run, "doc_id long, score double")
+    out = in_small_batches(rows).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id"), s.fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))
 
 
@@ -236,4 +236,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", settin
             texts = b.column(at).to_pylist()
             yield b.filter(pa.array([m.score(features((t or "").encode("utf-8", "replace"), coder, m.bits)) >= s.threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, schema).select(*names)
+    return in_small_batches(docs).mapInArrow(run, schema).select(*names)

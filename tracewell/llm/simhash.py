@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import fresh, word_blocks
+from tracewell.llm.text import in_small_batches, word_blocks
 from tracewell.operators.components import connected_components
 from tracewell.scratch import written
 
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("b"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return in_small_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def split_bits(bits: list[int], blocks: int) -> list[list[int]]:
@@ -88,7 +88,7 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _compare(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of rows sorted by (mask, key): small buckets all at once, larger ones by a spanning forest."""
     new = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
     size = np.diff(np.r_[new, len(key)])
@@ -97,44 +97,43 @@ def _compare(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, rep: np.ndarray,
     small = size[of] <= 8
     for s in range(1, 8):
         hit = np.flatnonzero(small[s:] & (of[s:] == of[:-s]) & (np.bitwise_count(fp[s:] ^ fp[:-s]) <= distance))
-        a.append(rep[hit])
-        b.append(rep[hit + s])
+        a.append(fp[hit])
+        b.append(fp[hit + s])
     for k in np.flatnonzero(size > 8):
-        own = slice(new[k], new[k] + size[k])
-        pairs = np.array(forest(fp[own], distance), int).reshape(-1, 2)
-        a.append(rep[own][pairs[:, 0]])
-        b.append(rep[own][pairs[:, 1]])
+        own = fp[new[k] : new[k] + size[k]]
+        pairs = np.array(forest(own, distance), int).reshape(-1, 2)
+        a.append(own[pairs[:, 0]])
+        b.append(own[pairs[:, 1]])
     return np.concatenate(a), np.concatenate(b)
 
 
 def _links(batches: Iterator[pa.RecordBatch], distance: int, bucket: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (mask, key), a bucket perhaps over several batches. Gives links (src, dst) and, for a
-    bucket beyond the bound, its rows again (mask, fp, rep) for the next level. Holds one bucket of bounded size."""
+    bucket beyond the bound, its rows again (mask, fp) for the next level. Holds one bucket of bounded size."""
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
         a, b = _compare(*rows, distance)
-        pair = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        pair = np.unique(np.sort(np.stack([a, b], 1).view(np.int64), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         none = pa.nulls(len(pair), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none], ["src", "dst", "mask", "fp", "rep"])
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none], ["src", "dst", "mask", "fp"])
 
-    def again(mask: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    def again(mask: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(fp), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(mask.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(rep)], ["src", "dst", "mask", "fp", "rep"])
+        return pa.RecordBatch.from_arrays([none, none, pa.array(mask.view(np.int64)), pa.array(fp.view(np.int64))], ["src", "dst", "mask", "fp"])
 
-    kept: list[np.ndarray] = [np.zeros(0, np.uint64)] * 3 + [np.zeros(0, np.int64)]
+    kept: list[np.ndarray] = [np.zeros(0, np.uint64)] * 3
     heavy: tuple[int, int] | None = None
     for batch in batches:
-        rows = [batch.column(i).to_numpy().view(np.uint64) for i in range(3)] + [batch.column(3).to_numpy()]
-        rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-        mask, key, fp, rep = rows
+        rows = [np.concatenate(x) for x in zip(kept, (batch.column(i).to_numpy().view(np.uint64) for i in range(3)), strict=True)]
+        mask, key, fp = rows
         if not len(key):
             continue
         if heavy:  # the rest of a bucket that is being passed on
             n = int(np.argmin(np.r_[(mask == heavy[0]) & (key == heavy[1]), False]))
             if n:
-                yield again(mask[:n], fp[:n], rep[:n])
+                yield again(mask[:n], fp[:n])
                 rows = [x[n:] for x in rows]
-                mask, key, fp, rep = rows
+                mask, key, fp = rows
             if not len(key):
                 kept = rows
                 continue
@@ -148,7 +147,7 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, bucket: int) -> Ite
             heavy = int(mask[-1]), int(key[-1])
             last = len(key)
         if over.any():
-            yield again(mask[over], fp[over], rep[over])
+            yield again(mask[over], fp[over])
         done[last:] = False
         yield links([x[done] for x in rows])
         kept = [x[last:] for x in rows]
@@ -157,33 +156,33 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int, bucket: int) -> Ite
 
 
 def links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(src, dst): links between representatives of `distinct` (fp, rep), enough to connect all fingerprints
-    within `distance` bits. Level by level: rows meet under shared blocks; buckets beyond the bound, if any, are
-    dealt out again by more bits until they are small, so no link is lost and no bucket fills a task."""
-    spark = distinct.sparkSession
+    """(src, dst): links between the fingerprints of `distinct` (fp), enough to connect all within `distance` bits.
+
+    Level by level: rows meet under shared blocks; buckets beyond the bound, if any, are dealt out again by more bits
+    until they are small, so no link is lost and no bucket fills a task.
+    """
     as_long = [m - (1 << 64) if m >> 63 else m for m in masks(0, blocks, distance)]
     m = F.explode(F.array(*[F.lit(x).cast("long") for x in as_long]))
-    rows = distinct.where("rep IS NOT NULL").select("fp", "rep", m.alias("mask"))
-    rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
+    rows = distinct.select("fp", m.alias("mask"))
+    rows = rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     out = None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mask, fp, rep = (b.column(i).to_numpy() for i in range(3))
-            if not len(fp):
-                continue
-            row, m, key = spread(fp.view(np.uint64), mask.view(np.uint64), blocks, distance)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m.view(np.int64), key.view(np.int64), fp[row], rep[row])], ["mask", "key", "fp", "rep"])
+            mask, fp = (b.column(i).to_numpy() for i in range(2))
+            for at in range(0, len(fp), 4096):
+                row, m, key = spread(fp[at : at + 4096].view(np.uint64), mask[at : at + 4096].view(np.uint64), blocks, distance)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m.view(np.int64), key.view(np.int64), fp[at : at + 4096][row])], ["mask", "key", "fp"])
 
     for _level in range(8):
         met = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
-        found = written(met.mapInArrow(lambda b: _links(b, distance, bucket), "src long, dst long, mask long, fp long, rep long"), "links")
+        found = written(met.mapInArrow(lambda b: _links(b, distance, bucket), "src long, dst long, mask long, fp long"), "links")
         got = found.where("src IS NOT NULL").select("src", "dst")
         out = got if out is None else out.unionByName(got)
-        over = found.where("src IS NULL").select("mask", "fp", "rep")
+        over = found.where("src IS NULL").select("mask", "fp")
         if over.isEmpty():
             return out
-        rows = over.distinct().mapInArrow(deal, "mask long, key long, fp long, rep long").distinct()
+        rows = over.distinct().mapInArrow(deal, "mask long, key long, fp long").distinct()
     raise RuntimeError(f"buckets of over {bucket} fingerprints remain; the bound is too small")
 
 
@@ -191,27 +190,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, fp, component_id), one row per row of docs.
 
     component_id is the smallest doc_id reachable over links of DISTANCE differing bits or fewer. Null and empty
-    texts have no words and fingerprint zero, linked like any other. Equal fingerprints meet once as one
-    representative. Rows with a null doc_id get the smallest doc_id of their group, null if it has none. Repeated
-    rows come out repeated; other columns are ignored; an empty table gives an empty result.
+    texts have no words and fingerprint zero, linked like any other. Equal fingerprints meet once, whatever ids they
+    have. Rows with a null doc_id link others and get the smallest doc_id of their group, null if it has none.
+    Repeated rows come out repeated; other columns are ignored; an empty table gives an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     groups = connected_components(links(distinct, bucket=bucket))
-    found = distinct.join(groups, distinct.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    member = written(distinct.join(groups, distinct.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("c"), "least"), "members")
+    found = member.join(member.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns.
-
-    If that doc_id is repeated, one of its rows stays. Rows with a null doc_id can't be told apart by id and stay
-    only if their whole group has no doc_id, all of them.
-    """
-    found = written(simhash_components(docs, id_col, text_col), "components")
-    key, again = fresh(docs.columns, "key", "again")
-    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg((F.count("*") > 1).alias(again))
-    lone = not found.where("doc_id IS NULL AND component_id IS NULL").isEmpty()
-    kept = docs.join(first, F.col(id_col).cast("long") == F.col(key))
-    out = kept.where(~F.col(again)).drop(key, again).unionByName(kept.where(again).dropDuplicates([key]).drop(key, again))
-    return out.unionByName(docs.where(F.col(id_col).isNull())) if lone else out
