@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.scratch import written
+from tracewell.scratch import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now[0] == 0 or now == before:
             break
         before = now
-        e = written(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        old, e = e, written(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()

@@ -26,3 +26,13 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that no later step reads; others are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tracewell-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder.rsplit("/", 1)[0])
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
