@@ -198,10 +198,15 @@ def test_dual_coordinate_descent_meets_the_optimum():
     x = g.normal(size=(60, 5))
     y = np.where(x[:, 0] + 0.3 * x[:, 1] + 0.2 * g.normal(size=60) > 0, 1.0, -1.0)
     c = np.full(60, 0.5)
-    w, b = nbsvm.dual_coordinate_descent([np.arange(5)] * 60, list(x), y, 5, c, 2000, 3)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    rows, ratio = [np.arange(5 * i, 5 * i + 5) for i in range(60)], x.ravel()  # each row has features of its own
+    x = np.zeros((60, 300))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / size[i]
+    w, b = nbsvm.dual_coordinate_descent(rows, ratio, y, c, 2000, 3)
     loss = lambda w, b: 0.5 * (w @ w + b * b) + (c * np.maximum(0, 1 - y * (x @ w + b))).sum()
     best = loss(w, b)
-    assert all(loss(w + d[:5], b + d[5]) >= best - 1e-3 for d in g.normal(scale=0.05, size=(300, 6)))
+    assert all(loss(w + d[:-1], b + d[-1]) >= best - 1e-3 for d in g.normal(scale=0.05, size=(300, 301)))
 
 
 def test_pipeline_stage_by_stage(spark, duck, texts):

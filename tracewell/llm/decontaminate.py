@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import fresh, in_small_batches, word_blocks
-from tracewell.scratch import written
+from tracewell.llm.text import fresh, in_small_batches, split_by, word_blocks
+from tracewell.scratch import discard, written
 
 WINDOW = 10
 #: Words of a shard, unless one document has more; words of a block of benchmark items that is searched at once.
@@ -191,5 +191,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     (key,) = fresh(docs.columns, "key")
     version = F.xxhash64(text_col)
     keyed = docs.select(version.alias("version"), F.col(text_col).alias("text"))
-    hit = contamination(keyed, benchmark, "version", "text").where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(hit, version == F.col(key), "left_anti")
+    found = contamination(keyed, benchmark, "version", "text")
+    hit = written(found.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "hit")
+    discard(found)
+    some, none = split_by(docs, version, hit, F.col(key))
+    return none.unionByName(some.join(hit, version == F.col(key), "left_anti"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import fresh
-from tracewell.scratch import written
+from tracewell.llm.text import fresh, split_by
+from tracewell.scratch import discard, written
 
 #: A line's rolling hash covers it and the WINDOW - 1 lines before it.
 WINDOW, DIVISOR = 2, 2
@@ -90,8 +90,13 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = written(first, "first")  # read back, both sides of the join below can be split where a hash is very common
     seen = light.join(first, "h").select("id", F.concat_ws(":", "at", "h").alias("k"), (~F.struct("id", "at").eqNullSafe(F.col("first"))).alias("later"))
     key, again, later, rest = fresh(docs.columns, "key", "again", "later", "rest")
-    marks = seen.groupBy(F.col("id").alias(key)).agg(F.collect_set("k").alias(again), F.collect_set(F.when(F.col("later"), F.col("k"))).alias(later))
-    met = written(docs.join(marks, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key), "marked")
+    marks = written(seen.groupBy(F.col("id").alias(key)).agg(F.collect_set("k").alias(again), F.collect_set(F.when(F.col("later"), F.col("k"))).alias(later)), "marks")
+    discard(light, first)
+    some, none = split_by(docs, F.xxhash64(id_col), marks, F.xxhash64(key))
+    no_marks = F.lit(None).cast("array<string>")
+    met = some.join(marks, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key).unionByName(none.withColumns({again: no_marks, later: no_marks}))
+    met = written(met, "marked")
+    discard(marks)
 
     def repeated(cs: Column) -> Column:
         return F.transform(F.array_intersect(_keys(cs), again), lambda k: F.get(cs, _place(k)))
@@ -165,7 +170,10 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    out = docs.join(marks, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(version)), "left")
+    discard(light, first)
+    some, none = split_by(docs, F.xxhash64(F.col(id_col), F.xxhash64(text)), marks, F.xxhash64(key, version))
+    out = some.join(marks, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(version)), "left")
+    out = out.unionByName(none.withColumns({key: F.lit(None).cast(docs.schema[id_col].dataType), version: F.lit(None).cast("long"), gone: F.lit(None).cast("array<int>")}))
     new = {text_col: F.when(F.col(gone).isNotNull(), let(F.split(text, "\n", -1), left)).otherwise(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(gone).isNotNull(), F.char_length(new[text_col]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,19 +97,24 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int, alpha: fl
     return share[1] - share[0]
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L1-loss linear SVM: one dual variable at a time, in a new random order each epoch."""
-    w, b, dual = np.zeros(size), 0.0, np.zeros(len(rows))
-    norm = np.array([float(v.astype(np.float64) @ v) for v in values]) + 1.0
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of the L1-loss linear SVM: one dual variable at a time, in a new random order each epoch.
+
+    Row i has the features rows[i] with the values ratio[rows[i]], scaled to length one; they are not stored.
+    """
+    w, b, dual = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
+    scale = np.array([1 / max(float(np.sqrt(ratio[r] @ ratio[r])), 1e-9) for r in rows])
+    norm = np.array([float(ratio[r] @ ratio[r]) * k * k for r, k in zip(rows, scale, strict=True)]) + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (w[rows[i]] @ values[i] + b) - 1
+            values = ratio[rows[i]] * scale[i]
+            g = y[i] * (w[rows[i]] @ values + b) - 1
             new = min(max(dual[i] - g / norm[i], 0.0), c[i])
             if new != dual[i]:
                 step = (new - dual[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 b += step
                 most = max(most, abs(new - dual[i]))
                 dual[i] = new
@@ -164,10 +170,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> Model:
     learn = np.flatnonzero(~aside)
     own, v = [rows[i] for i in learn], y[learn]
     ratio = log_count_ratios(own, v, s.bits, s.alpha)
-    values = [(ratio[r] / max(float(np.sqrt(ratio[r] @ ratio[r])), 1e-9)).astype(np.float32) for r in own]
     share = v.mean()
     c = s.c * np.where(v == 1, 0.5 / share, 0.5 / (1 - share))
-    w, b = dual_coordinate_descent(own, values, np.where(v == 1, 1.0, -1.0), size, c, s.epochs, s.seed)
+    w, b = dual_coordinate_descent(own, ratio, np.where(v == 1, 1.0, -1.0), c, s.epochs, s.seed)
     model = Model(ratio.astype(np.float32), w.astype(np.float32), float(b), 1.0, 0.0, s.bits)
     check = np.flatnonzero(aside) if aside.any() else learn
     slope, shift = _platt(np.array([model.margin(rows[i]) for i in check]), y[check])
@@ -196,11 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "y", "f"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col), "UTF-8").alias("b")).join(F.broadcast(ids), "_id").select("_id", "y", "b")
-    got = texts.mapInArrow(run, "id long, y int, f binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
-    order = np.random.default_rng(s.seed).permutation(got.num_rows)
+    got = in_small_batches(texts).mapInArrow(run, "id long, y int, f binary").toArrow()
+    order = pc.sort_indices(got.select(["id", "f"]), [("id", "ascending"), ("f", "ascending")]).to_numpy()
+    order = order[np.random.default_rng(s.seed).permutation(len(order))]
     y = got.column("y").to_numpy()[order].astype(np.int64)
-    rows = [np.frombuffer(f, np.int32) for f in got.column("f").to_pylist()]
-    del got
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("f")]  # views of the one table
     return fit([rows[i] for i in order], y, s)
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and Python. A batch also ends at Spark's own bound of rows.
 BATCH_BYTES = 4 << 20
+#: Values of a hash by which rows are told apart before a join: the bound of a broadcast.
+PICKS = 1 << 18
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -42,3 +45,15 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     if not 0 < int("".join(filter(str.isdigit, conf.get(key)))) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
+
+
+def split_by(rows: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that may meet one of keys, rows that can't), by what hashes leave modulo PICKS; none is lost.
+
+    hashed and key_hash are the same hash of the join's columns on either side. The remainders of the keys, PICKS of
+    them at most, are broadcast: so a join with few keys need not shuffle the texts of all rows, only the first part.
+    """
+    (pick,) = fresh(rows.columns, "pick")
+    picks = F.broadcast(keys.select(F.pmod(key_hash, F.lit(PICKS)).alias(pick)).distinct())
+    marked = rows.withColumn(pick, F.pmod(hashed, F.lit(PICKS)))
+    return marked.join(picks, pick, "left_semi").drop(pick), marked.join(picks, pick, "left_anti").drop(pick)

@@ -276,6 +276,13 @@ def vocabulary(model: str) -> Vocabulary:
     return Vocabulary(model)
 
 
+@lru_cache(maxsize=8)
+def facts(model: str) -> tuple[int, int, int]:
+    """(signs of the longest piece, least and greatest id of a byte, -1 without): all that the driver needs."""
+    v = Vocabulary(model)
+    return v.longest, min(v.of_byte.values(), default=-1), max(v.of_byte.values(), default=-1)
+
+
 # ---------------------------------------------------------------- the scan
 
 
@@ -335,7 +342,7 @@ def _reach(state: np.ndarray, m: np.ndarray) -> np.ndarray:
 def _giants(rows: DataFrame, model: str, chunk: int, block: int) -> DataFrame | None:
     """(doc_id, ids) of rows (doc_id, text) that are all longer than a chunk; None without such rows. What is gathered
     for one text is at last its ids; before, a matrix of a few kilobytes for each chunk, in groups of `block`."""
-    longest = vocabulary(model).longest
+    longest, _, _ = facts(model)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -450,8 +457,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     ids_hash is Spark's xxhash64 of the ids; decoded_sha256 equals the text's own sha256 where nothing was lost.
     """
-    v = vocabulary(model)
-    low, high = (min(v.of_byte.values()), max(v.of_byte.values())) if v.of_byte else (-1, -1)
+    _, low, high = facts(model)
     got = round_trip(docs, id_col, text_col, model, chunk, block)
     in_bytes = F.size(F.filter("ids", lambda x: x.between(low, high))).cast("long")
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), in_bytes.alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
