@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,9 +194,71 @@ def test_pii_network_on_held_out_lines():
     assert hit / sum(map(len, found)) > 0.95 and hit / sum(map(len, truth)) > 0.85
 
 
-def test_spans_do_not_depend_on_what_is_before(spark):
-    entity = "call 555-123-4567 now"
-    for pad in (0, 30, 70, 95, 400):
+#: Written by hand, not by the generator: lines, and what the network is to add to the base patterns.
+BY_HAND = [
+    ("Please call me at (212) 736-5000 after six.", [("phone", "(212) 736-5000")]),
+    ("my card is 4111.1111.1111.1111 thanks", [("card", "4111.1111.1111.1111")]),
+    ("write to anna.smith at mailbox dot org for details", [("email", "anna.smith at mailbox dot org")]),
+    ("contact: peter [at] firma [dot] de", [("email", "peter [at] firma [dot] de")]),
+    ("server 10[.]20[.]30[.]40 was down", [("ip", "10[.]20[.]30[.]40")]),
+    ('config: api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', [("secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b")]),
+    ("The meeting is on 2024-05-17 at 10:30 in room 12.", []),
+    ("Version 3.11.4 costs $129.99, up 4% from 2019.", []),
+    ("He looked at the dot on the map and said nothing at all.", []),
+    ("In 1848, 12,345 people lived there; by 1900 it was 1,234,567.", []),
+]
+
+
+def test_pii_network_on_lines_by_hand():
+    got = pii.find([t for t, _ in BY_HAND], pii.trained())
+    added = [[(k, t[a:b]) for k, a, b in x if (k, a, b) not in base] for (t, _), (base, x) in zip(BY_HAND, got, strict=True)]
+    hit = sum(len(set(a) & set(want)) for a, (_, want) in zip(added, BY_HAND, strict=True))
+    assert hit >= 4 and sum(map(len, added)) - hit <= 2  # of six
+
+
+def test_network_spans_in_pieces_and_places(monkeypatch):
+    """Windows, pieces and the search between sure signs change nothing: not beside the search over every sign."""
+    import random
+
+    r = random.Random(8)
+    text = "".join(pii.labelled_line(r)[0] + " " for _ in range(60))
+    net = pii.trained()
+    want = pii.network_spans([text, "x", text[:700], ""], net)
+    assert len(want[0]) > 20 and want[1] == want[3] == []
+    monkeypatch.setattr(pii, "PIECE", 1200)
+    assert pii.network_spans([text, text[:700]], net) == [want[0], want[2]]
+    monkeypatch.setattr(pii, "PIECE", 1 << 18)
+    monkeypatch.setattr(pii.Net, "margins", lambda self: np.full(pii.TAGS, 1e6, np.float32))
+    assert pii.network_spans([text, text[:700]], net) == [want[0], want[2]]
+
+
+def test_spans_do_not_depend_on_what_is_before():
+    entity = "call (555) 123-4567 now"
+    for pad in (0, 30, 70, 95, 222, 400):
         text = "w " * (pad // 2) + entity
         got = pii.find([text], pii.trained())[0][1]
-        assert [(k, text[a:b]) for k, a, b in got] in ([("phone", "555-123-4567")], [])
+        assert [(k, text[a:b]) for k, a, b in got] == [("phone", "(555) 123-4567")]
+
+
+def test_pii_query_against_brute_force(spark):
+    """Base columns of every row of the table."""
+    from tracewell.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op10_pii(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t, want = texts[r.doc_id], []
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+            want.append(("email", *m.span()))
+        for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+            want += [("ip", *m.span())] * all(int(x) <= 255 for x in m[0].split("."))
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = re.sub("[^0-9]", "", m[0])
+            want += [("card", *m.span())] * (16 <= len(d) <= 19 and pii.luhn(d))
+        for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+            want += [("phone", *m.span())] * (8 <= len(re.sub("[^0-9]", "", m[0])) <= 15)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+        assert set(pii.joined(want).split(",")) - {""} <= set(r.spans.split(","))

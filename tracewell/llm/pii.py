@@ -1,10 +1,11 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions in numpy.
 
 The network is trained once in a process, from lines with labelled spans that a seeded generator writes: personal data
-in plain and in unusual forms, between words, dates, prices, versions and other numbers that are none. Texts are read
-in windows of WIDTH signs, half of which overlap the next; a sign takes its label from the window in which it lies
-nearest to the middle, and spans are put together over the whole text. Every kind holds a digit or an @, so a window
-without these labels nothing and need not be run.
+and secrets in plain, spaced, bracketed and written-out forms, between words, dates, prices, versions and other numbers
+that are none. Every text is read whole, in windows of WIDTH signs, the last WIDTH - STEP of which the next has too.
+There the scores of both count half each; over the scores of the whole text one best path of labels is found. A sign
+whose score for no label beats all others by more than transitions can make up for has no label on that path, so the
+path is searched only between such signs, which changes nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.text import in_small_batches
+
+#: Kinds of the base patterns, and those that only the network finds.
 KINDS = ["email", "ip", "card", "phone"]
-WIDTH, STEP = 96, 48
+LABELS = [*KINDS, "secret"]
+WIDTH, STEP = 256, 224
+#: Windows of lines that the network learns from, and windows that are read at once.
+LEARNT, AT_ONCE = 96, 1024
+#: Signs of texts that are read at once.
+PIECE = 1 << 18
 _ANCHOR = re.compile(r"[0-9@]")
 
 # The base patterns. A match may begin at the first digit of a run only, which gives the same matches.
@@ -81,9 +90,14 @@ def _entity(r: random.Random, kind: str) -> str:
     w = lambda: "".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randint(2, 9)))
     if kind == "email":
         user = r.choice([w(), f"{w()}.{w()}", f"{w()}{n(2)}", f"{w()}_{w()}", f"{w()}.{n(2)}"])
-        return user + r.choice(["@", "@", "@", " @ ", "(@)", "[@]", "@ "]) + r.choice([w(), f"mail{n(1)}.{w()}"]) + "." + r.choice(["com", "org", "net", "de", "example.com"])
+        dot = r.choice([".", ".", ".", ".", " . ", " dot ", "[.]", " [dot] ", "(dot)"])
+        return user + r.choice(["@", "@", "@", " @ ", "(@)", "[@]", "@ ", " at ", " [at] ", "(at)"]) + r.choice([w(), f"mail{n(1)}{dot}{w()}"]) + dot + r.choice(["com", "org", "net", "de", "example.com"])
     if kind == "ip":
-        return ".".join(str(r.randint(0, 255)) for _ in range(4))
+        return r.choice([".", ".", ".", " . ", "[.]", "(.)", ". "]).join(str(r.randint(0, 255)) for _ in range(4))
+    if kind == "secret":
+        signs = r.choice(["0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+        e = "".join(r.choice(signs) for _ in range(r.choice([20, 24, 32, 40, 40, 44])))
+        return r.choice([e, e, e, e.upper()])
     if kind == "card":
         body = r.choice("3456") + n(r.choice([14, 14, 14, 17]))
         full = next(body + d for d in "0123456789" if luhn(body + d))
@@ -97,18 +111,22 @@ def _plain(r: random.Random) -> str:
     n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = "".join(r.choice("abcdefghiklmnoprstuvwéñö") for _ in range(r.randint(1, 11)))
     number = r.choice([n(r.randint(1, 6)), f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(2)}:{n(2)}", f"${n(3)}.{n(2)}", f"v{n(1)}.{n(1)}", f"{n(1)}.{n(1)}.{n(2)}", f"{n(1)},{n(3)},{n(3)}", "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 32, 40]))), f"@{word}", f"{word}{n(2)}", n(r.randint(17, 24)), f"#{n(5)}", f"{n(2)}%"])
-    return r.choice([word] * 7 + [word.title(), word.upper() + "!!", word + ",", word + ".", word + "$$$", "|", number, number])
+    return r.choice([word] * 7 + [word.title(), word.upper() + "!!", word + ",", word + ".", word + "$$$", "|", r.choice(["at", "dot", "token", "key", "the key is", "at " + word + " dot"]), number, number])
 
 
 def labelled_line(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     """A line of plain words and numbers with none, one or two pieces of personal data, and their spans."""
     text, spans = "", []
     for _ in range(r.randint(3, 16)):
-        if r.random() < 0.16:
-            kind = r.choice(KINDS)
+        if r.random() < 0.18:
+            kind = r.choice([*LABELS, "secret"])
             e = _entity(r, kind)
+            quote = ""
+            if kind == "secret":
+                quote = r.choice(['"', '"', "'", ""])
+                text += r.choice(["token", "secret", "api_key", "password", "key", "TOKEN", "auth"]) + r.choice([" = ", "=", ": ", ":"]) + quote
             spans.append((kind, len(text), len(text) + len(e)))
-            text += e + r.choice([" ", " ", ". ", ", ", "\n", "; "])
+            text += e + quote + r.choice([" ", " ", ". ", ", ", "\n", "; ", "!! ", "*** ", " | "])
         else:
             text += _plain(r) + r.choice([" "] * 8 + ["\n", ": "])
     return text, spans
@@ -117,7 +135,7 @@ def labelled_line(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 # ---------------------------------------------------------------- the network
 
 _SYMBOLS = 99  # printable ASCII, then: other letter, line end, other sign, outside the text
-TAGS = 1 + 2 * len(KINDS)  # none; then begin and inside of each kind
+TAGS = 1 + 2 * len(LABELS)  # none; then begin and inside of each kind
 
 
 def symbols(text: str) -> np.ndarray:
@@ -128,7 +146,7 @@ def symbols(text: str) -> np.ndarray:
 def tags_of(size: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
     out = np.zeros(size, np.int64)
     for kind, a, b in spans:
-        k = 1 + 2 * KINDS.index(kind)
+        k = 1 + 2 * LABELS.index(kind)
         out[a:b] = k + 1
         out[a : a + 1] = k
     return out
@@ -139,6 +157,7 @@ class Net:
     """Parameters by name: for each direction w (symbol to gates), u (state to gates); then v, c, and the CRF's t, s."""
 
     p: dict[str, np.ndarray]
+    GAP, MOST = 6.0, 1.0  # score by which none is to win; bound of a transition's weight
 
     @classmethod
     def new(cls, hidden: int, seed: int) -> Net:
@@ -190,7 +209,7 @@ class Net:
         return h @ self.p["v"] + self.p["c"], (h, sf, sb)
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of the tag paths under the CRF, and its gradient."""
+        """Mean negative log-likelihood of the tag paths under the CRF, and the gradient of it and of each sign's own."""
         e, (h, sf, sb) = self.emit(x)
         n, size, _ = e.shape
         t, s = self.p["t"], self.p["s"]
@@ -211,6 +230,12 @@ class Net:
         np.add.at(dt, (y[:, :-1], y[:, 1:]), -1)
         np.add.at(ds, y[:, 0], -1)
         de[rows, np.arange(size), y] -= 1
+        # Each sign by itself as well, where none is to win by a margin: so that whole texts need little path search.
+        alone = e + np.where((y == 0)[:, :, None] & (np.arange(TAGS) > 0), self.GAP, 0)
+        alone = np.exp(alone - alone.max(2, keepdims=True))
+        alone /= alone.sum(2, keepdims=True)
+        alone[rows, np.arange(size), y] -= 1
+        de += 0.25 * alone
         grad = {"t": dt / n, "s": ds / n, "c": de.sum((0, 1)) / n, "v": np.tensordot(h, de, ((0, 1), (0, 1))) / n}
         dh = de @ self.p["v"].T / n
         half = dh.shape[2] // 2
@@ -218,31 +243,72 @@ class Net:
         self.lstm_back(x[:, ::-1], "b", sb, dh[:, ::-1, half:], grad)
         return float((total - gold).mean()), grad
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tag paths of windows, all at once."""
-        e, _ = self.emit(x)
-        best, back = self.p["s"] + e[:, 0], np.empty(e.shape, np.int8)
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """(place, tag, window) scores of windows x (window, place): what `emit` gives, laid out so that each step of the
+        network works on long rows."""
+        n, size = x.shape
+        out = np.empty((2, size, self.p["uf"].shape[0], n), np.float32)
+        for k, d in enumerate("fb"):
+            w, ut = self.p[f"w{d}"].copy(), self.p[f"u{d}"].T.copy()
+            h = ut.shape[1]
+            w[:, : 3 * h] *= 0.5  # gates by the hyperbolic tangent of half their sums
+            ut[: 3 * h] *= 0.5
+            state, cell, z, more = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
+            for t in range(size) if d == "f" else range(size - 1, -1, -1):
+                np.matmul(ut, state, out=z)
+                z += w[x[:, t]].T
+                np.tanh(z, out=z)
+                gates = z[: 3 * h]
+                gates += 1
+                gates *= 0.5
+                cell *= gates[h : 2 * h]
+                np.multiply(gates[:h], z[3 * h :], out=more)
+                cell += more
+                np.tanh(cell, out=more)
+                state = out[k, t]
+                np.multiply(gates[2 * h :], more, out=state)
+        half = out.shape[2]
+        got = np.matmul(self.p["v"][:half].T, out[0])
+        got += np.matmul(self.p["v"][half:].T, out[1])
+        got += self.p["c"][:, None]
+        return got
+
+    def margins(self) -> np.ndarray:
+        """For each tag by how much at most transitions can prefer it to none, whatever stands before and after."""
+        t, s = self.p["t"], self.p["s"]
+        before = np.r_[t, s[None]] - np.r_[t[:, :1], s[None, :1]]
+        after = np.c_[t, np.zeros(TAGS, np.float32)] - np.r_[t[0], 0][None]
+        return before.max(0) + after.max(1)
+
+    def best(self, e: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Best tags of stretches of scores (stretch, place, tag), none around them but where a text begins or ends."""
+        t = self.p["t"]
+        score, back = np.where(first[:, None], self.p["s"], t[0]) + e[:, 0], np.zeros(e.shape, np.int8)
+        end = np.where(last[:, None], 0, t[:, 0])
+        final = np.where(lengths == 1, (score + end).argmax(1), 0)
         for k in range(1, e.shape[1]):
-            ways = best[:, :, None] + self.p["t"]
+            ways = score[:, :, None] + t
             back[:, k] = ways.argmax(1)
-            best = ways.max(1) + e[:, k]
-        out = np.empty(e.shape[:2], np.int64)
-        out[:, -1] = best.argmax(1)
-        rows = np.arange(len(x))
-        for k in range(e.shape[1] - 1, 0, -1):
-            out[:, k - 1] = back[rows, k, out[:, k]]
+            score = ways.max(1) + e[:, k]
+            final = np.where(lengths == k + 1, (score + end).argmax(1), final)
+        out, rows, tag = np.zeros(e.shape[:2], np.int64), np.arange(len(e)), final
+        for k in range(e.shape[1] - 1, -1, -1):
+            here = k < lengths
+            tag = np.where(k == lengths - 1, final, tag)
+            out[here, k] = tag[here]
+            tag = np.where(here, back[rows, k, tag], tag)
         return out
 
 
-def train(lines: list[tuple[str, list]], hidden: int = 16, batch: int = 48, epochs: int = 6, rate: float = 0.02, seed: int = 11) -> Net:
+def train(lines: list[tuple[str, list]], hidden: int = 10, batch: int = 48, epochs: int = 9, rate: float = 0.02, seed: int = 11) -> Net:
     """A net fitted to labelled lines, cut into windows, by Adam with a falling rate."""
     xs, ys = [], []
     for text, spans in lines:
         x, y = symbols(text), tags_of(len(text), spans)
-        for at in range(0, max(1, len(x) - STEP), WIDTH):
-            pad = max(0, WIDTH - len(x[at : at + WIDTH]))
-            xs.append(np.r_[x[at : at + WIDTH], np.full(pad, 98)])
-            ys.append(np.r_[y[at : at + WIDTH], np.zeros(pad, np.int64)])
+        for at in range(0, max(1, len(x) - LEARNT // 2), LEARNT):
+            pad = max(0, LEARNT - len(x[at : at + LEARNT]))
+            xs.append(np.r_[x[at : at + LEARNT], np.full(pad, 98)])
+            ys.append(np.r_[y[at : at + LEARNT], np.zeros(pad, np.int64)])
     x, y = np.array(xs), np.array(ys)
     net, g = Net.new(hidden, seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
@@ -259,11 +325,13 @@ def train(lines: list[tuple[str, list]], hidden: int = 16, batch: int = 48, epoc
                 v[k] = 0.99 * v[k] + 0.01 * a * a
                 step = rate * (1 - 0.95 * done / steps) * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-6)
                 net.p[k] = (net.p[k] - step).astype(np.float32)
+                if k in "ts":
+                    net.p[k] = net.p[k].clip(-net.MOST, net.MOST)
     return net
 
 
 @lru_cache(maxsize=1)
-def trained(lines: int = 1500, seed: int = 5) -> Net:
+def trained(lines: int = 3400, seed: int = 5) -> Net:
     r = random.Random(seed)
     return train([labelled_line(r) for _ in range(lines)])
 
@@ -271,76 +339,131 @@ def trained(lines: int = 1500, seed: int = 5) -> Net:
 # ---------------------------------------------------------------- windows and spans
 
 
+_AT, _DOT = re.compile(r"@|\bat\b", re.I), re.compile(r"\.|\bdot\b", re.I)
+
+
 def _fits(kind: str, text: str) -> bool:
-    """What a span that the network found must have to count as its kind."""
+    """What a span that the network found must hold at least to be its kind at all."""
     d = _digits(text)
     if kind == "email":
-        return text.count("@") == 1 and "." in text.partition("@")[2]
+        return len(_AT.findall(text)) == 1 and bool(_DOT.search(text, _AT.search(text).end()))
     if kind == "ip":
-        parts = text.split(".")
-        return len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d)
-    return 9 <= len(d) <= 15 and len(text) <= 24 and len(set(d)) > 2 and not (text.isdigit())
-
-
-def _windows(text: str) -> list[int]:
-    """Numbers of the windows that hold a digit or an @."""
-    found = set()
-    for m in _ANCHOR.finditer(text):
-        k = m.start() // STEP
-        found.update((k - 1, k) if k else (k,))
-    return sorted(found)
-
-
-def find(texts: list[str], net: Net, most: int = 2048) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """(base spans, all spans) of each text. Spans of the network that touch a base span or don't fit are dropped."""
-    jobs = [(i, w) for i, t in enumerate(texts) for w in (_windows(t) if t else [])]
-    labels: list[dict[int, np.ndarray]] = [{} for _ in texts]
-    for at in range(0, len(jobs), most):
-        part = jobs[at : at + most]
-        x = np.full((len(part), WIDTH), 98, np.int64)
-        for row, (i, w) in zip(x, part, strict=True):
-            s = symbols(texts[i][w * STEP : w * STEP + WIDTH])
-            row[: len(s)] = s
-        for (i, w), y in zip(part, net.decode(x), strict=True):
-            labels[i][w] = y
-    out = []
-    for text, own in zip(texts, labels, strict=True):
-        base = base_spans(text) if text else []
-        found, open_span, upto = [], None, -1
-        for w in sorted(own):
-            a = 0 if w == 0 else STEP // 2
-            b = WIDTH if (w + 1) not in own else WIDTH - STEP // 2
-            if w * STEP + a != upto and open_span:
-                found.append(tuple(open_span))
-                open_span = None
-            for k in range(a, b):
-                tag, place = int(own[w][k]), w * STEP + k
-                if place >= len(text):
-                    break
-                kind = KINDS[(tag - 1) // 2] if tag else None
-                if open_span and tag and tag % 2 == 0 and open_span[0] == kind:
-                    open_span[2] = place + 1
+    if kind == "secret":
+        return len(text) >= 16 and text.isalnum() and 0 < len(d) < len(text)
+    return 7 <= len(d) <= 15 and len(set(d)) > 2
+
+
+def labels(texts: list[str], net: Net, first: bool = True, last: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin of each text, tags, whether a sign surely has none), one text after the other, each with room for whole steps.
+    first and last say whether the texts' own begin and end are those of a whole text."""
+    sizes = np.array([len(t) for t in texts])
+    windows = np.maximum(1, -(-sizes // STEP))
+    begin = (np.cumsum(windows) - windows) * STEP
+    of, signs, margins, shared = np.repeat(np.arange(len(texts)), windows), [symbols(t) for t in texts], net.margins()[1:, None], WIDTH - STEP
+    at = (np.arange(len(of)) * STEP) - begin[of]
+    open_, scores, before = [], [], np.zeros((shared, TAGS, 1), np.float32)
+    for k in range(0, len(of), AT_ONCE):
+        own, place = of[k : k + AT_ONCE], at[k : k + AT_ONCE]
+        x = np.full((len(own), WIDTH), 98, np.int64)
+        for row, i, p in zip(x, own.tolist(), place.tolist(), strict=True):
+            got = signs[i][p : p + WIDTH]
+            row[: len(got)] = got
+        e = net.scores(x)
+        more = np.flatnonzero(place > 0)  # the window before is of the same text
+        ends = np.concatenate([before, e[STEP:, :, :-1]], 2)
+        before = e[STEP:, :, -1:].copy()
+        e[:shared, :, more] = (e[:shared, :, more] + ends[:, :, more]) / 2
+        hit = ((e[:STEP, 1:] + margins).max(1) > e[:STEP, 0]).T & (place[:, None] + np.arange(STEP) < sizes[own][:, None])
+        window, inner = np.nonzero(hit)
+        open_.append((window + k) * STEP + inner)
+        scores.append(e[inner, :, window])
+    where, e = np.concatenate(open_), np.concatenate(scores)
+    tags, sure = np.zeros(int(windows.sum()) * STEP, np.int8), np.ones(int(windows.sum()) * STEP, bool)
+    sure[where] = False
+    new = np.flatnonzero(np.r_[True, (np.diff(where) > 1) | np.isin(where[1:], begin)]) if len(where) else where
+    length = np.diff(np.r_[new, len(where)])
+    start = where[new]
+    text = np.searchsorted(begin, start, "right") - 1
+    heads, tails = (start == begin[text]) & first, (start + length == begin[text] + sizes[text]) & last
+    order, k = np.argsort(length, kind="stable"), 0
+    while k < len(order):
+        row = order[k : k + max(1, min(4096, (1 << 17) // int(length[order[k]])))]
+        row = row[length[row] <= 2 * length[row[0]] + 8]
+        k += len(row)
+        place = new[row][:, None] + np.arange(length[row].max())
+        y = net.best(e[np.minimum(place, len(e) - 1)], length[row], heads[row], tails[row])
+        there = np.arange(place.shape[1]) < length[row][:, None]
+        tags[where[place[there]]] = y[there]
+    return begin, tags, sure
+
+
+def _runs(tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """Labelled spans of a row of tags."""
+    kind, before = (tags + 1) // 2, np.r_[0, tags[:-1]]
+    new = (tags > 0) & ((tags % 2 == 1) | ((before + 1) // 2 != kind))
+    start = np.flatnonzero(new)
+    stop = np.flatnonzero(np.r_[(tags > 0)[:-1] & ((tags[1:] == 0) | new[1:]), tags[-1] > 0]) + 1
+    return [(LABELS[int(kind[a]) - 1], int(a), int(b)) for a, b in zip(start, stop, strict=True)]
+
+
+def network_spans(texts: list[str], net: Net) -> list[list[tuple[str, int, int]]]:
+    """Labelled spans of whole texts, as the best path of tags has them. Texts beyond PIECE signs are read piece by piece:
+    a new one begins, one window before, at a sign that surely has no label."""
+    out: list[list] = [[] for _ in texts]
+    group: list[int] = []
+    short = [i for i, t in enumerate(texts) if 0 < len(t) <= PIECE]
+    for n, i in enumerate(short):
+        group.append(i)
+        if n + 1 == len(short) or sum(len(texts[j]) for j in group) + len(texts[short[n + 1]]) > PIECE:
+            begin, tags, _ = labels([texts[j] for j in group], net)
+            ends = begin + [len(texts[j]) for j in group]
+            spans = _runs(tags)
+            of = np.searchsorted(begin, [a for _, a, _ in spans], "right") - 1
+            for k, (kind, a, b) in zip(of.tolist(), spans, strict=True):
+                out[group[k]].append((kind, a - int(begin[k]), min(b, int(ends[k])) - int(begin[k])))
+            group = []
+    for i, t in enumerate(texts):
+        done, size, parts = 0, PIECE, []
+        while len(t) > PIECE and done < len(t):
+            at = max(0, done // STEP - 1) * STEP
+            stop = min(len(t), at + (size // STEP) * STEP + WIDTH - STEP)
+            _, tags, sure = labels([t[at:stop]], net, at == 0, stop == len(t))
+            upto = len(t)
+            if stop < len(t):
+                safe = np.flatnonzero(sure[: stop - at - WIDTH]) + at
+                upto = int(safe[-1]) if len(safe) else 0
+                if upto <= done:
+                    size *= 2  # no such sign in the piece: a longer one
                     continue
-                if open_span:
-                    found.append(tuple(open_span))
-                    open_span = None
-                if tag:
-                    open_span = [kind, place, place + 1]
-            upto = w * STEP + b
-        if open_span:
-            found.append(tuple(open_span))
-        more = []
+            parts.append(tags[done - at : upto - at])  # without the room after its end
+            done, size = upto, PIECE
+        if parts:
+            out[i] = _runs(np.concatenate(parts))
+    return out
+
+
+def find(texts: list[str], net: Net) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """(base spans, all spans) of each text. Spans of the network are widened to whole words; those that touch a
+    base span or that can't be their kind are dropped."""
+    out = []
+    for text, found in zip(texts, network_spans(texts, net), strict=True):
+        base, more = base_spans(text) if text else [], []
         for kind, a, b in found:
             while a < b and text[a] in " \n,;:.":
                 a += 1
             while a < b and text[b - 1] in " \n,;:.":
                 b -= 1
-            whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-            if whole and _fits(kind, text[a:b]) and not any(x < b and a < y for _, x, y in base):
+            while 0 < a < b and text[a].isalnum() and text[a - 1].isalnum():
+                a -= 1
+            while a < b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
+                b += 1
+            if a < b and _fits(kind, text[a:b]) and not any(x < b and a < y for _, x, y in [*base, *more]):
                 more.append((kind, a, b))
-        out.append((base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+        out.append((base, sorted(base + more, key=lambda s: (LABELS.index(s[0]), s[1], s[2]))))
     return out
 
 
@@ -349,13 +472,15 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Net | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per row of docs.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans), one row per row of docs.
 
-    Counts and base_sha256 are of the base patterns' spans; spans has these and the network's. Null and empty texts
-    have no spans. Repeated rows come out repeated; other columns are ignored; an empty table gives an empty result.
-    Every text is read whole, by itself, without a shuffle; the network, a few kilobytes, travels with the tasks.
+    The counts of the four kinds and base_sha256 are of the base patterns' spans; spans, n_secret and n_spans have
+    these and the network's. Null and empty texts have no spans. Repeated rows come out repeated; other columns are
+    ignored; an empty table gives an empty result. Every text is read whole, by itself, without a shuffle; the
+    network, a few kilobytes, travels with the tasks.
     """
     params = (net or trained()).p
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Net(params)
@@ -364,7 +489,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 part = b.slice(at, 256)
                 got = find([t or "" for t in part.column(1).to_pylist()], own)
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in got], pa.int64()) for k in KINDS]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got]), pa.array([joined(x) for _, x in got], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                more = [pa.array([sum(s[0] == "secret" for s in x) for _, x in got], pa.int64()), pa.array([len(x) for _, x in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got]), pa.array([joined(x) for _, x in got], pa.string()), *more], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return in_small_batches(rows).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
