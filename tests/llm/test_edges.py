@@ -160,15 +160,53 @@ def test_html_parts():
     assert html_density.extract("<div>" * 5000 + "deep") == "deep"
 
 
-def test_long_words_and_repeats():
-    tokens = fertility.Tokens(fertility.MODEL)
-    m = fertility.measure("x" * 200_000, tokens)
+def test_long_words_and_scripts():
+    tokens = fertility.Tokens()
+    one = lambda t: fertility.measure(t, tokens.encode([t])[0], tokens.is_byte)
+    m = one("x" * 200_000)
     assert m["n_words"] == 1 and m["word_chars"] == 200_000 and m["n_tokens"] > 0
-    m = fertility.measure("Und " * 500, tokens)
-    assert fertility.verdict(m, "de", fertility.Rules())[1] is False and m["n_repeat_words"] == 500
+    assert one("Und " * 500)["n_repeat_words"] == 500 and one("")["n_tokens"] == 0
     assert fertility.script_of("Привет мир ok") == "cyrillic" and fertility.script_of("123") == "other"
 
 
+def test_tokens_are_the_libraries_own(spark):
+    """Ids of whole texts, line ends, tabs and repeated spaces too, are those of the libraries."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["", " ", "\n", "a\tb  c\n\n d\r\ne \u00a0 f\u2003g", "  two", "\n\nthree \n", "x\t", "\t x", "don't  we'll\n\t\n", "▁ a▁b", "é\u3000 ñ \x85 z"]
+    tokens = fertility.Tokens()
+    for t, ids in zip(texts, tokens.encode(texts), strict=True):
+        want = [tokens.sp.encode(t), *(e.encode_ordinary(t) for e in tokens.others)]
+        assert [x.tolist() for x in ids] == want
+
+
+def test_rules_query_against_brute_force(spark):
+    """Base columns of every row of the table, and that the bands decide: gibberish goes, the other texts stay."""
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(4)
+    odd = [(10_000 + i, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz0123456789#~^") for _ in range(9)) for _ in range(120)), "en") for i in range(5)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    texts = {x.doc_id: x.text or "" for x in both.collect()}
+    rows = fertility.quality_rules(both).collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        t = texts[x.doc_id]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        hit = {k for i, w in enumerate(three) if three.count(w) > 1 for k in range(i, i + 3)} if len(three) < 3000 else None
+        lines, dup, seen = [y for y in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)], 0, set()
+        for y in lines:
+            dup += y in seen
+            seen.add(y)
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup)
+        assert hit is None or x.n_repeat_words == len(hit)
+        assert x.base_failed == (len(words) < 50 or 100 * x.n_repeat_words > 50 * len(words)) and not (x.kept and x.base_failed)
+    assert not any(x.kept for x in rows if x.doc_id >= 10_000) and not any(x.base_failed for x in rows if x.doc_id >= 10_000)
+    good = {x.doc_id for x in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").collect()}
+    assert all(x.kept for x in rows if x.doc_id in good and not x.base_failed)
+
+
 def test_pii_patterns():
     naive = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     text = "a@b a.b@c.de@f.gh x@y.z..q 1.2.3.4.5 300.1.1.1 01.002.3.4 4111 1111-1111 1111 4111111111111112 +1 (555) 010-9999 +1 +12345678 1234567890 + 12 é@é.é 9@9.9"

@@ -1,42 +1,52 @@
-"""Quality rules: plain counts over words and lines, and the fertility of public tokenizers."""
+"""Quality rules: plain counts over words and lines, and the fertility of public tokenizers.
+
+Whole texts are encoded with three public vocabularies. For each, characters per token and the evenness of its tokens
+(their entropy over the greatest that so many tokens can have) are measured, and the byte-fallback share of the one
+that has such tokens. What is usual is taken from the documents themselves: for each language, and each script for
+texts whose language is unknown or rare, the median and the quartiles of each measure over all texts that pass the base
+rule. A text is rejected that lies too many deviations from the median in any of them.
+"""
 
 from __future__ import annotations
 
+import base64
+import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import word_blocks
+from tracewell.llm.text import in_small_batches, word_blocks
+from tracewell.scratch import written
 
+#: SentencePiece model with byte fallback, and two byte-level vocabularies as ranks.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-
-
-@dataclass(frozen=True)
-class Band:
-    """What a text may have: characters per token, share of byte-fallback tokens, token entropy in bits."""
-
-    least_chars: float = 1.3
-    most_chars: float = 7.0
-    most_bytes: float = 0.25
-    least_entropy: float = 3.0
-    most_entropy: float = 14.5
+RANKS = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+# Fixed value: the pattern by which these vocabularies split texts.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What bands are drawn for; of the byte share only an upper bound.
+MEASURES = ["chars_per_token", "evenness", "byte_share", "chars_per_token_2", "evenness_2", "chars_per_token_3", "evenness_3"]
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. A text of under min_tokens tokens is too short for its entropy or its shares to mean much and is
-    held against no band. by_lang goes before by_script; other texts fall under `other`."""
+    """Parameters. A text of under min_tokens tokens is too short for its shares to mean much and is held against no
+    band. A band reaches `deviations` robust standard deviations (quartile range / 1.349, `least` at least) to both
+    sides of the median, and for short texts further: by the root of 1 + short / tokens. Groups of under min_rows rows
+    have no band of their own: a language's texts then fall under their script's, a script's under that of all."""
 
     min_words: int = 50
     most_repeated: int = 50  # words in repeated windows, in hundredths
     min_tokens: int = 50
-    by_lang: dict[str, Band] = field(default_factory=dict)
-    by_script: dict[str, Band] = field(default_factory=lambda: {"latin": Band(), "cyrillic": Band(1.1), "cjk": Band(0.4, 2.5, 0.7), "kana": Band(0.4, 2.5, 0.7), "hangul": Band(0.3, 2.5, 0.9), "arabic": Band(0.7, 6.0, 0.5), "devanagari": Band(0.4, 6.0, 0.7), "greek": Band(0.7, 6.0, 0.5), "hebrew": Band(0.7, 6.0, 0.5), "thai": Band(0.4, 6.0, 0.7)})
-    other: Band = field(default_factory=lambda: Band(0.25, 8.0, 0.95))
+    deviations: float = 8.0
+    least: float = 0.003
+    short: float = 300.0
+    min_rows: int = 100
 
 
 # First and last code points of the scripts' main blocks.
@@ -75,90 +85,153 @@ def repeated_words(ids: np.ndarray, width: int = 3) -> int:
     return int(hit.sum())
 
 
+_S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_W = _S.replace("\t-\r ", "\t\x0b-\r")  # white space but for the space and the line end
+#: Parts of a text that all three vocabularies encode by themselves: each begins at a space or a line end.
+_PART = re.compile(f"[{_S}]*[^{_S}]+(?:[{_W}][{_S}]*[^{_S}]+)*(?:[{_W}][{_S}]*\\Z)?|[{_S}]+")
+
+
 class Tokens:
-    """Tokens of words under one SentencePiece vocabulary. Its pieces hold a word mark at their start only, so a text's
-    tokens are those of its words; words met before are looked up, in a cache of bounded size."""
+    """Ids of whole texts under the three vocabularies. Parts met before are looked up, among a bounded number."""
 
-    def __init__(self, model: str, most: int = 200_000, longest: int = 1 << 16) -> None:
+    def __init__(self, model: str = MODEL, ranks: tuple[str, ...] = RANKS, most: int = 100_000) -> None:
         import sentencepiece
+        import tiktoken
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.is_byte = np.array([self.sp.IsByte(i) for i in range(self.sp.GetPieceSize())])
-        self.seen: dict[bytes, np.ndarray] = {}
-        self.most, self.longest = most, longest
-
-    def encode(self, word: bytes) -> np.ndarray:
-        text = word.decode("utf-8", "replace")
-        parts = [text[i : i + self.longest] for i in range(0, len(text), self.longest)]
-        return np.array([t for p in parts for t in self.sp.encode(p, num_threads=1)], np.int32)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
+        self.others = []
+        for path in ranks:
+            with open(path, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.others.append(tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=table, special_tokens={}))
+        self.seen: dict[str, tuple[bytes, ...]] = {}
+        self.most = most
+
+    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """For each text its ids under each vocabulary."""
+        parts = [_PART.findall(t) for t in texts]
         seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
+        new = list({x for p in parts for x in p[1:] if x not in seen})
+        if len(seen) + len(new) > self.most:
+            new, self.seen = list({x for p in parts for x in p[1:]}), {}
+            seen = self.seen
+        for at in range(0, len(new), 4096):
+            own = new[at : at + 4096]
+            # The model puts a space before each: one that is there is taken away, one that isn't is dropped after.
+            first = self.sp.encode([x[1:] if x[0] == " " else x for x in own], num_threads=1)
+            rest = [[e.encode_ordinary(x) for x in own] for e in self.others]
+            for k, x in enumerate(own):
+                ids = first[k] if x[0] == " " else first[k][1:]
+                seen[x] = (array("i", ids).tobytes(), *(array("i", r[k]).tobytes() for r in rest))
         out = []
-        for w in words:
-            t = seen.get(w)
-            if t is None:
-                t = self.encode(w)
-                if len(w) < 64:
-                    seen[w] = t
-            out.append(t)
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
-
-
-def measure(text: str, tokens: Tokens) -> dict:
-    """The counts of one text."""
+        for p in parts:
+            begin = [(array("i", self.sp.encode(p[0])).tobytes(), *(array("i", e.encode_ordinary(p[0])).tobytes() for e in self.others))] if p else []
+            rows = begin + [seen[x] for x in p[1:]]
+            out.append([np.frombuffer(b"".join([r[v] for r in rows]), np.int32) for v in range(1 + len(self.others))])
+        for x in new:
+            if len(x) > 64:
+                del seen[x]
+        return out
+
+
+def _evenness(ids: np.ndarray) -> tuple[float, float]:
+    """(entropy in bits, its share of what so many tokens can have)."""
+    if len(ids) < 2:
+        return 0.0, 0.0
+    n = np.unique(ids, return_counts=True)[1]
+    entropy = float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids))
+    return entropy, entropy / float(np.log2(len(ids)))
+
+
+def measure(text: str, ids: list[np.ndarray], is_byte: np.ndarray) -> dict:
+    """The counts and measures of one text."""
     data = text.encode("utf-8", "replace")
     by_byte = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    ids: dict[bytes, int] = {}
-    parts, per_token = [], np.zeros(len(tokens.is_byte), np.int64)
-    for words in word_blocks(data):
-        parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
-        per_token += np.bincount(tokens.of(words), minlength=len(per_token)) if len(words) > 5000 else 0
-        if len(words) <= 5000:
-            np.add.at(per_token, tokens.of(words), 1)
+    of: dict[bytes, int] = {}
+    parts = [np.fromiter((of.setdefault(w, len(of)) for w in words), np.int64, len(words)) for words in word_blocks(data)]
     words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     lines, seen = 0, set()
     for line in text.split("\n"):
         if line.strip(" \t\r\x0b\x0c"):
             lines += line in seen
             seen.add(line)
-    used = per_token[per_token > 0]
-    n = int(used.sum())
-    p = used / max(1, n)
+    n = len(ids[0])
     chars = int(len(data) - by_byte[0x80:0xC0].sum() - by_byte[_BLANKS].sum())
-    return {"n_words": len(words), "word_chars": chars, "n_symbols": int(by_byte[_SYMBOLS].sum()), "n_dup_lines": lines, "n_repeat_words": repeated_words(words), "n_tokens": n, "chars_per_token": chars / n if n else 0.0, "byte_share": float(per_token[tokens.is_byte].sum() / n) if n else 0.0, "entropy": float(-(p * np.log2(p)).sum() + 0.0), "script": script_of(text)}
+    out = {"n_words": len(words), "word_chars": chars, "n_symbols": int(by_byte[_SYMBOLS].sum()), "n_dup_lines": lines, "n_repeat_words": repeated_words(words), "n_tokens": n, "script": script_of(text), "byte_share": float(is_byte[ids[0]].mean()) if n else 0.0}
+    for k, x in enumerate(ids):
+        end = f"_{k + 1}" if k else ""
+        entropy, out[f"evenness{end}"] = _evenness(x)
+        out[f"chars_per_token{end}"] = len(text) / len(x) if len(x) else 0.0
+        if not k:
+            out["entropy"] = entropy
+    return out
 
 
-def verdict(m: dict, lang: str | None, rules: Rules) -> tuple[bool, bool]:
-    """(base_failed, kept)."""
-    failed = m["n_words"] < rules.min_words or 100 * m["n_repeat_words"] > rules.most_repeated * m["n_words"]
-    band = rules.by_lang.get(lang or "") or rules.by_script.get(m["script"], rules.other)
-    fits = m["n_tokens"] < rules.min_tokens or (band.least_chars <= m["chars_per_token"] <= band.most_chars and m["byte_share"] <= band.most_bytes and band.least_entropy <= m["entropy"] <= band.most_entropy)
-    return failed, not failed and fits
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, script string, entropy double, " + ", ".join(f"{m} double" for m in MEASURES)
 
 
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
+@lru_cache(maxsize=2)
+def _tokens(model: str, ranks: tuple[str, ...]) -> Tokens:
+    return Tokens(model, ranks)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", model: str = MODEL, rules: Rules | None = None) -> DataFrame:
-    """(doc_id, the counts, base_failed, kept), one row per row of docs.
-
-    A null or empty text has no words, tokens or symbols, zero in every count, and fails the base rule. A null or
-    unknown language falls back to the band of the text's script. Repeated rows come out repeated; other columns are
-    ignored; an empty table gives an empty result. Every text is measured whole, by itself, without a shuffle.
-    """
-    rules = rules or Rules()
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", model: str = MODEL, ranks: tuple[str, ...] = RANKS) -> DataFrame:
+    """(doc_id, lang, the counts and measures), one row per row of docs; every text is measured whole, by itself."""
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
+    names, kinds = zip(*(c.split() for c in COLUMNS.split(", ")), strict=True)
+    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(model)
+        tokens = _tokens(model, ranks)
         for b in batches:
-            found = [measure(t or "", tokens) for t in b.column(1).to_pylist()]
-            said = [verdict(m, x, rules) for m, x in zip(found, b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[c] for m in found], type={"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[k.split()[1]]) for c, k in zip(names, COLUMNS.split(", "), strict=True)), pa.array([x for x, _ in said], pa.bool_()), pa.array([x for _, x in said], pa.bool_())], ["doc_id", *names, "base_failed", "kept"])
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            found = [measure(t, ids, tokens.is_byte) for t, ids in zip(texts, tokens.encode(texts), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([m[c] for m in found], types[k]) for c, k in zip(names, kinds, strict=True))], ["doc_id", "lang", *names])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    return in_small_batches(rows).mapInArrow(run, f"doc_id long, lang string, {COLUMNS}")
+
+
+def base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words"))
+
+
+def bands(rows: DataFrame, rules: Rules) -> DataFrame:
+    """(group, band): for each language, script and for all texts that pass the base rule, the median and deviation of
+    each measure, where there are rows enough. One row per group; quantiles are put together from partial sketches."""
+    own = rows.where(~base_failed(rules) & (F.col("n_tokens") >= rules.min_tokens))
+    groups = F.explode(F.array(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script"), F.lit("all")))
+    q = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in MEASURES]
+    got = own.select(groups.alias("group"), *MEASURES).where("group IS NOT NULL").groupBy("group").agg(F.count("*").alias("n"), *q).where(F.col("n") >= rules.min_rows)
+    one = lambda m: F.struct(F.get(m, 1).alias("median"), F.greatest((F.get(m, 2) - F.get(m, 0)) / 1.349, F.lit(rules.least)).alias("deviation")).alias(m)
+    return got.select("group", F.struct(*(one(m) for m in MEASURES)).alias("band"))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"))
-    return rows.mapInArrow(run, f"doc_id long, {COLUMNS}, base_failed boolean, kept boolean")
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", model: str = MODEL, ranks: tuple[str, ...] = RANKS, rules: Rules | None = None) -> DataFrame:
+    """(doc_id, the counts and measures, base_failed, kept), one row per row of docs.
+
+    A null or empty text has no words, tokens or symbols, zero in every count, and fails the base rule. A null,
+    unknown or rare language falls back to the band of the text's script, then to that of all texts, and without rows
+    enough for that to none. Repeated rows come out repeated; other columns are ignored; an empty table gives an empty
+    result. Texts are not shuffled; their measures are written once and read for the bands and for the verdicts.
+    """
+    rules = rules or Rules()
+    rows = written(measured(docs, id_col, text_col, lang_col, model, ranks), "measured")
+    found = written(bands(rows, rules), "bands")
+    of = lambda c, kind, out: rows_of(kind, out).withColumnRenamed("name", c)
+
+    def rows_of(kind: str, out: str) -> DataFrame:
+        return found.where(F.startswith("group", F.lit(f"{kind} "))).select(F.expr(f"substring(group, {len(kind) + 2})").alias("name"), F.col("band").alias(out))
+
+    met = rows.join(of("lang", "lang", "by_lang"), "lang", "left").join(of("script", "script", "by_script"), "script", "left")
+    met = met.join(F.broadcast(found.where("group = 'all'").select(F.col("band").alias("by_all"))), F.lit(True), "left")  # one row at most
+    band = F.coalesce("by_lang", "by_script", "by_all")
+    wide = rules.deviations * F.sqrt(1 + rules.short / F.greatest("n_tokens", F.lit(1)))
+    off = lambda m: (F.col(m) - band[m]["median"]) / band[m]["deviation"]
+    out_of = F.lit(False)
+    for m in MEASURES:
+        out_of = out_of | ((off(m) if m == "byte_share" else F.abs(off(m))) > wide)
+    fits = (F.col("n_tokens") < rules.min_tokens) | band.isNull() | ~out_of
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    return met.select("doc_id", *names, base_failed(rules).alias("base_failed"), (~base_failed(rules) & fits).alias("kept"))

@@ -40,7 +40,8 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fertility.quality_rules(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "script")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*first, *(c for c in found.columns if c not in first))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
