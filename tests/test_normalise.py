@@ -47,3 +47,29 @@ def test_crypto_pairs_and_stems(spark):
     index = spark.createDataFrame([(1, "phone", "9876543210"), (2, "handle", "a@b")], "doc_id long, kind string, value string")
     asked = spark.createDataFrame([("+91 98765 43210",), ("A@B",), ("zzz",)], "value string")
     assert {(r.asked, r.doc_id) for r in normalise.find_mentions(index, asked).collect()} == {("+91 98765 43210", 1), ("A@B", 2)}
+
+
+def test_mentions_one_sign_apart(spark):
+    from tracewell.functions import scalars
+
+    text = "9876543210 9876543211 9876543212, 10.0.0.1 10.0.0.2;1.2.3.4.5 119876543210"
+    got = spark.createDataFrame([(text,)], "t string").select(*(c.alias(k) for k, c in scalars.mentions(F.col("t")).items())).first()
+    assert got.phones == ["9876543210", "9876543211", "9876543212"] and got.ips == ["10.0.0.1", "10.0.0.2"] and got.devices == []
+
+
+def test_rupees_by_any_name(spark):
+    from tracewell.functions import scalars
+
+    rows = [("Rs",), ("rupees",), ("INR.",), (" inr ",), (None,), ("btc",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(scalars.asset(F.col("c"))).collect()]
+    assert got == ["INR"] * 5 + ["CRYPTO:BTC"]
+
+
+def test_sessions_of_other_addresses_are_others(spark):
+    from tracewell.operators import ledger
+
+    t = "2024-01-01 10:00:00"
+    rows = [(1, "IP_SESSION", 5, t, t, "1.1.1.1", 80), (2, "IP_SESSION", 5, t, t, "1.1.1.1", 81), (3, "IP_SESSION", 5, t, t, None, 80), (4, "IP_SESSION", 5, t, t, "-", 80), (5, "IP_SESSION", 5, t, t, "1.1.1.1", 80)]
+    e = spark.createDataFrame(rows, "event_id long, event_type string, entity_id long, ts_start string, ts_end string, public_ip string, port int")
+    blank = {c: F.lit(None).cast("string") for c in ("counterparty_entity_id", "amount", "direction", "ref_no", "duration")}
+    assert sorted(r.event_id for r in ledger.dedupe(e.withColumns(blank)).collect()) == [1, 2, 3, 4]

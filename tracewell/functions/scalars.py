@@ -86,9 +86,13 @@ def bank_movement(debit: Column, credit: Column, signed: Column) -> Column:
     return F.when(F.coalesce(d, F.lit(0.0)) != 0, pair(d, "DEBIT")).when(F.coalesce(c, F.lit(0.0)) != 0, pair(c, "CREDIT")).when(s < 0, pair(s, "DEBIT")).when(s.isNotNull(), pair(s, "CREDIT"))
 
 
+# Names of the rupee in currency columns.
+RUPEES = ["INR", "INR.", "RS", "RS.", "RUPEE", "RUPEES", "₹"]
+
+
 def asset(currency: Column) -> Column:
     u = F.upper(F.trim(currency))
-    return F.when(u.isNull() | (u == "") | (u == "INR"), "INR").otherwise(F.concat(F.lit("CRYPTO:"), u))
+    return F.when(u.isNull() | u.isin("", *RUPEES), "INR").otherwise(F.concat(F.lit("CRYPTO:"), u))
 
 
 def number_in_name(file: Column) -> Column:
@@ -101,7 +105,12 @@ def payment_handles(c: Column) -> Column:
 
 
 #: Identifiers that documents mention, by pattern; each value once, sorted.
-MENTIONS = {"phones": "(?:^|[^0-9])([6-9][0-9]{9})(?:$|[^0-9])", "devices": "(?:^|[^0-9])([0-9]{15,16})(?:$|[^0-9])", "handles": "([A-Za-z0-9._-]{2,}@[A-Za-z]{2,})", "ips": "(?:^|[^0-9.])([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})(?:$|[^0-9.])"}
+MENTIONS = {
+    "phones": "(?<![0-9])([6-9][0-9]{9})(?![0-9])",
+    "devices": "(?<![0-9])([0-9]{15,16})(?![0-9])",
+    "handles": "([A-Za-z0-9._-]{2,}@[A-Za-z]{2,})",
+    "ips": "(?<![0-9.])([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})(?![0-9.])",
+}
 
 
 def mentions(c: Column) -> dict[str, Column]:

@@ -36,13 +36,15 @@ def activity(events: DataFrame, kinds: list[str]) -> DataFrame:
 SAME = {
     "TRANSACTION": ["entity_id", "counterparty_entity_id", "amount", "direction", "ref_no", "ts_start"],
     "CALL": ["entity_id", "counterparty_entity_id", "ts_start", "duration"],
-    "IP_SESSION": ["entity_id", "ts_start", "ts_end"],
+    "IP_SESSION": ["entity_id", "ts_start", "ts_end", "public_ip", "private_ip", "port", "destination_ip"],
 }
 
 
 def dedupe(events: DataFrame, order: str = "event_id") -> DataFrame:
-    """The first event of each key; the key depends on the type, and nulls in it are equal."""
-    key = F.coalesce(*(F.when(F.col("event_type") == k, F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in cols)))) for k, cols in SAME.items()))
+    """The first event of each key; the key depends on the type, nulls in it are equal to each other alone, and columns
+    that events do not have are left out of it."""
+    own = {k: [F.col(c).cast("string").alias(c) for c in cols if c in events.columns] for k, cols in SAME.items()}
+    key = F.coalesce(*(F.when(F.col("event_type") == k, F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})) for k, cols in own.items()))
     w = Window.partitionBy("event_type", key).orderBy(order)
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -134,7 +134,20 @@ def r16_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.money_edges(_transfers(spark, sf_dir)))
 
 
-_DIGRAPH = f"""{TRANSFERS_SQL}, g AS (SELECT from_entity AS s, to_entity AS d, arg_max(epoch_us(ts), ref) AS t FROM tr WHERE amount >= 150 GROUP BY 1, 2)"""
+#: The edges of the structural rules: transfers of the smaller of the configured floor and the upper median.
+_STRONG = "amount >= least(150, (SELECT list_sort(list(amount))[count(*) // 2 + 1] FROM tr))"
+_DIGRAPH = f"""{TRANSFERS_SQL}, g AS (SELECT from_entity AS s, to_entity AS d, arg_max(epoch_us(ts), ref) AS t FROM tr WHERE {_STRONG} GROUP BY 1, 2)"""
+
+
+def _cycles_sql(longest: int) -> str:
+    """Each simple cycle of two to `longest` edges once, from its smallest node, as a list p: one join per edge."""
+    parts = []
+    for n in range(2, longest + 1):
+        nodes = ["e1.s", *(f"e{k}.d" for k in range(1, n))]
+        joins = " ".join(f"JOIN g e{k} ON e{k}.s = e{k - 1}.d" for k in range(2, n + 1))
+        apart = [f"e1.s < {x}" for x in nodes[1:]] + [f"{x} <> {y}" for i, x in enumerate(nodes[1:]) for y in nodes[i + 2 :]]
+        parts.append(f"SELECT [{', '.join(nodes)}] AS p FROM g e1 {joins} WHERE e{n}.d = e1.s AND {' AND '.join(apart)}")
+    return " UNION ALL ".join(parts)
 
 
 def _digraph(tr: DataFrame) -> DataFrame:
@@ -146,12 +159,8 @@ def _strong_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digraph(_transfers(spark, sf_dir))
 
 
-@query(f"""WITH {_DIGRAPH}, c AS (
-      SELECT [a.s, a.d] AS p FROM g a JOIN g b ON b.s = a.d AND b.d = a.s WHERE a.s < a.d
-      UNION ALL SELECT [a.s, a.d, b.d] FROM g a JOIN g b ON b.s = a.d JOIN g c ON c.s = b.d AND c.d = a.s WHERE a.s < a.d AND a.s < b.d AND a.d <> b.d
-      UNION ALL SELECT [a.s, a.d, b.d, c.d] FROM g a JOIN g b ON b.s = a.d JOIN g c ON c.s = b.d JOIN g e ON e.s = c.d AND e.d = a.s
-                WHERE a.s < a.d AND a.s < b.d AND a.s < c.d AND a.d <> b.d AND a.d <> c.d AND b.d <> c.d),
-    u AS (SELECT unnest(p) AS entity_id, len(p) AS n FROM c) SELECT entity_id, count(*) AS cycles, min(n)::INT AS shortest FROM u GROUP BY entity_id""")
+@query(f"""WITH {_DIGRAPH}, c AS ({_cycles_sql(6)}), u AS (SELECT unnest(p) AS entity_id, len(p) AS n FROM c)
+    SELECT entity_id, count(*) AS cycles, min(n)::INT AS shortest FROM u GROUP BY entity_id""")
 def r07_circular_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.circular_flow(_strong_graph(spark, sf_dir), _T.cycle_length)
 
@@ -253,10 +262,8 @@ _FLAGS_SQL = f"""WITH {_hits_sql(60)}, tr AS (SELECT entity_id AS f, cp AS t, am
     co AS (SELECT entity_id, count(*) FILTER (tier = 'STRONG') AS strong, count(*) AS n FROM hits GROUP BY 1),
     cb AS (SELECT entity_id, max(n) AS most FROM (SELECT entity_id, count(*) OVER (PARTITION BY entity_id ORDER BY ts_start RANGE BETWEEN INTERVAL 60 MINUTES PRECEDING AND CURRENT ROW) AS n FROM ev WHERE event_type = 'CALL') x GROUP BY 1),
     da AS (SELECT entity_id, max(g) AS gap FROM (SELECT entity_id, (epoch_us(ts_start) - epoch_us(lag(ts_start) OVER (PARTITION BY entity_id ORDER BY ts_start))) / 86400000000.0 AS g FROM ev WHERE event_type = 'TRANSACTION') x GROUP BY 1),
-    g AS (SELECT f AS s, t AS d, arg_max(epoch_us(ts), ref_no) AS t FROM tr WHERE amount >= 150 GROUP BY 1, 2),
-    cy AS (SELECT [a.s, a.d] AS p FROM g a JOIN g b ON b.s = a.d AND b.d = a.s WHERE a.s < a.d
-      UNION ALL SELECT [a.s, a.d, b.d] FROM g a JOIN g b ON b.s = a.d JOIN g c ON c.s = b.d AND c.d = a.s WHERE a.s < a.d AND a.s < b.d AND a.d <> b.d
-      UNION ALL SELECT [a.s, a.d, b.d, c.d] FROM g a JOIN g b ON b.s = a.d JOIN g c ON c.s = b.d JOIN g e ON e.s = c.d AND e.d = a.s WHERE a.s < a.d AND a.s < b.d AND a.s < c.d AND a.d <> b.d AND a.d <> c.d AND b.d <> c.d),
+    g AS (SELECT f AS s, t AS d, arg_max(epoch_us(ts), ref_no) AS t FROM tr WHERE {_STRONG} GROUP BY 1, 2),
+    cy AS ({_cycles_sql(6)}),
     la AS (SELECT DISTINCT unnest([a.s, a.d, b.d, c.d]) AS entity_id FROM g a JOIN g b ON b.s = a.d AND b.d <> a.s AND b.t - a.t <= 172800000000 JOIN g c ON c.s = b.d AND c.d <> a.s AND c.d <> a.d AND c.t - a.t <= 172800000000),
     flags AS (SELECT entity_id, 'rapid_in_out' AS rule, 0.2::DOUBLE AS weight, forwarded::DOUBLE AS value FROM fw WHERE forwarded >= 0.8
       UNION ALL SELECT entity_id, 'mule_account', 0.15, forwarded FROM fw JOIN fi USING (entity_id) WHERE fan_in >= 5 AND forwarded >= 0.7
@@ -330,7 +337,7 @@ def a04_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- entities
 
-_IDS = """e AS (SELECT DISTINCT 'PHONE:' || user_id AS a, 'IMEI:' || regexp_extract(props, '([0-9]+)', 1) || '-' || (user_id // 10) AS b FROM events WHERE event_id % 20 = 0),
+_IDS = """e AS (SELECT DISTINCT 'PHONE:' || user_id AS a, 'IMEI:' || regexp_extract(props, '([0-9]+)', 1) || '-' || (user_id // 10) AS b FROM events),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS n, a AS m FROM u UNION SELECT b, m FROM r JOIN u ON u.a = r.n), c AS (SELECT n AS identifier, min(m) AS entity_id FROM r GROUP BY n)"""
 
 
@@ -430,8 +437,9 @@ def f07_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, len(p) AS phones, array_to_string(p, ',') AS phone_list, len(h) AS handles, array_to_string(i, ',') AS ips FROM (SELECT doc_id,
-    list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])([6-9][0-9]{9})(?:$|[^0-9])', 1))) AS p, list_distinct(regexp_extract_all(text, '([A-Za-z0-9._-]{2,}@[A-Za-z]{2,})', 1)) AS h,
-    list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^0-9.])([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})(?:$|[^0-9.])', 1))) AS i FROM documents WHERE text IS NOT NULL) x""")
+    list_sort(list_distinct(list_filter(string_split_regex(text, '[^0-9]+'), lambda x: regexp_full_match(x, '[6-9][0-9]{9}')))) AS p,
+    list_distinct(regexp_extract_all(text, '([A-Za-z0-9._-]{2,}@[A-Za-z]{2,})', 1)) AS h,
+    list_sort(list_distinct(list_filter(string_split_regex(text, '[^0-9.]+'), lambda x: regexp_full_match(x, '[0-9]{1,3}([.][0-9]{1,3}){3}')))) AS i FROM documents WHERE text IS NOT NULL) x""")
 def f37_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scalars.mentions(F.col("text"))
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", m["phones"].alias("p"), m["handles"].alias("h"), m["ips"].alias("i"))
