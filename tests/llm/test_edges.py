@@ -160,6 +160,34 @@ def test_html_parts():
     assert html_density.extract("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_faults():
+    say = html_density.extract
+    assert say("<article><p data-x=it's>Text one here.</p><p>don't lose me</p></article>") == "Text one here.\n\ndon't lose me"
+    long = "A sentence of the article that goes on for a while. " * 6
+    assert say(f"<main><p>one</p><form><p>{long}</p></form></main>") == f"one\n\n{long.strip()}"
+    assert say(f"<article><p>{long}</p><p class='social-science'>On science.</p><form>Your name <input></form></article>") == f"{long.strip()}\n\nOn science."
+    assert say(f"<article><p>{long}</p><p class='notice big'>We use things.</p><div class='share-buttons'>Share it</div></article>") == long.strip()
+    assert say('<p title="a > b">x <b>y</b></p><p alt=\'it"s\'>z</p>') == "x y\n\nz"
+
+
+def test_html_takes_linear_time():
+    import time
+
+    t = time.process_time()
+    say = html_density.extract
+    assert say("<div>" * 60_000 + "deep" + "</span>" * 60_000) == "deep" and say("<span>" * 3000 + "<p>x</p>" * 3000).count("x") == 3000
+    assert time.process_time() - t < 20
+
+
+def test_density_decides_without_article_or_main():
+    """Without names of elements, the densest subtree is taken and link lists are left out."""
+    links = "".join(f"<li><a href=x{i}>Link number {i} to a page</a></li>" for i in range(30))
+    body = "".join(f"<p>Paragraph {i} tells, in some sentences of plain words, what the page is about and why.</p>" for i in range(8))
+    for a, b in ((f"<div id=x1><ul>{links}</ul></div>", ""), ("", f"<table><tr><td><ul>{links}</ul></td></tr></table>")):
+        got = html_density.extract(f"<html><body>{a}<div id=x2><h1>The title</h1>{body}</div>{b}</body></html>")
+        assert got.startswith("The title\n\nParagraph 0") and got.count("Paragraph") == 8 and "Link number" not in got
+
+
 def test_long_words_and_scripts():
     tokens = fertility.Tokens()
     one = lambda t: fertility.measure(t, tokens.encode([t])[0], tokens.is_byte)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import fresh
+from tracewell.llm.text import fresh, in_small_batches
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z))""", re.S)
+# A quoted value follows an equals sign; elsewhere, as inside an unquoted value, a quote is a sign like others.
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')|=)*+)(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 # Element names of HTML by their role.
@@ -22,8 +24,8 @@ RAW = frozenset("script style textarea title noscript iframe template svg math".
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section main div body html aside nav footer header blockquote form figure".split())
-#: Never part of an article: menus, page footers, sidebars, forms, and what isn't text.
-DROPPED = frozenset("nav footer aside form button select script style noscript head iframe template svg math textarea dialog menu object audio video canvas".split())
+#: Never part of an article: menus, page footers, sidebars, and what isn't text.
+DROPPED = frozenset("nav footer aside button select script style noscript head iframe template svg math textarea dialog menu object audio video canvas".split())
 #: Words in class, id or role that mark menus, notices, adverts and reader comments.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies copyright disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion recommended related respond responses search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget".split()
@@ -36,37 +38,48 @@ class Page:
     """A page's elements as parallel lists; a child always comes after its parent."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.dropped, self.home = ["html"], [-1], [False], [False]
+        self.tag, self.parent, self.dropped, self.home, self.doubtful = ["html"], [-1], [False], [False], [False]
         self.text: list[list[tuple[int, str]]] = [[]]  # (order, words) directly inside
         self.order = 0
 
-    def add(self, tag: str, parent: int, dropped: bool, home: bool) -> int:
+    def add(self, tag: str, parent: int, dropped: bool, home: bool, doubtful: bool = False) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(dropped)
         self.home.append(home)
+        self.doubtful.append(doubtful)
         self.text.append([])
         return len(self.tag) - 1
 
 
-def _marked(tag: str, attributes: str, in_home: bool) -> bool:
+#: Elements that hold a paragraph or less; only a whole name in their class marks them, not a part of one.
+LINES = frozenset("p span a b i em strong small h1 h2 h3 h4 h5 h6 blockquote pre code td th li dt dd figcaption q cite time".split())
+
+
+def _marked(tag: str, attributes: str, in_home: bool) -> tuple[bool, bool]:
+    """(is surely no article text, is none unless it holds most of the page's text)."""
     if tag in DROPPED or tag == "header" and not in_home:
-        return True
+        return True, False
     if tag in ("body", "html"):
-        return False
+        return False, False
+    doubtful = tag == "form"
     for name, value in _NAMES.findall(attributes):
+        value = value.strip("\"'")
+        whole = set(value.lower().split())
         words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
         if name.lower() == "role" and words & {"main", "article"}:
             continue
-        if words & MARKS or not in_home and words & _SITE:
-            return True
-    return False
+        names = MARKS if in_home else MARKS | _SITE
+        if whole & names:
+            return True, False
+        doubtful |= tag not in LINES and bool(words & names)
+    return False, doubtful
 
 
 def parse(source: str) -> tuple[Page, list[tuple[int, str | None]]]:
     """The page and its events in order: (element, words), or (element, None) where a block begins or ends."""
     page, stack, events, at = Page(), [0], [], 0
-    size = len(source)
+    size, opened = len(source), Counter()
     while at < size:
         m = _TAG.search(source, at)
         words = source[at : m.start() if m else size]
@@ -80,10 +93,10 @@ def parse(source: str) -> tuple[Page, list[tuple[int, str | None]]]:
         if not tag:
             continue
         if m[1]:
-            if any(page.tag[x] == tag for x in stack[1:]):
+            if opened[tag]:
                 while page.tag[stack[-1]] != tag:
-                    stack.pop()
-                stack.pop()
+                    opened[page.tag[stack.pop()]] -= 1
+                opened[page.tag[stack.pop()]] -= 1
                 if tag in BLOCK:
                     events.append((stack[-1], None))
             continue
@@ -93,16 +106,18 @@ def parse(source: str) -> tuple[Page, list[tuple[int, str | None]]]:
                 page.add(tag, stack[-1], page.dropped[stack[-1]], False)
             continue
         ends = CLOSES.get(tag) or ({"p"} if tag in BLOCK else None)
-        if ends:
+        if ends and any(opened[x] for x in ends):
             for depth in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[depth]] in ends:
+                    opened.subtract(page.tag[x] for x in stack[depth:])
                     del stack[depth:]
                     break
                 if page.tag[stack[depth]] in SCOPE:
                     break
         up = stack[-1]
         home = page.home[up] or tag in _HOME or 'role="main"' in m[3]
-        node = page.add(tag, up, page.dropped[up] or _marked(tag, m[3], page.home[up]), home)
+        sure, doubtful = _marked(tag, m[3], page.home[up])
+        node = page.add(tag, up, page.dropped[up] or sure, home, doubtful)
         if tag in BLOCK:
             events.append((up, None))
         if tag in RAW and not m[3].endswith("/"):
@@ -110,9 +125,21 @@ def parse(source: str) -> tuple[Page, list[tuple[int, str | None]]]:
             at = end.end() if end else size
         elif not (m[3].endswith("/") and tag not in BLOCK):
             stack.append(node)
+            opened[tag] += 1
     return page, events
 
 
+def _settle(page: Page, own: list[int]) -> None:
+    """Drops doubtful elements with all inside them, but for those that hold over half of the page's text."""
+    n = len(page.tag)
+    held = list(own)
+    for i in range(n - 1, 0, -1):
+        if not page.dropped[i]:
+            held[page.parent[i]] += held[i]
+    for i in range(1, n):
+        page.dropped[i] = page.dropped[i] or page.dropped[page.parent[i]] or page.doubtful[i] and 2 * held[i] <= held[0]
+
+
 def extract(source: str) -> str:
     """Main text of one page, blocks joined by blank lines; empty if the page has no text."""
     page, events = parse(source)
@@ -121,6 +148,9 @@ def extract(source: str) -> str:
     for node, words in events:
         if words:
             own[node] += sum(map(len, words.split()))
+    _settle(page, own)
+    events = [(node, words) for node, words in events if words is None or not page.dropped[node]]
+    own = [0 if d else x for x, d in zip(own, page.dropped, strict=True)]
     in_link = [False] * n
     for i in range(1, n):
         in_link[i] = page.tag[i] == "a" or in_link[page.parent[i]]
@@ -203,4 +233,5 @@ def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     kept = pages.select(*(F.col(f"`{c}`") for c in others))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "text string"])
-    return pages.select(*(F.col(f"`{c}`") for c in others), F.col(html_col).alias(fresh(others, "html")[0])).mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    sent = pages.select(*(F.col(f"`{c}`") for c in others), F.col(html_col).alias(fresh(others, "html")[0]))
+    return in_small_batches(sent).mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
