@@ -3,7 +3,8 @@
 The network is trained once in a process, from lines with labelled spans that a seeded generator writes: personal data
 and secrets in plain, spaced, bracketed and written-out forms, between words, dates, prices, versions and other numbers
 that are none. Every text is read whole, in windows of WIDTH signs, the last WIDTH - STEP of which the next has too.
-There the scores of both count half each; over the scores of the whole text one best path of labels is found. A sign
+Gates and states of the network use z / (1 + |z|)
+in place of exponentials. Where windows overlap the scores of both count half each; over the scores of the whole text one best path of labels is found. A sign
 whose score for no label beats all others by more than transitions can make up for has no label on that path, so the
 path is searched only between such signs, which changes nothing.
 """
@@ -29,9 +30,9 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELS = [*KINDS, "secret"]
 WIDTH, STEP = 256, 224
 #: Windows of lines that the network learns from, and windows that are read at once.
-LEARNT, AT_ONCE = 96, 1024
+LEARNT, AT_ONCE = 96, 2048
 #: Signs of texts that are read at once.
-PIECE = 1 << 18
+PIECE = 1 << 19
 _ANCHOR = re.compile(r"[0-9@]")
 
 # The base patterns. A match may begin at the first digit of a run only, which gives the same matches.
@@ -152,6 +153,16 @@ def tags_of(size: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return out
 
 
+def soft(z: np.ndarray) -> np.ndarray:
+    """The network's activation, z / (1 + |z|): like the hyperbolic tangent, at a fifth of its cost."""
+    return z / (1 + np.abs(z))
+
+
+def _slope(s: np.ndarray) -> np.ndarray:
+    """The activation's slope where its value is s."""
+    return (1 - np.abs(s)) ** 2
+
+
 @dataclass
 class Net:
     """Parameters by name: for each direction w (symbol to gates), u (state to gates); then v, c, and the CRF's t, s."""
@@ -165,7 +176,7 @@ class Net:
         p = {}
         for d in "fb":
             p[f"w{d}"] = g.normal(0, 0.3, (_SYMBOLS, 4 * hidden))
-            p[f"w{d}"][:, hidden : 2 * hidden] += 1.0  # forget gates begin open
+            p[f"w{d}"][:, hidden : 2 * hidden] += 3.0  # forget gates begin open
             p[f"u{d}"] = g.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
         p["v"] = g.normal(0, 0.3, (2 * hidden, TAGS))
         p["c"], p["t"], p["s"] = np.zeros(TAGS), np.zeros((TAGS, TAGS)), np.zeros(TAGS)
@@ -178,11 +189,12 @@ class Net:
         out, steps = np.empty((*x.shape, n), np.float32), []
         for t in range(x.shape[1]):
             z = self.p[f"w{d}"][x[:, t]] + h @ u
-            gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * n], -30, 30)))
+            s = soft(z)
+            gates = 0.5 + 0.5 * s[:, : 3 * n]
             i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-            g = np.tanh(z[:, 3 * n :])
+            g = s[:, 3 * n :]
             before, c = (h, c), f * c + i * g
-            th = np.tanh(c)
+            th = soft(c)
             h = o * th
             steps.append((before, i, f, o, g, th))
             out[:, t] = h
@@ -195,8 +207,9 @@ class Net:
         for t in range(x.shape[1] - 1, -1, -1):
             (h0, c0), i, f, o, g, th = steps[t]
             dh = dh + dh_all[:, t]
-            dc = dc + dh * o * (1 - th * th)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g * g)], 1)
+            dc = dc + dh * o * _slope(th)
+            gate = lambda y: 0.5 * _slope(2 * y - 1)
+            dz = np.concatenate([dc * g * gate(i), dc * c0 * gate(f), dh * th * gate(o), dc * i * _slope(g)], 1)
             np.add.at(dw, x[:, t], dz)
             du += h0.T @ dz
             dh, dc = dz @ u.T, dc * f
@@ -247,29 +260,32 @@ class Net:
         """(place, tag, window) scores of windows x (window, place): what `emit` gives, laid out so that each step of the
         network works on long rows."""
         n, size = x.shape
-        out = np.empty((2, size, self.p["uf"].shape[0], n), np.float32)
+        steps = np.ascontiguousarray(x.T)
+        h = self.p["uf"].shape[0]
+        out = np.empty((size, 2 * h, n), np.float32)  # twice the states of both directions
+        z, size_of, drawn, more = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((n, 4 * h), np.float32), np.empty((h, n), np.float32)
         for k, d in enumerate("fb"):
-            w, ut = self.p[f"w{d}"].copy(), self.p[f"u{d}"].T.copy()
-            h = ut.shape[1]
-            w[:, : 3 * h] *= 0.5  # gates by the hyperbolic tangent of half their sums
-            ut[: 3 * h] *= 0.5
-            state, cell, z, more = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
+            w, ut = self.p[f"w{d}"], (self.p[f"u{d}"].T * np.float32(0.5)).copy()
+            state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
             for t in range(size) if d == "f" else range(size - 1, -1, -1):
                 np.matmul(ut, state, out=z)
-                z += w[x[:, t]].T
-                np.tanh(z, out=z)
-                gates = z[: 3 * h]
+                np.take(w, steps[t], axis=0, out=drawn, mode="clip")
+                z += drawn.T
+                np.abs(z, out=size_of)
+                size_of += 1
+                z /= size_of
+                gates = z[: 3 * h]  # twice the gates
                 gates += 1
-                gates *= 0.5
                 cell *= gates[h : 2 * h]
                 np.multiply(gates[:h], z[3 * h :], out=more)
                 cell += more
-                np.tanh(cell, out=more)
-                state = out[k, t]
+                cell *= 0.5
+                np.abs(cell, out=more)
+                more += 1
+                np.divide(cell, more, out=more)
+                state = out[t, k * h : (k + 1) * h]
                 np.multiply(gates[2 * h :], more, out=state)
-        half = out.shape[2]
-        got = np.matmul(self.p["v"][:half].T, out[0])
-        got += np.matmul(self.p["v"][half:].T, out[1])
+        got = np.matmul((self.p["v"].T * np.float32(0.5)).copy(), out)
         got += self.p["c"][:, None]
         return got
 
@@ -282,25 +298,26 @@ class Net:
 
     def best(self, e: np.ndarray, lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Best tags of stretches of scores (stretch, place, tag), none around them but where a text begins or ends."""
-        t = self.p["t"]
-        score, back = np.where(first[:, None], self.p["s"], t[0]) + e[:, 0], np.zeros(e.shape, np.int8)
-        end = np.where(last[:, None], 0, t[:, 0])
-        final = np.where(lengths == 1, (score + end).argmax(1), 0)
-        for k in range(1, e.shape[1]):
-            ways = score[:, :, None] + t
-            back[:, k] = ways.argmax(1)
-            score = ways.max(1) + e[:, k]
-            final = np.where(lengths == k + 1, (score + end).argmax(1), final)
-        out, rows, tag = np.zeros(e.shape[:2], np.int64), np.arange(len(e)), final
-        for k in range(e.shape[1] - 1, -1, -1):
+        t, rows = self.p["t"], np.arange(len(e))
+        e = np.ascontiguousarray(e.transpose(1, 2, 0))  # rows of stretches
+        score = np.empty_like(e)
+        score[0] = np.where(first, self.p["s"][:, None], t[0][:, None]) + e[0]
+        ways = np.empty((TAGS, TAGS, len(rows)), np.float32)
+        for k in range(1, len(e)):
+            np.add(score[k - 1][:, None], t[:, :, None], out=ways)
+            np.max(ways, axis=0, out=score[k])
+            score[k] += e[k]
+        out, end = np.zeros((len(rows), len(e)), np.int64), np.where(last, 0, t[:, :1])
+        final = (score[lengths - 1, :, rows] + end.T).argmax(1)
+        tag = final
+        for k in range(len(e) - 1, -1, -1):  # the way to the tag that was chosen is found again
+            tag = np.where(k == lengths - 1, final, (score[k] + t.T[tag].T).argmax(0) if k < len(e) - 1 else final)
             here = k < lengths
-            tag = np.where(k == lengths - 1, final, tag)
             out[here, k] = tag[here]
-            tag = np.where(here, back[rows, k, tag], tag)
         return out
 
 
-def train(lines: list[tuple[str, list]], hidden: int = 10, batch: int = 48, epochs: int = 9, rate: float = 0.02, seed: int = 11) -> Net:
+def train(lines: list[tuple[str, list]], hidden: int = 10, batch: int = 48, epochs: int = 9, rate: float = 0.03, seed: int = 11) -> Net:
     """A net fitted to labelled lines, cut into windows, by Adam with a falling rate."""
     xs, ys = [], []
     for text, spans in lines:
