@@ -3,10 +3,10 @@
 The network is trained once in a process, from lines with labelled spans that a seeded generator writes: personal data
 and secrets in plain, spaced, bracketed and written-out forms, between words, dates, prices, versions and other numbers
 that are none. Every text is read whole, in windows of WIDTH signs, the last WIDTH - STEP of which the next has too.
-Gates and states of the network use z / (1 + |z|)
-in place of exponentials. Where windows overlap the scores of both count half each; over the scores of the whole text one best path of labels is found. A sign
-whose score for no label beats all others by more than transitions can make up for has no label on that path, so the
-path is searched only between such signs, which changes nothing.
+There the scores of both count half each; over the scores of the whole text one best path of labels is found. The
+network's gates and states use z / (1 + |z|) in place of exponentials. A sign whose score for no label beats all others
+by more than transitions can make up for has no label on that path, so the path is searched only between
+such signs, which changes nothing.
 """
 
 from __future__ import annotations
