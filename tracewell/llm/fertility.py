@@ -10,8 +10,6 @@ rule. A text is rejected that lies too many deviations from the median in any of
 from __future__ import annotations
 
 import base64
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -85,16 +83,10 @@ def repeated_words(ids: np.ndarray, width: int = 3) -> int:
     return int(hit.sum())
 
 
-_S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_W = _S.replace("\t-\r ", "\t\x0b-\r")  # white space but for the space and the line end
-#: Parts of a text that all three vocabularies encode by themselves: each begins at a space or a line end.
-_PART = re.compile(f"[{_S}]*[^{_S}]+(?:[{_W}][{_S}]*[^{_S}]+)*(?:[{_W}][{_S}]*\\Z)?|[{_S}]+")
-
-
 class Tokens:
-    """Ids of whole texts under the three vocabularies. Parts met before are looked up, among a bounded number."""
+    """Ids of whole texts under the three vocabularies."""
 
-    def __init__(self, model: str = MODEL, ranks: tuple[str, ...] = RANKS, most: int = 100_000) -> None:
+    def __init__(self, model: str = MODEL, ranks: tuple[str, ...] = RANKS) -> None:
         import sentencepiece
         import tiktoken
 
@@ -105,34 +97,10 @@ class Tokens:
             with open(path, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.others.append(tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=table, special_tokens={}))
-        self.seen: dict[str, tuple[bytes, ...]] = {}
-        self.most = most
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each text its ids under each vocabulary."""
-        parts = [_PART.findall(t) for t in texts]
-        seen = self.seen
-        new = list({x for p in parts for x in p[1:] if x not in seen})
-        if len(seen) + len(new) > self.most:
-            new, self.seen = list({x for p in parts for x in p[1:]}), {}
-            seen = self.seen
-        for at in range(0, len(new), 4096):
-            own = new[at : at + 4096]
-            # The model puts a space before each: one that is there is taken away, one that isn't is dropped after.
-            first = self.sp.encode([x[1:] if x[0] == " " else x for x in own], num_threads=1)
-            rest = [[e.encode_ordinary(x) for x in own] for e in self.others]
-            for k, x in enumerate(own):
-                ids = first[k] if x[0] == " " else first[k][1:]
-                seen[x] = (array("i", ids).tobytes(), *(array("i", r[k]).tobytes() for r in rest))
-        out = []
-        for p in parts:
-            begin = [(array("i", self.sp.encode(p[0])).tobytes(), *(array("i", e.encode_ordinary(p[0])).tobytes() for e in self.others))] if p else []
-            rows = begin + [seen[x] for x in p[1:]]
-            out.append([np.frombuffer(b"".join([r[v] for r in rows]), np.int32) for v in range(1 + len(self.others))])
-        for x in new:
-            if len(x) > 64:
-                del seen[x]
-        return out
+        return [[np.array(self.sp.encode(t), np.int32), *(e.encode_to_numpy(t) for e in self.others)] for t in texts]
 
 
 def _evenness(ids: np.ndarray) -> tuple[float, float]:
@@ -186,7 +154,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         tokens = _tokens(model, ranks)
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            found = [measure(t, ids, tokens.is_byte) for t, ids in zip(texts, tokens.encode(texts), strict=True)]
+            found = [measure(t, tokens.encode([t])[0], tokens.is_byte) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([m[c] for m in found], types[k]) for c, k in zip(names, kinds, strict=True))], ["doc_id", "lang", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"))
