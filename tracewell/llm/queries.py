@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, fertility, html_density, linededup, nbsvm, pii, shards, simhash, unigram, warc
+from tracewell.llm import align, decontaminate, fertility, fim, html_density, linededup, nbsvm, packing, pii, shards, simhash, unigram, warc
 from tracewell.scratch import table
 
 
@@ -57,6 +57,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_lines": op9_lines,
     "op10_pii": op10_pii,
+    "op11_packing": op11_packing,
+    "op12_fim": op12_fim,
+    "op13_align": op13_align,
 }
 
 ORACLE: dict[str, str] = {
@@ -102,4 +118,16 @@ ORACLE: dict[str, str] = {
         g AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed,
                      coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id)
         SELECT doc_id, n_chunks, n_removed, length(kept) AS n_chars, sha256(kept) AS text_sha256 FROM g""",
+    "op12_fim": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units FROM t),
+        c AS (SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS c2,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                          WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, array_to_string(units[1 : least(c1, c2)], '') AS prefix, array_to_string(units[least(c1, c2) + 1 : greatest(c1, c2)], '') AS middle,
+                     array_to_string(units[greatest(c1, c2) + 1 :], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                           ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p""",
 }
