@@ -1,8 +1,9 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions in numpy.
 
-The network is trained once in a process, from lines with labelled spans that a seeded generator writes: personal data
-and secrets in plain, spaced, bracketed and written-out forms, between words, dates, prices, versions and other numbers
-that are none. Every text is read whole, in windows of WIDTH signs, the last WIDTH - STEP of which the next has too.
+The network is trained from lines with labelled spans that a seeded generator writes: personal data and secrets in plain,
+spaced, bracketed and written-out forms, between words, dates, prices, versions and other numbers that are none. Sums of
+floating-point numbers differ between processors, and a training makes much of that; so the weights were fitted once, by
+`python -m tracewell.llm.pii`, rounded, and lie beside this file. Every text is read whole, in windows of WIDTH signs, the last WIDTH - STEP of which the next has too.
 There the scores of both count half each; over the scores of the whole text one best path of labels is found. The
 network's gates and states use z / (1 + |z|) in place of exponentials. A sign whose score for no label beats all others
 by more than transitions can make up for has no label on that path, so the path is searched only between
@@ -17,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -347,10 +349,25 @@ def train(lines: list[tuple[str, list]], hidden: int = 10, batch: int = 48, epoc
     return net
 
 
-@lru_cache(maxsize=1)
-def trained(lines: int = 3400, seed: int = 5) -> Net:
+def fitted(lines: int = 3400, seed: int = 5, epochs: int = 9) -> Net:
+    """A new training, of about a minute."""
     r = random.Random(seed)
-    return train([labelled_line(r) for _ in range(lines)])
+    return train([labelled_line(r) for _ in range(lines)], epochs=epochs)
+
+
+#: The weights in use, and the part of one to which they are rounded.
+WEIGHTS, PARTS = Path(__file__).with_name("pii_weights.npz"), 2048
+
+
+def save(net: Net, path: Path = WEIGHTS) -> None:
+    np.savez_compressed(path, **{k: np.rint(x * PARTS).astype(np.int16) for k, x in net.p.items()})
+
+
+@lru_cache(maxsize=1)
+def trained(path: Path = WEIGHTS) -> Net:
+    """The net of the weights in use."""
+    with np.load(path) as f:
+        return Net({k: f[k].astype(np.float32) / PARTS for k in f.files})
 
 
 # ---------------------------------------------------------------- windows and spans
@@ -511,3 +528,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return in_small_batches(rows).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
+
+
+if __name__ == "__main__":
+    save(fitted())
