@@ -20,12 +20,14 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template svg annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Cells of a table's row: parted by a space.
+CELLS = frozenset("td th".split())
 SCOPE = frozenset("ul ol dl table article section main div body html aside nav footer header blockquote form figure".split())
 #: Never part of an article: menus, page footers, sidebars, and what isn't text.
-DROPPED = frozenset("nav footer aside button select script style noscript head iframe template svg math textarea dialog menu object audio video canvas".split())
+DROPPED = frozenset("nav footer aside button select script style noscript head iframe template svg annotation annotation-xml textarea dialog menu object audio video canvas".split())
 #: Words in class, id or role that mark menus, notices, adverts and reader comments.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies copyright disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted promotion recommended related respond responses search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget".split()
@@ -38,11 +40,11 @@ class Page:
     """A page's elements as parallel lists; a child always comes after its parent."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.dropped, self.home, self.doubtful = ["html"], [-1], [False], [False], [False]
+        self.tag, self.parent, self.dropped, self.home, self.doubtful = ["html"], [-1], [False], [False], [0.0]
         self.text: list[list[tuple[int, str]]] = [[]]  # (order, words) directly inside
         self.order = 0
 
-    def add(self, tag: str, parent: int, dropped: bool, home: bool, doubtful: bool = False) -> int:
+    def add(self, tag: str, parent: int, dropped: bool, home: bool, doubtful: float = 0.0) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(dropped)
@@ -56,13 +58,18 @@ class Page:
 LINES = frozenset("p span a b i em strong small h1 h2 h3 h4 h5 h6 blockquote pre code td th li dt dd figcaption q cite time".split())
 
 
-def _marked(tag: str, attributes: str, in_home: bool) -> tuple[bool, bool]:
-    """(is surely no article text, is none unless it holds most of the page's text)."""
+#: An element whose class, id or role has a mark as a whole name, or as a part of one, goes unless it holds more than
+#: this share of the page's text.
+WHOLE, PART = 0.9, 0.5
+
+
+def _marked(tag: str, attributes: str, in_home: bool) -> tuple[bool, float]:
+    """(is surely no article text, share of the page's text that it must hold to be some; 0 for no doubt)."""
     if tag in DROPPED or tag == "header" and not in_home:
-        return True, False
-    if tag in ("body", "html"):
-        return False, False
-    doubtful = tag == "form"
+        return True, 0.0
+    if tag in ("body", "html") or tag in _HOME and not in_home:
+        return False, 0.0
+    doubtful = PART if tag == "form" else 0.0
     for name, value in _NAMES.findall(attributes):
         value = value.strip("\"'")
         whole = set(value.lower().split())
@@ -71,8 +78,9 @@ def _marked(tag: str, attributes: str, in_home: bool) -> tuple[bool, bool]:
             continue
         names = MARKS if in_home else MARKS | _SITE
         if whole & names:
-            return True, False
-        doubtful |= tag not in LINES and bool(words & names)
+            doubtful = WHOLE
+        elif tag not in LINES and words & names:
+            doubtful = max(doubtful, PART)
     return False, doubtful
 
 
@@ -120,6 +128,8 @@ def parse(source: str) -> tuple[Page, list[tuple[int, str | None]]]:
         node = page.add(tag, up, page.dropped[up] or sure, home, doubtful)
         if tag in BLOCK:
             events.append((up, None))
+        elif tag in CELLS:
+            events.append((up, " "))
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else size
@@ -130,14 +140,14 @@ def parse(source: str) -> tuple[Page, list[tuple[int, str | None]]]:
 
 
 def _settle(page: Page, own: list[int]) -> None:
-    """Drops doubtful elements with all inside them, but for those that hold over half of the page's text."""
+    """Drops doubtful elements with all inside them, but for those that hold more of the page's text than their doubt."""
     n = len(page.tag)
     held = list(own)
     for i in range(n - 1, 0, -1):
         if not page.dropped[i]:
             held[page.parent[i]] += held[i]
     for i in range(1, n):
-        page.dropped[i] = page.dropped[i] or page.dropped[page.parent[i]] or page.doubtful[i] and 2 * held[i] <= held[0]
+        page.dropped[i] = page.dropped[i] or page.dropped[page.parent[i]] or page.doubtful[i] > 0 and held[i] <= page.doubtful[i] * held[0]
 
 
 def extract(source: str) -> str:
