@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.text import in_small_batches, word_blocks
+from tracewell.scratch import written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the fit. At most `sample` labelled rows are learnt from: those smallest by a hash of doc_id.
-    One in `calibrate` of them fits only the map from margins to scores. Features are hashed to 2 ** bits."""
+    """Parameters of the fit. At most `sample` labelled rows are learnt from: those smallest by a hash of doc_id,
+    as far as their features take `sample_bytes`. One in `calibrate` of them fits only the map from margins to scores. Features are hashed to 2 ** bits."""
 
     sample: int = 20_000
+    sample_bytes: int = 512 << 20
     bits: int = 20
     alpha: float = 1.0
     c: float = 1.0
@@ -186,9 +188,10 @@ def held_out(doc_id, fold: int):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", settings: Settings | None = None) -> Model:
     """The model learnt from a bounded sample of the labelled rows outside the held-out fold.
 
-    Labels other than 0 and 1 and null ids are left out; of an id's several labels the smallest counts. The sample's
-    ids, at most Settings.sample of them, are what is broadcast to find their texts; texts become feature ids in
-    tasks. The driver holds the sample's features and the model, both of bounded size.
+    Labels other than 0 and 1 and null ids are left out; of an id's several labels the smallest counts, of its several
+    rows the one with the least features. The sample's ids, at most Settings.sample of them, are what is broadcast to
+    find their texts; texts become feature ids in tasks. The driver holds the sample's features, a row for each id and
+    Settings.sample_bytes at most (the first by hash of id), and the model, whose size is bounded.
     """
     s = settings or Settings()
     ids = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND _id IS NOT NULL").where(~held_out(F.col("_id"), s.fold))
@@ -201,7 +204,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "y", "f"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col), "UTF-8").alias("b")).join(F.broadcast(ids), "_id").select("_id", "y", "b")
-    got = in_small_batches(texts).mapInArrow(run, "id long, y int, f binary").toArrow()
+    found = in_small_batches(texts).mapInArrow(run, "id long, y int, f binary").groupBy("id", "y").agg(F.min("f").alias("f"))
+    found = written(found, "sample")
+    place = F.xxhash64("id")
+    sizes = found.select(place.alias("h"), F.octet_length("f").alias("n")).toArrow().sort_by("h")  # a number for each id of the sample
+    fits = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy()) <= s.sample_bytes)
+    if len(fits) < sizes.num_rows:
+        found = found.where(place <= (sizes.column("h")[int(fits[-1])].as_py() if len(fits) else -(1 << 63)))
+    got = found.toArrow()
     order = pc.sort_indices(got.select(["id", "f"]), [("id", "ascending"), ("f", "ascending")]).to_numpy()
     order = order[np.random.default_rng(s.seed).permutation(len(order))]
     y = got.column("y").to_numpy()[order].astype(np.int64)
