@@ -75,27 +75,34 @@ def _place(k: Column) -> Column:
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_cols: bool = False) -> DataFrame:
     """docs, all columns and rows, their texts without the multi-line chunks that stand in an earlier place as well.
 
-    Of equal chunks the one with the smallest (doc_id, place in the text) stays; nulls come first, and rows that share
-    a doc_id keep a chunk that is first in several of them. Chunks of one line always stay. Where n_chars is a column
-    it becomes the new length. A null text stays null; a text of which nothing is left becomes empty. With count_cols
-    the result also has n_chunks and n_removed. An empty table gives an empty result.
+    Of equal chunks the one with the smallest (doc_id, text hash, place in the text) stays; nulls come first. Of rows
+    alike in id and text one, whichever is read first, is the earlier. Chunks of one line always stay. Where n_chars is
+    a column it becomes the new length. A null text stays null; a text of which nothing is left becomes empty. With
+    count_cols the result also has n_chunks and n_removed. An empty table gives an empty result.
 
     Chunks meet by a hash of their line hashes, without their text; hashes found once go no further. The bytes of the
     others are compared (least and greatest text under a hash are equal), and under a hash with different texts
     nothing is removed. A chunk in a third of all texts is one row of each task before it is shuffled.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.posexplode(chunks(F.col(text_col))).alias("at", "c"))
-    light = written(own.where("c.many").select("id", "at", F.col("c.hash").alias("h")), "chunks")
-    first = light.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
+    version_of = F.xxhash64(text_col)
+    own = docs.select(F.col(id_col).alias("id"), version_of.alias("v"), F.posexplode(chunks(F.col(text_col))).alias("at", "c"))
+    light = written(own.where("c.many").select("id", "v", "at", F.col("c.hash").alias("h")), "chunks")
+    first = light.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "v", "at")).alias("first")).where("n > 1")
     first = written(first, "first")  # read back, both sides of the join below can be split where a hash is very common
-    seen = light.join(first, "h").select("id", F.concat_ws(":", "at", "h").alias("k"), (~F.struct("id", "at").eqNullSafe(F.col("first"))).alias("later"))
-    key, again, later, rest = fresh(docs.columns, "key", "again", "later", "rest")
-    marks = written(seen.groupBy(F.col("id").alias(key)).agg(F.collect_set("k").alias(again), F.collect_set(F.when(F.col("later"), F.col("k"))).alias(later)), "marks")
+    seen = light.join(first, "h").select("id", "v", F.concat_ws(":", "at", "h").alias("k"), (~F.struct("id", "v", "at").eqNullSafe(F.col("first"))).alias("later"))
+    key, version, again, later, twice, rest, row, leader = fresh(docs.columns, "key", "version", "again", "later", "twice", "rest", "row", "leader")
+    marks = seen.groupBy(F.col("id").alias(key), F.col("v").alias(version)).agg(F.collect_set("k").alias(again), F.collect_set(F.when(F.col("later"), F.col("k"))).alias(later), F.count("*").alias(twice))
+    marks = written(marks.withColumn(twice, F.col(twice) > F.size(again)), "marks")  # several rows have this id and text
     discard(light, first)
-    some, none = split_by(docs, F.xxhash64(id_col), marks, F.xxhash64(key))
+    some, none = split_by(docs, F.xxhash64(F.col(id_col), version_of), marks, F.xxhash64(key, version))
     no_marks = F.lit(None).cast("array<string>")
-    met = some.join(marks, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key).unionByName(none.withColumns({again: no_marks, later: no_marks}))
-    met = written(met, "marked")
+    met = some.join(marks, F.col(id_col).eqNullSafe(F.col(key)) & (version_of == F.col(version)), "left").unionByName(none.withColumns({key: F.lit(None).cast(docs.schema[id_col].dataType), version: F.lit(None).cast("long"), again: no_marks, later: no_marks, twice: F.lit(None).cast("boolean")}))
+    met = written(met.withColumn(row, F.monotonically_increasing_id()), "marked")
+    if not marks.where(twice).isEmpty():
+        alike = met.where(twice)
+        leaders = written(alike.groupBy(key, version).agg(F.min(row).alias(leader)).select(leader), "leaders")
+        alike = alike.join(leaders, F.col(row) == F.col(leader), "left").withColumn(later, F.when(F.col(leader).isNull(), F.col(again)).otherwise(F.col(later))).drop(leader)
+        met = met.where(~F.coalesce(twice, F.lit(False))).unionByName(alike)
     discard(marks)
 
     def repeated(cs: Column) -> Column:
