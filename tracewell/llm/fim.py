@@ -110,5 +110,8 @@ def restored(form: Column | str = "form", output: Column | str = "output") -> Co
     """The text, rebuilt from output and form alone. No mark stands in a text that was cut, nor can one arise where
     parts meet: a mark's first sign is found nowhere else in it."""
     form, output = (F.col(c) if isinstance(c, str) else c for c in (form, output))
-    part = F.split(output, "<[PSM]>", -1)
-    return F.when(form == "psm", F.concat(part[1], part[3], part[2])).when(form == "spm", F.concat(part[2], part[3], part[1])).otherwise(output)
+    after = lambda mark: F.substring_index(output, mark, -1)
+    upto = F.substring_index
+    psm = F.concat(upto(after("<P>"), "<S>", 1), after("<M>"), upto(after("<S>"), "<M>", 1))
+    spm = F.concat(upto(after("<P>"), "<M>", 1), after("<M>"), upto(after("<S>"), "<P>", 1))
+    return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
