@@ -502,19 +502,6 @@ def g05_width_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.width_runs(_grid(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'integer'), ('b', 'amount'), ('c', 'text'), ('d', 'date')) t(col, kind)""")
-def g17_column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    wide = c.select(F.col("c_custkey").cast("string").alias("a"), F.format_string("%.2f", "c_acctbal").alias("b"), F.col("c_name").alias("c"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "dd/MM/yyyy").alias("d"))
-    return grids.column_types(wide.unpivot([], ["a", "b", "c", "d"], "col", "value")).select("col", "kind")
-
-
-@query("SELECT 'c_custkey' AS col, true AS serial UNION ALL SELECT 'c_nationkey', true UNION ALL SELECT 'balance', false")
-def g18_serial_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.col("c_nationkey").cast("string").alias("c_nationkey"), (F.abs("c_acctbal") * 1000).cast("long").cast("string").alias("balance"))
-    return grids.serial_columns(c.unpivot([], ["c_custkey", "c_nationkey", "balance"], "col", "value"))
-
-
 @query("""SELECT class, count(*) AS documents FROM (SELECT doc_id, unnest(CASE WHEN len(k) = 0 THEN ['unclassified'] ELSE k END) AS class FROM (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)licen[sc]ed? under|rights reserved') THEN 'licence' END,
     CASE WHEN regexp_matches(text, 'token = "[0-9a-f]+') THEN 'secret' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]') THEN 'contact' END, CASE WHEN regexp_matches(text, '[A-Z]{3,}!!') THEN 'shouting' END,
     CASE WHEN regexp_matches(text, ' [|] ') THEN 'table' END], lambda x: x IS NOT NULL) AS k FROM documents) x) y GROUP BY class""")
