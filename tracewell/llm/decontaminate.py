@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import fresh, in_small_batches, split_by, word_blocks
+from tracewell.llm.text import freeing, fresh, in_small_batches, split_by, word_blocks
 from tracewell.scratch import discard, written
 
 WINDOW = 10
@@ -70,7 +70,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("b"))
-    return written(in_small_batches(rows).mapInArrow(run, SCHEMA), "index")
+    return written(in_small_batches(rows).mapInArrow(freeing(run), SCHEMA), "index")
 
 
 @dataclass
@@ -147,7 +147,7 @@ def _matches(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                     items[d].update(own.items[p])
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(starts)), pa.array(range(len(starts)), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), pa.array([[{"begin": x, "end": y} for x, y in sorted(s)] for s in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["shard", "at", "doc_id", "n_words", "spans", "items"])
 
-    return index.mapInArrow(run, "shard string, at int, doc_id long, n_words long, spans array<struct<begin: long, end: long>>, items array<string>")
+    return index.mapInArrow(freeing(run), "shard string, at int, doc_id long, n_words long, spans array<struct<begin: long, end: long>>, items array<string>")
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int) -> Iterator[list[tuple[str, str]]]:

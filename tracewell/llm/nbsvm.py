@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import in_small_batches, word_blocks
+from tracewell.llm.text import free, freeing, in_small_batches, word_blocks
 from tracewell.scratch import written
 
 
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "y", "f"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col), "UTF-8").alias("b")).join(F.broadcast(ids), "_id").select("_id", "y", "b")
-    found = in_small_batches(texts).mapInArrow(run, "id long, y int, f binary").groupBy("id", "y").agg(F.min("f").alias("f"))
+    found = in_small_batches(texts).mapInArrow(freeing(run), "id long, y int, f binary").groupBy("id", "y").agg(F.min("f").alias("f"))
     found = written(found, "sample")
     place = F.xxhash64("id")
     sizes = found.select(place.alias("h"), F.octet_length("f").alias("n")).toArrow().sort_by("h")  # a number for each id of the sample
@@ -216,7 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = order[np.random.default_rng(s.seed).permutation(len(order))]
     y = got.column("y").to_numpy()[order].astype(np.int64)
     rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("f")]  # views of the one table
-    return fit([rows[i] for i in order], y, s)
+    model = fit([rows[i] for i in order], y, s)
+    del rows, got
+    free()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -235,7 +238,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("b"))
-    out = in_small_batches(rows).mapInArrow(run, "doc_id long, score double")
+    out = in_small_batches(rows).mapInArrow(freeing(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id"), s.fold), F.lit(False)).alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))
 
 
@@ -251,4 +254,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", settin
             texts = b.column(at).to_pylist()
             yield b.filter(pa.array([m.score(features((t or "").encode("utf-8", "replace"), coder, m.bits)) >= s.threshold for t in texts], pa.bool_()))
 
-    return in_small_batches(docs).mapInArrow(run, schema).select(*names)
+    return in_small_batches(docs).mapInArrow(freeing(run), schema).select(*names)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,24 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free() -> None:
+    """Gives memory that is no longer used back to the system, where it can tell how: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which frees what it has used when it ends."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        free()
+
+    return own
+
+
 def split_by(rows: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column) -> tuple[DataFrame, DataFrame]:
     """(rows that may meet one of keys, rows that can't), by what hashes leave modulo PICKS; none is lost.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import in_small_batches
+from tracewell.llm.text import freeing, in_small_batches
 from tracewell.scratch import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -355,7 +355,7 @@ def _giants(rows: DataFrame, model: str, chunk: int, block: int) -> DataFrame |
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["text_key", "doc_id", "k", "after", "part", "size"])
 
-    chunks = written(rows.mapInArrow(cut, "text_key string, doc_id long, k long, after long, part string, size long"), "chunks")
+    chunks = written(rows.mapInArrow(freeing(cut), "text_key string, doc_id long, k long, after long, part string, size long"), "chunks")
     if chunks.isEmpty():
         return None
     dealt = chunks.repartition("text_key", "k")
@@ -367,7 +367,7 @@ def _giants(rows: DataFrame, model: str, chunk: int, block: int) -> DataFrame |
                 got = [make(v, *x) for x in zip(*(b.column(i).to_pylist() for i in range(2, b.num_columns)), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary() if kind == "binary" else pa.list_(pa.int32()))], ["text_key", "k", column])
 
-        return lambda df: df.select("text_key", F.col(place).alias("k"), *inputs).mapInArrow(run, f"text_key string, k long, {column} {kind}")
+        return lambda df: df.select("text_key", F.col(place).alias("k"), *inputs).mapInArrow(freeing(run), f"text_key string, k long, {column} {kind}")
 
     matrices = written(each(lambda v, part, size: v.transfer(part, size).tobytes(), "m", "binary", ["part", "size"])(dealt), "matrices")
     begin = np.full(longest, NONE, np.int64)
@@ -442,7 +442,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = [v.decode(flat[i:j]) for i, j in zip(ends[at : at + len(part)], ends[at + 1 : at + len(part) + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return in_small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return in_small_batches(encoded.select("doc_id", "ids")).mapInArrow(freeing(run), "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
