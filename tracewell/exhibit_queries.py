@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.plans import exhibits
 from tracewell.queries import query
 from tracewell.scratch import table, written
-from tracewell.sources import columns
+from tracewell.sources import columns, fixed_width, regions
 
 # ---------------------------------------------------------------- columns by their values
 
@@ -142,3 +142,108 @@ def f01_mapped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, profiles = exhibits.exhibits(spark, sf_dir), columns.profile_table(spark, exhibits.PROFILES)
     found = columns.detected(cells, profiles, by_value=False)
     return columns.mapped_cells(cells, written(found, "found"), profiles).groupBy("target").agg(F.count("*").alias("cells"), F.count_distinct("file").alias("files"))
+
+
+# ---------------------------------------------------------------- grids
+
+_BOOKS = """bm AS (SELECT o_custkey AS file, o_orderkey AS k, strftime(o_orderdate, '%d-%m-%Y') AS d, printf('%.2f', round(o_totalprice, 2)) AS amount, o_orderstatus = 'F' AS credit,
+        (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS i FROM orders), bf AS (SELECT DISTINCT file FROM bm),
+    books AS (SELECT file, 0 AS sheet, (x).r AS row, (x).c AS cells FROM (SELECT file, unnest([{'r': 0, 'c': ['Statement of account']}, {'r': 1, 'c': ['Account No', '501' || lpad(file::VARCHAR, 11, '0')]},
+            {'r': 2, 'c': ['Account Holder', 'Customer ' || file, 'Main']}, {'r': 3, 'c': ['Mobile', '+91', '98' || lpad(file::VARCHAR, 8, '0')]}]) AS x FROM bf)
+        UNION ALL SELECT file, 1, p::INT, ['Page', (p + 1)::VARCHAR] FROM bf, range(3) r(p) WHERE p < file % 4 UNION ALL SELECT file, 1, (file % 4)::INT, ['Txn Date', 'Memo', 'Debit', 'Credit', 'Balance'] FROM bf
+        UNION ALL SELECT file, 1, (file % 4)::INT + 1 + i + i // 3, [d, 'to ' || k, CASE WHEN credit THEN '' ELSE amount END, CASE WHEN credit THEN amount ELSE '' END, (k % 1000) || '.00'] FROM bm
+        UNION ALL SELECT file, 1, (file % 4)::INT + 2 + i + i // 3, ['', '', 'Page Total', '', ''] FROM bm WHERE i % 3 = 2)"""
+_WORDS = sorted({a.lower() for p in exhibits.PROFILES for names in p["fields"].values() for a in names})
+_HEADS = f"""{_BOOKS}, bh AS (SELECT file, sheet, row, CASE WHEN row < 40 THEN len(list_filter(cells, lambda c: list_contains({_WORDS}, lower(trim(c))))) ELSE 0 END AS hits FROM books),
+    top AS (SELECT file, sheet, CASE WHEN hits >= 2 THEN row ELSE 0 END AS header, hits FROM (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY hits DESC, row) AS n FROM bh) WHERE n = 1)"""
+
+
+@query(f"WITH {_HEADS} SELECT file, sheet, header, hits FROM top")
+def s04_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header row of every sheet of every workbook, in one pass."""
+    return regions.header_rows(exhibits.workbooks(spark, sf_dir), _WORDS, ("file", "sheet")).select("file", "sheet", "header", F.col("hits").cast("long").alias("hits"))
+
+
+@query(f"""WITH {_HEADS}, sc AS (SELECT b.file, b.sheet, count(*) AS rows, max(CASE WHEN b.row = t.header THEN len(list_filter(cells, lambda c: list_contains({_WORDS}, lower(trim(c))))) ELSE 0 END) AS h
+        FROM books b JOIN top t ON t.file = b.file AND t.sheet = b.sheet GROUP BY 1, 2)
+    SELECT file, sheet, rows FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY h DESC, rows DESC, sheet) AS n FROM sc) WHERE n = 1""")
+def s06_best_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = regions.best_sheets(exhibits.workbooks(spark, sf_dir), _WORDS)
+    return best.groupBy("file", "sheet").agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {_BOOKS}, g AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY row) - 1 AS record FROM books WHERE sheet = 1 AND row > file % 4 AND cells[1] || cells[2] <> '')
+    SELECT file, record AS row, (unnest(list_transform(cells, lambda c, i: {{'h': ['Txn Date', 'Memo', 'Debit', 'Credit', 'Balance'][i], 'v': c}}))).h AS header, (unnest(list_transform(cells, lambda c, i: {{'h': i, 'v': c}}))).v AS value FROM g""")
+def g02_grid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records below the header row of the best sheet; rows with nothing in their first two cells are none."""
+    best = regions.best_sheets(exhibits.workbooks(spark, sf_dir), _WORDS)
+    cells, _ = regions.grid_records(best, regions.header_rows(best, _WORDS))
+    return cells.select("file", "row", "header", "value")
+
+
+@query(f"WITH {_BOOKS} SELECT file, 'account_no' AS field, cells[2] AS value FROM books WHERE sheet = 0 AND row = 1 UNION ALL SELECT file, 'account_holder', cells[2] FROM books WHERE sheet = 0 AND row = 2 UNION ALL SELECT file, 'registered_mobile', cells[2] || cells[3] FROM books WHERE sheet = 0 AND row = 3")
+def g11_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.identities(exhibits.workbooks(spark, sf_dir).where("sheet = 0").select("file", "row", "cells"))
+
+
+_DATA = r"regexp_matches(c, '\b[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}\b') OR regexp_full_match(c, '[0-9]+[.][0-9]{2}') OR regexp_matches(c, '[0-9]{9,}')"
+_GLUED = f"""{_BOOKS}, g AS (SELECT file, row + 4 * sheet AS row, cells, len(cells) AS w, list_filter(cells, lambda c: c <> '') AS own FROM books),
+    lb AS (SELECT *, len(own) > 0 AND len(list_filter(own, lambda c: {_DATA})) = 0 AND 2 * len(list_filter(own, lambda c: regexp_matches(c, '[A-Za-z]'))) >= len(own) AS label FROM g),
+    wd AS (SELECT file, w, count(*) AS n FROM g WHERE len(own) > 0 GROUP BY 1, 2), us AS (SELECT file, coalesce(max(w) FILTER (n >= 3), max(w)) AS usual, count(*) FILTER (n >= 3) AS widths FROM wd GROUP BY file)"""
+_REGIONS = f"""{_GLUED}, k AS (SELECT lb.*, usual, CASE WHEN len(own) > 0 AND w >= 0.6 * usual THEN w END AS kw FROM lb JOIN us USING (file)),
+    n AS (SELECT *, (kw IS NOT NULL AND kw IS DISTINCT FROM last_value(kw IGNORE NULLS) OVER (PARTITION BY file ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS fresh FROM k),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY row) AS span FROM n),
+    z AS (SELECT *, count(*) OVER (PARTITION BY file, span) AS len_, row_number() OVER (PARTITION BY file, span ORDER BY row) - 1 AS place, min(row) OVER (PARTITION BY file, span) AS start,
+        sum((NOT label)::INT) OVER (PARTITION BY file, span ORDER BY row) AS stops FROM s WHERE span > 0),
+    h AS (SELECT file, span, any_value(len_) AS len_, any_value(start) AS start, count(*) FILTER (stops = 0 AND place < 8) AS heads, list(cells ORDER BY row) FILTER (stops = 0 AND place < 8) AS hs, max(len(cells)) FILTER (place = 0) AS w FROM z WHERE len_ >= 3 GROUP BY 1, 2),
+    hn AS (SELECT *, CASE WHEN heads > 0 AND len(list_filter(range(1, w + 1), lambda i: len(list_filter(hs, lambda r: coalesce(r[i], '') <> '')) > 0)) >= 2 THEN w END AS named FROM h),
+    hk AS (SELECT *, CASE WHEN heads > 0 THEN named ELSE last_value(named IGNORE NULLS) OVER (PARTITION BY file ORDER BY span) END AS cols FROM hn),
+    b AS (SELECT z.file, z.span, z.row, z.cells[1] AS first FROM z JOIN hk ON hk.file = z.file AND hk.span = z.span WHERE cols IS NOT NULL AND place >= heads AND len(own) > 0 AND NOT regexp_matches(cells[1], '(?i)^ *(page +)?(sub *)?total')),
+    r AS (SELECT file, span, count(*) FILTER (first <> '' OR n = 1) AS records FROM (SELECT *, row_number() OVER (PARTITION BY file, span ORDER BY row) AS n FROM b) GROUP BY 1, 2),
+    a AS (SELECT file, sum(len_) AS placed FROM hk JOIN r USING (file, span) GROUP BY file), t AS (SELECT file, count(*) AS filled FROM g WHERE len(own) > 0 GROUP BY file),
+    found AS (SELECT hk.file, hk.start, heads AS header_rows, records FROM hk JOIN r ON r.file = hk.file AND r.span = hk.span JOIN a ON a.file = hk.file JOIN t ON t.file = hk.file WHERE placed >= 0.5 * filled)"""
+
+
+@query(f"""WITH {_GLUED}, hd AS (SELECT file, count(*) AS rows, bool_or(row < 8 AND label AND len(own) >= 2) AS headed FROM lb GROUP BY file)
+    SELECT file, rows >= 3 AND (widths >= 2 OR NOT headed) AS broken FROM hd JOIN us USING (file)""")
+def g04_broken_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.needs_recovery(exhibits.glued(spark, sf_dir))
+
+
+@query(f"WITH {_REGIONS} SELECT file, start, header_rows, records FROM found")
+def g09_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables recovered from grids in which a cover and a table are glued together."""
+    found, _ = regions.recovered(exhibits.glued(spark, sf_dir), promote=False)
+    return found.select("file", "start", F.col("header_rows").cast("long").alias("header_rows"), "records")
+
+
+@query(f"WITH {_REGIONS}, f AS (SELECT file, min(start) AS first FROM found GROUP BY file) SELECT g.file, g.row, array_to_string(cells, '|') AS text FROM g JOIN f USING (file) WHERE row < first")
+def g10_preambles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = exhibits.glued(spark, sf_dir)
+    found, _ = regions.recovered(grid, promote=False)
+    return regions.preambles(grid, found).select("file", "row", F.array_join("cells", "|").alias("text"))
+
+
+# ---------------------------------------------------------------- printed reports
+
+_PRINTED = """pm AS (SELECT o_custkey AS file, o_orderkey AS k, strftime(o_orderdate, '%d-%m-%Y') AS d, printf('%.2f', round(o_totalprice, 2)) AS amount, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS i,
+        count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"""
+
+
+@query(f"WITH {_PRINTED} SELECT DISTINCT file, n >= 4 AS fixed FROM pm")
+def s12_printed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are printed reports: those with four records or more."""
+    return fixed_width.looks_fixed_width(exhibits.printed(spark, sf_dir))
+
+
+@query(f"""WITH {_PRINTED} SELECT file, i AS row, (unnest(v)).c::INT AS col, (unnest(v)).v AS value FROM (SELECT file, i, [{{'c': 0, 'v': d}}, {{'c': 1, 'v': 'TO CASH ' || k || CASE WHEN i % 4 = 3 AND i < n - 1 THEN ' BRANCH ' || (file % 10) ELSE '' END}},
+    {{'c': 2, 'v': amount}}, {{'c': 3, 'v': (k % 1000 + 1000) || '.00'}}] AS v FROM pm) x""")
+def s14_printed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all printed reports at once, cut at the columns that their lines share, wrapped notes joined."""
+    return fixed_width.records(exhibits.printed(spark, sf_dir)).select("file", F.col("row").cast("int").alias("row"), "col", "value")
+
+
+@query("SELECT file, (unnest(h)).c::INT AS col, (unnest(h)).n AS header FROM (SELECT DISTINCT o_custkey AS file, [{'c': 0, 'n': 'GL. Date'}, {'c': 1, 'n': 'Particulars of movement'}, {'c': 2, 'n': 'Debit Amount'}, {'c': 3, 'n': 'Closing Balance'}] AS h FROM orders) x")
+def s15_printed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of a printed report's columns, from two lines above its first record."""
+    return fixed_width.headers(exhibits.printed(spark, sf_dir))

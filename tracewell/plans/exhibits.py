@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.adapter import canonical_events, ledger
+from tracewell.scratch import table
 
 #: Profiles of the sources that the driver's tables stand for.
 PROFILES = [
@@ -95,3 +96,46 @@ def exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _long(e.where("kind = 2"), [(F.lit("Designation"), F.lit("Constable")), (F.lit("Mobile Number"), number(F.col("entity_id"))), (F.lit("Account No."), F.concat(F.lit("700"), F.lpad(F.col("event_id").cast("string"), 8, "0")))])
     seen = _long(e.where("kind = 3"), [(F.lit("Code"), F.concat(F.lit("c"), F.col("entity_id").cast("string"))), (F.lit("Held"), F.when(F.col("entity_id") % 2 == 0, F.concat(F.col("event_id").cast("string"), F.lit(".50"))).otherwise("ab"))])
     return calls.unionByName(paid).unionByName(got).unionByName(seen)
+
+
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a workbook for each customer, (file, sheet, row, cells): a cover that says whose account it is, and the
+    movements below some lines of preamble and a header, with an empty sum after every third."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    m = table(spark, sf_dir, "orders").withColumn("i", (F.row_number().over(own) - 1).cast("int")).withColumn("file", F.col("o_custkey"))
+    top = (F.col("file") % 4).cast("int")
+    text = lambda *cs: F.array(*(F.lit(c) if isinstance(c, str) else c for c in cs))
+    row = lambda at, cells: F.struct(F.lit(at).alias("row") if isinstance(at, int) else at.alias("row"), cells.alias("cells"))
+    number = F.lpad(F.col("file").cast("string"), 11, "0")
+    cover = F.array(row(0, text("Statement of account")), row(1, text("Account No", F.concat(F.lit("501"), number))), row(2, text("Account Holder", F.concat(F.lit("Customer "), F.col("file").cast("string")), "Main")), row(3, text("Mobile", "+91", F.concat(F.lit("98"), F.lpad(F.col("file").cast("string"), 8, "0")))))
+    files = m.select("file").distinct()
+    pages = F.filter(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda p: row(p, text("Page", (p + 1).cast("string")))), lambda r: r["row"] < top)
+    head = F.array(row(top, text("Txn Date", "Memo", "Debit", "Credit", "Balance")))
+    sum_ = F.format_string("%.2f", F.round("o_totalprice", 2))
+    credit = F.col("o_orderstatus") == "F"
+    at = top + 1 + F.col("i") + F.floor(F.col("i") / 3).cast("int")
+    line = row(at, text(F.date_format("o_orderdate", "dd-MM-yyyy"), F.concat(F.lit("to "), F.col("o_orderkey").cast("string")), F.when(credit, "").otherwise(sum_), F.when(credit, sum_).otherwise(""), F.concat((F.col("o_orderkey") % 1000).cast("string"), F.lit(".00"))))
+    page = row(at + 1, text("", "", "Page Total", "", ""))
+    lines = m.select("file", F.lit(1).alias("sheet"), F.inline(F.when(F.col("i") % 3 == 2, F.array(line, page)).otherwise(F.array(line))))
+    return files.select("file", F.lit(0).alias("sheet"), F.inline(cover)).unionByName(files.select("file", F.lit(1).alias("sheet"), F.inline(F.concat(pages, head)))).unionByName(lines)
+
+
+def glued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workbooks with both sheets as one grid (file, row, cells), the second below the first."""
+    return workbooks(spark, sf_dir).select("file", (F.col("row") + 4 * F.col("sheet")).alias("row"), "cells")
+
+
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a printed report for each customer, (file, row, line): two lines of header between rules, then a line for
+    each movement, whose note goes on in a second line for every fourth."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    m = table(spark, sf_dir, "orders").withColumn("file", F.col("o_custkey")).withColumn("i", (F.row_number().over(own) - 1).cast("int"))
+    rule = "-" * 60
+    top = ["Account No. : 501", "Order by GL. Date.", rule, "  GL.       Particulars                  Debit       Closing", "  Date      of movement                  Amount      Balance", rule]
+    files = m.select("file").distinct()
+    head = files.select("file", F.posexplode(F.array(*map(F.lit, top))).alias("row", "line"))
+    line = F.format_string("%-10s  %-24s  %12s  %12s", F.date_format("o_orderdate", "dd-MM-yyyy"), F.concat(F.lit("TO CASH "), F.col("o_orderkey").cast("string")), F.format_string("%.2f", F.round("o_totalprice", 2)), F.concat((F.col("o_orderkey") % 1000 + 1000).cast("string"), F.lit(".00")))
+    more = F.concat(F.lit(" " * 12), F.lit("BRANCH "), (F.col("o_custkey") % 10).cast("string"))
+    at = F.lit(len(top)) + 2 * F.col("i")
+    lines = m.select("file", F.inline(F.when(F.col("i") % 4 == 3, F.array(F.struct(at.alias("row"), line.alias("line")), F.struct((at + 1).alias("row"), more.alias("line")))).otherwise(F.array(F.struct(at.alias("row"), line.alias("line"))))))
+    return head.unionByName(lines)
