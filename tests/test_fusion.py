@@ -86,15 +86,6 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 1000 for i in range(1000, 1100)) and len(got) == 141
 
 
-def test_betweenness_and_communities(spark):
-    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "src long, dst long, distance double")
-    got = {r.node: r.betweenness for r in graph.betweenness(line).collect()}
-    assert [round(got[i], 4) for i in range(5)] == [0, 0.25, 0.3333, 0.25, 0]
-    two = [(a, b) for s in (0, 10) for a in range(s, s + 5) for b in range(s, s + 5) if a < b] + [(4, 10)]
-    c = {r.node: r.community for r in graph.communities(spark.createDataFrame(two, "src long, dst long")).collect()}
-    assert len({c[i] for i in range(4)}) == len({c[i] for i in range(11, 15)}) == 1 and c[0] != c[12]
-
-
 def test_bands_and_score(spark):
     s = spark.createDataFrame([(39.0,), (39.5,), (40.0,), (69.5,), (70.0,)], "s double").select(rules.band(F.col("s")).alias("b"))
     assert [r.b for r in s.collect()] == ["low", "low", "medium", "low", "high"]

@@ -1,13 +1,9 @@
-"""Edges, bounded cycles and chains, degrees, betweenness and communities of the transfer graph."""
+"""Edges, bounded cycles and chains, degrees and views of the transfer graph."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,78 +66,41 @@ def layering(edges: DataFrame, span_hours: int = 48) -> DataFrame:
     return chain.select(F.explode(F.array("n1", "n2", "n3", "n4")).alias("entity_id")).distinct()
 
 
-#: Edges that a task may hold for shortest paths; beyond it, betweenness is refused.
-MOST_EDGES = 5_000_000
-
-
-def betweenness(edges: DataFrame, pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """(node, betweenness): shortest paths through each node over src, dst and distance, normalised as in a directed graph.
-
-    With pivots, paths from so many nodes only, chosen by hash, scaled up. Sources are dealt out to tasks; each holds
-    the edges, whose number is checked against MOST_EDGES before they are broadcast.
-    """
-    e = written(edges.groupBy("src", "dst").agg(F.sum("distance").alias("distance")), "edges")
-    if e.count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} edges: too many for one task's memory")
-    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    n = nodes.count()
-    sources = nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(pivots) if pivots and pivots < n else nodes
-    near: dict = {}
-    for r in e.toLocalIterator():
-        near.setdefault(r.src, []).append((r.dst, r.distance))
-    sent = edges.sparkSession.sparkContext.broadcast(near)
-    scale = (n / pivots if pivots and pivots < n else 1.0) / max(1, (n - 1) * (n - 2))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = sent.value
-        for b in batches:
-            total: dict = {}
-            for s in b.column(0).to_pylist():
-                dist, ways, before, order, heap = {}, {s: 1.0}, {s: []}, [], [(0.0, s)]
-                best = {s: 0.0}
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in dist:
-                        continue
-                    dist[v] = d
-                    order.append(v)
-                    for w, length in graph.get(v, ()):
-                        new = d + length
-                        if w not in dist and (w not in best or new < best[w]):
-                            best[w], ways[w], before[w] = new, ways[v], [v]
-                            heapq.heappush(heap, (new, w))
-                        elif w not in dist and new == best[w]:
-                            ways[w] += ways[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += ways[v] / ways[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(np.array(list(total.values()), float))], ["node", "part"])
-
-    parts = sources.repartition(max(1, min(n, 64)), "node").mapInArrow(run, "node long, part double")
-    got = parts.groupBy("node").agg((F.sum("part") * scale).alias("betweenness"))
-    return nodes.join(got, "node", "left").fillna(0.0, ["betweenness"])
-
-
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by label propagation on the undirected graph: each round a node takes the label of most of its
-    neighbours' weight, the smallest of equal ones; every round is a join and two aggregations, written."""
-    e = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("w"))
+# ---------------------------------------------------------------- what a viewer asks for
+
+
+def payload(money: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the whole graph: edges (src, dst, kind, amount, count), nodes (node, degree, external), where
+    external are those that no edge leaves: others' records name them, none is their own."""
+    edges = money.select("src", "dst", F.lit("MONEY").alias("kind"), F.col("total").alias("amount"), F.col("transfers").alias("count"))
+    edges = edges.unionByName(calls.select("src", "dst", F.lit("COMMUNICATION").alias("kind"), F.lit(None).cast("double").alias("amount"), F.col("calls").alias("count")))
+    d = degrees(edges)
+    return d.select("node", "degree", (F.col("out_degree") == 0).alias("external")), edges
+
+
+#: Nodes of a view (the reference's own limit).
+VIEW = 200
+
+
+def top_view(edges: DataFrame, most: int = VIEW) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the `most` nodes of highest degree, smaller ones first among equals, and the edges between them, by
+    two semi joins."""
+    nodes = degrees(edges).orderBy(F.desc("degree"), "node").limit(most)
+    return nodes, induced(edges, nodes)
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among nodes."""
+    own = nodes.select("node")
+    return edges.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def ego(edges: DataFrame, focus: DataFrame, steps: int = 1) -> DataFrame:
+    """(node, steps): the nodes within so many edges of any of focus (node), in either direction, and how many it takes."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
     both = written(both, "both")
-    labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        # A node's own label counts as one more vote, which settles two-node swaps.
-        own = labels.select(F.col("node").alias("a"), "label", F.lit(1).cast("long").alias("w"))
-        best = votes.unionByName(own).groupBy("a", "label").agg(F.sum("w").alias("w")).groupBy("a").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("x"))
-        new = written(best.select(F.col("a").alias("node"), (-F.col("x.l")).alias("label")), "labels")
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old")
-        settled = moved.isEmpty()
-        labels = new
-        if settled:
-            break
-    return labels.select("node", F.col("label").alias("community"))
+    seen = written(focus.select("node").distinct().withColumn("steps", F.lit(0)), "seen")
+    for k in range(steps):
+        edge = seen.where(F.col("steps") == k).join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        seen = written(seen.unionByName(edge.join(seen, "node", "left_anti").withColumn("steps", F.lit(k + 1))), "seen")
+    return seen

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars
-from tracewell.operators import anomaly, correlate, entities, features, graph, ledger, reports, rules, search, similar, transfers
+from tracewell.operators import anomaly, centrality, correlate, entities, features, graph, ledger, modularity, reports, rules, search, similar, transfers
 from tracewell.plans.adapter import EVENTS_SQL, canonical_events
 from tracewell.plans.adapter import ledger as ledger_rows
 from tracewell.scratch import table, written
@@ -173,13 +173,49 @@ def r08_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r15_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every node of up to 800, else from 200 of them; a test holds it against shortest paths node by node."""
     e = graph.money_edges(_transfers(spark, sf_dir)).select("src", "dst", F.col("total").alias("distance"))
-    return graph.betweenness(e, pivots=200)
+    return centrality.betweenness(e)
 
 
 @query()
 def r17_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.communities(graph.money_edges(_transfers(spark, sf_dir)))
+    """A test holds their modularity against that of greedy merging."""
+    return modularity.communities(graph.money_edges(_transfers(spark, sf_dir)))
+
+
+_GRAPH = f"""{TRANSFERS_SQL}, ge AS (SELECT from_entity AS src, to_entity AS dst, 'MONEY' AS kind, round(sum(amount), 2) AS amount, count(*) AS count FROM tr GROUP BY 1, 2
+    UNION ALL SELECT entity_id, cp, 'COMMUNICATION', NULL, count(*) FROM ev WHERE event_type = 'CALL' AND entity_id IS NOT NULL AND cp IS NOT NULL GROUP BY 1, 2),
+    pe AS (SELECT DISTINCT src, dst FROM ge), ends AS (SELECT src AS node, 1 AS o FROM pe UNION ALL SELECT dst, 0 FROM pe), nd AS (SELECT node, count(*) AS degree, sum(o) = 0 AS external FROM ends GROUP BY node)"""
+
+
+def _whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return graph.payload(graph.money_edges(_transfers(spark, sf_dir)), graph.communication_edges(canonical_events(spark, sf_dir)))
+
+
+@query(f"WITH {_GRAPH} SELECT * FROM nd")
+def r18_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_graph(spark, sf_dir)[0]
+
+
+@query(f"WITH {_GRAPH} SELECT * FROM ge")
+def r18_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_graph(spark, sf_dir)[1]
+
+
+@query(f"WITH {_GRAPH}, top AS (SELECT node FROM nd ORDER BY degree DESC, node LIMIT 50) SELECT ge.* FROM ge WHERE src IN (FROM top) AND dst IN (FROM top)")
+def l08_top_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of a large graph: the edges between its 50 nodes of highest degree."""
+    return graph.top_view(_whole_graph(spark, sf_dir)[1], 50)[1]
+
+
+@query(f"""WITH {_GRAPH}, u AS (SELECT src AS a, dst AS b FROM pe UNION SELECT dst, src FROM pe), f AS (SELECT node FROM nd WHERE node % 50 = 7),
+    s1 AS (SELECT DISTINCT b AS node FROM u WHERE a IN (FROM f) AND b NOT IN (FROM f)), s2 AS (SELECT DISTINCT b AS node FROM u WHERE a IN (FROM s1) AND b NOT IN (FROM f) AND b NOT IN (FROM s1))
+    SELECT node, 0 AS steps FROM f UNION ALL SELECT node, 1 FROM s1 UNION ALL SELECT node, 2 FROM s2""")
+def u06_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is within two steps of the nodes in focus, over money and calls in either direction."""
+    nodes, edges = _whole_graph(spark, sf_dir)
+    return graph.ego(edges, nodes.where("node % 50 = 7"), 2)
 
 
 # ---------------------------------------------------------------- windows and features
@@ -550,11 +586,3 @@ def p09_subject_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a13_reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_file")).agg(F.count("*").alias("rows"), F.count(F.when(F.col("event_id") % 3 == 0, 1)).alias("rejected"))
     return reports.reject_report(r)
-
-
-@query(f"""WITH {EVENTS_SQL} SELECT entity_id, entity_id % 7 AS own, 'member' AS how FROM (SELECT DISTINCT entity_id FROM ev) x WHERE entity_id IN (SELECT cp FROM ev WHERE event_type = 'CALL')""")
-def u06_ego_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that someone called: a semi join of a graph's nodes with its edges."""
-    e = canonical_events(spark, sf_dir)
-    called = e.where("event_type = 'CALL'").select(F.col("counterparty_entity_id").alias("entity_id"))
-    return e.select("entity_id").distinct().join(called, "entity_id", "left_semi").select("entity_id", (F.col("entity_id") % 7).alias("own"), F.lit("member").alias("how"))
