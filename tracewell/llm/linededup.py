@@ -64,14 +64,6 @@ def unflagged(parts: Column) -> Column:
     return F.regexp_replace(F.array_join(parts, "\nb"), "\n[bc]", "\n")
 
 
-def _keys(cs: Column) -> Column:
-    return F.transform(cs, lambda c, i: F.concat_ws(":", i, c["hash"]))
-
-
-def _place(k: Column) -> Column:
-    return F.substring_index(k, ":", 1).cast("int")
-
-
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_cols: bool = False) -> DataFrame:
     """docs, all columns and rows, their texts without the multi-line chunks that stand in an earlier place as well.
 
@@ -89,14 +81,15 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     light = written(own.where("c.many").select("id", "v", "at", F.col("c.hash").alias("h")), "chunks")
     first = light.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "v", "at")).alias("first")).where("n > 1")
     first = written(first, "first")  # read back, both sides of the join below can be split where a hash is very common
-    seen = light.join(first, "h").select("id", "v", F.concat_ws(":", "at", "h").alias("k"), (~F.struct("id", "v", "at").eqNullSafe(F.col("first"))).alias("later"))
+    seen = light.join(first, "h").select("id", "v", "at", (~F.struct("id", "v", "at").eqNullSafe(F.col("first"))).alias("later"))
     key, version, again, later, twice, rest, row, leader = fresh(docs.columns, "key", "version", "again", "later", "twice", "rest", "row", "leader")
-    marks = seen.groupBy(F.col("id").alias(key), F.col("v").alias(version)).agg(F.collect_set("k").alias(again), F.collect_set(F.when(F.col("later"), F.col("k"))).alias(later), F.count("*").alias(twice))
+    marks = seen.groupBy(F.col("id").alias(key), F.col("v").alias(version)).agg(F.collect_set("at").alias(again), F.collect_set(F.when(F.col("later"), F.col("at"))).alias(later), F.count("*").alias(twice))
     marks = written(marks.withColumn(twice, F.col(twice) > F.size(again)), "marks")  # several rows have this id and text
     discard(light, first)
     some, none = split_by(docs, F.xxhash64(F.col(id_col), version_of), marks, F.xxhash64(key, version))
-    no_marks = F.lit(None).cast("array<string>")
-    met = some.join(marks, F.col(id_col).eqNullSafe(F.col(key)) & (version_of == F.col(version)), "left").unionByName(none.withColumns({key: F.lit(None).cast(docs.schema[id_col].dataType), version: F.lit(None).cast("long"), again: no_marks, later: no_marks, twice: F.lit(None).cast("boolean")}))
+    no_marks = F.lit(None).cast("array<int>")
+    # By sorting at every size, as it must be at the sizes that count: there are as many marks as texts with repeats.
+    met = some.join(marks.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)) & (version_of == F.col(version)), "left").unionByName(none.withColumns({key: F.lit(None).cast(docs.schema[id_col].dataType), version: F.lit(None).cast("long"), again: no_marks, later: no_marks, twice: F.lit(None).cast("boolean")}))
     met = written(met.withColumn(row, F.monotonically_increasing_id()), "marked")
     if not marks.where(twice).isEmpty():
         alike = met.where(twice)
@@ -105,23 +98,20 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         met = met.where(~F.coalesce(twice, F.lit(False))).unionByName(alike)
     discard(marks)
 
-    def repeated(cs: Column) -> Column:
-        return F.transform(F.array_intersect(_keys(cs), again), lambda k: F.get(cs, _place(k)))
-
-    found = met.where(F.col(again).isNotNull()).select(F.explode(let(chunks(F.col(text_col)), repeated)).alias("c")).select("c.hash", "c.text")
+    found = met.where(F.col(again).isNotNull()).select(F.explode(let(chunks(F.col(text_col)), lambda cs: F.transform(again, lambda i: F.get(cs, i)))).alias("c")).select("c.hash", "c.text")
     unlike = written(found.groupBy("hash").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("hash"), "unlike")
-    gone = F.coalesce(later, F.array().cast("array<string>"))
-    if not unlike.isEmpty():
-        # Hashes under which texts differ: none but by chance in very many chunks, so a handful.
-        apart = [r[0] for r in unlike.collect()]
-        gone = F.filter(gone, lambda k: ~F.substring_index(k, ":", -1).cast("long").isin(apart))
+    gone = F.coalesce(later, F.array().cast("array<int>"))
+    # Hashes under which texts differ: none but by chance in very many chunks, so a handful.
+    apart = [r[0] for r in unlike.collect()]
 
     def left(cs: Column) -> Column:
+        own = F.filter(gone, lambda i: ~F.get(cs, i)["hash"].isin(apart)) if apart else gone
+
         def build(kept: Column) -> Column:
-            joined = F.when(F.size(kept) < F.size(cs), unflagged(F.transform(kept, lambda k: F.get(cs, _place(k))["text"])))
+            joined = F.when(F.size(kept) < F.size(cs), unflagged(F.transform(kept, lambda i: F.get(cs, i)["text"])))
             return F.struct(joined.alias("text"), F.size(cs).alias("n"), F.size(kept).alias("kept"))
 
-        return let(F.array_except(_keys(cs), gone), build)
+        return let(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), own), build)
 
     out = met.withColumn(rest, let(chunks(F.col(text_col)), left))
     n_gone = F.coalesce(F.col(f"{rest}.n") - F.col(f"{rest}.kept"), F.lit(0))
@@ -134,53 +124,70 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(*cols)
 
 
+#: More lines than a passage can have: tells line counts from word counts in one number.
+_LINES = 1 << 20
+
+
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE) -> DataFrame:
     """docs, all columns and rows, their texts without runs of lines of over `least` words that stand in an earlier place.
 
-    A line is repeated if it and a neighbour stand one after the other in an earlier place, or if it alone has over
-    `least` words and stands in one; a run is a longest row of repeated lines. So a passage that an earlier place has
-    line for line goes whole, its first and last line too. Places are ordered by doc_id (nulls first), text hash and
-    line; rows alike in both ids and texts are one place, and every line stays where it stands first. Null texts and
-    n_chars are as in drop_repeated_chunks.
+    A line goes if it lies in a run of over `least` words that an earlier place has line for line, as a whole. Places are
+    ordered by doc_id (nulls first), text hash and line; rows alike in both ids and texts are one place, and every line
+    stays where it stands first. Null texts and n_chars are as in drop_repeated_chunks.
 
-    Lines meet by 128 bits of hash, without their text; hashes found once go no further.
+    From every line the shortest run of over `least` words forward, and that back, are compared: a repeated passage of any
+    length is the union of such runs inside it, all of which the earlier place has too. They are formed only from lines
+    that stand beside the same neighbour elsewhere, or have over `least` words and stand elsewhere; lines and runs meet by
+    hashes, runs by 128 bits, without their text.
     """
     text = F.col(text_col)
 
-    def pairs(lines: Column) -> Column:
-        def counted(words: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                y = F.get(lines, i + 1)
-                here, there = F.get(words, i), F.get(words, i + 1)
-                two = F.struct(i.alias("at"), here.alias("w"), there.alias("w2"), F.xxhash64(x, F.lit("\n"), y).alias("h"), F.xxhash64(F.lit(2), x, F.lit("\n"), y).alias("g"))
-                alone = F.struct(i.alias("at"), here.alias("w"), F.lit(None).cast("int").alias("w2"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
-                return F.array(F.when(y.isNotNull(), two), F.when(here > least, alone))
-
-            return F.filter(F.flatten(F.transform(lines, one)), lambda p: p.isNotNull())
-
-        return let(F.transform(lines, lambda x: F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+"))), counted)
-
-    own = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("v"), F.explode(let(F.split(text, "\n", -1), pairs)).alias("p"))
-    light = written(own.select("id", "v", "p.*"), "pairs")
-    place = F.struct("id", "v", "at")
-    first = light.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first")
-    first = written(first, "first")
-    met = light.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
-    both = F.array(F.struct(F.col("at"), F.col("w")), F.when(F.col("w2").isNotNull(), F.struct((F.col("at") + 1).alias("at"), F.col("w2").alias("w"))))
-    lines = met.select("id", "v", F.explode(both).alias("l")).where("l IS NOT NULL").select("id", "v", "l.at", "l.w").distinct()
-    run = lines.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("id", "v").orderBy("at")))
-    runs = run.groupBy("id", "v", "run").agg(F.sum("w").alias("words"), F.collect_list("at").alias("ats")).where(F.col("words") > least)
+    def measured(lines: Column) -> Column:
+        return F.transform(lines, lambda x: F.struct(F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+")).alias("w"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))
+
+    own = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("v"), let(F.split(text, "\n", -1), measured).alias("ls"))
+    light = written(own, "lines")
+
+    def pairs(ls: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            two = F.when(i + 1 < F.size(ls), F.struct(i.alias("at"), F.lit(2).alias("n"), F.xxhash64(x["h"], F.get(ls, i + 1)["h"]).alias("k")))
+            alone = F.when(x["w"] > least, F.struct(i.alias("at"), F.lit(1).alias("n"), F.xxhash64(x["h"]).alias("k")))
+            return F.array(two, alone)
+
+        return F.array_compact(F.flatten(F.transform(ls, one)))
+
+    met = light.select("id", "v", F.inline(pairs(F.col("ls"))))
+    many = written(met.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "many")
+    near = met.join(many, "k", "left_semi").groupBy("id", "v").agg(F.collect_set(F.struct("at", "n")).alias("near"))
+    at = F.array_distinct(F.flatten(F.transform("near", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
+    own_lines = near.select(F.col("id").alias("i"), F.col("v").alias("j"), at.alias("ats"))
+    lines = own_lines.join(light, F.col("i").eqNullSafe(F.col("id")) & (F.col("j") == F.col("v"))).select("id", "v", F.explode("ats").alias("at"), "ls")
+    lines = lines.select("id", "v", "at", F.get("ls", F.col("at")).alias("l")).select("id", "v", "at", "l.w", "l.h", "l.g").distinct()
+    lines = lines.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("id", "v").orderBy("at")))
+    one = Window.partitionBy("id", "v", "run")
+    step = F.col("w") * F.lit(_LINES).cast("long") + 1  # words, then lines: no two lines of a run have one sum
+    lines = lines.withColumn("all", F.sum("w").over(one)).where(F.col("all") > least).withColumn("upto", F.sum(step).over(one.orderBy("at"))).withColumn("from", F.col("upto") - step)
+    reach = (least + 1) * _LINES - 1
+
+    def runs(frame: Window) -> DataFrame:
+        key = [F.xxhash64(F.collect_list("h").over(frame)).alias("h"), F.xxhash64(F.collect_list("g").over(frame)).alias("g")]
+        return lines.select("id", "v", F.min("at").over(frame).alias("a"), F.max("at").over(frame).alias("b"), *key, F.sum("w").over(frame).alias("w")).where(F.col("w") > least).drop("w")
+
+    found = written(runs(one.orderBy("from").rangeBetween(0, reach)).unionByName(runs(one.orderBy("upto").rangeBetween(-reach, 0))).distinct(), "runs")
+    place = F.struct("id", "v", "a")
+    first = written(found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first"), "first")
+    later = found.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
     key, version, gone = fresh(docs.columns, "key", "again", "later")
-    marks = written(runs.groupBy(F.col("id").alias(key), F.col("v").alias(version)).agg(F.flatten(F.collect_list("ats")).alias(gone)), "passages")
+    marks = written(later.groupBy(F.col("id").alias(key), F.col("v").alias(version)).agg(F.collect_set(F.struct("a", "b")).alias(gone)), "passages")
 
     def left(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+        out = F.array_distinct(F.flatten(F.transform(gone, lambda x: F.sequence(x["a"], x["b"]))))
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out), lambda i: F.get(lines, i)), "\n")
 
-    discard(light, first)
+    discard(light, many, found, first)
     some, none = split_by(docs, F.xxhash64(F.col(id_col), F.xxhash64(text)), marks, F.xxhash64(key, version))
-    out = some.join(marks, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(version)), "left")
-    out = out.unionByName(none.withColumns({key: F.lit(None).cast(docs.schema[id_col].dataType), version: F.lit(None).cast("long"), gone: F.lit(None).cast("array<int>")}))
+    out = some.join(marks.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(version)), "left")
+    out = out.unionByName(none.withColumns({key: F.lit(None).cast(docs.schema[id_col].dataType), version: F.lit(None).cast("long"), gone: F.lit(None).cast(marks.schema[gone].dataType)}))
     new = {text_col: F.when(F.col(gone).isNotNull(), let(F.split(text, "\n", -1), left)).otherwise(text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(gone).isNotNull(), F.char_length(new[text_col]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Bytes of an Arrow batch between Spark and Python. A batch also ends at Spark's own bound of rows.
 BATCH_BYTES = 4 << 20
 #: Values of a hash by which rows are told apart before a join: the bound of a broadcast.
-PICKS = 1 << 18
+PICKS = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
