@@ -73,6 +73,42 @@ def timestamp(c: Column, source_tz: str = "Asia/Kolkata", zone: str = "Asia/Kolk
     return t if source_tz == zone else F.convert_timezone(F.lit(source_tz), F.lit(zone), t)
 
 
+def _unquoted(c: Column) -> Column:
+    return F.regexp_replace(F.trim(ascii_digits(c)), "^['\"]+|['\"]+$", "")
+
+
+def _clock(time: Column) -> Column:
+    """Seconds of a day from HH:MM[:SS], hhmmss, hmmss, hhmm or hmm; 0 for anything else."""
+    t = _unquoted(time)
+    d = F.regexp_replace(t, "[^0-9]", "")
+    six = F.when(F.length(d).isin(5, 6), F.lpad(d, 6, "0")).when(F.length(d).isin(3, 4), F.concat(F.lpad(d, 4, "0"), F.lit("00")))
+    parts = F.split(t, ":")
+    at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit("0"))
+    h, m, s = (F.when(t.contains(":"), at(i)).otherwise(F.substring(six, 2 * i + 1, 2)).try_cast("int") for i in range(3))
+    return F.coalesce(F.when(h.between(0, 23) & m.between(0, 59) & s.between(0, 59), h * 3600 + m * 60 + s), F.lit(0))
+
+
+def _at(day: Column, time: Column) -> Column:
+    return (F.date_trunc("DAY", day).cast("timestamp_ntz") + F.make_dt_interval(secs=_clock(time).cast("decimal(18,6)"))).cast("timestamp_ntz")
+
+
+def date_time(date: Column, time: Column, source_tz: str = "Asia/Kolkata", zone: str = "Asia/Kolkata") -> Column:
+    """A zone-free timestamp from a date and a time in columns of their own: HH:MM[:SS], hhmmss, hmmss, hhmm or hmm. A time
+    that is none, or none at all, is midnight; without a date there is nothing."""
+    local = _at(timestamp(_unquoted(date)), time)
+    return local if source_tz == zone else F.convert_timezone(F.lit(source_tz), F.lit(zone), local)
+
+
+def event_time(datetime_col: Column, timestamp_start: Column, date_col: Column, time_col: Column, source_tz: str = "Asia/Kolkata", zone: str = "Asia/Kolkata") -> Column:
+    """When something happened: the first of a full column, a start, or a date with a time, that is filled at all. One that
+    is filled but can't be read gives null, not the next."""
+    there = lambda c: F.coalesce(F.trim(c.cast("string")) != "", F.lit(False))
+    full = F.when(there(datetime_col), datetime_col).when(there(timestamp_start), timestamp_start)
+    read = timestamp(F.coalesce(full, _unquoted(date_col)))
+    local = F.when(full.isNotNull(), read).otherwise(_at(read, time_col))
+    return local if source_tz == zone else F.convert_timezone(F.lit(source_tz), F.lit(zone), local)
+
+
 def call_direction(c: Column) -> Column:
     """OUT words go before IN words, since a word such as ROAMING holds IN; OUT where neither stands."""
     u = F.upper(c)
@@ -113,6 +149,23 @@ MENTIONS = {
 }
 
 
+# What documents say of accounts, branches and subscribers, by the label before them where one is needed.
+LABELLED = {
+    "accounts": r"(?i)(?:A/?C(?:\s*No)?|ACCOUNT\s*(?:NO|NUMBER)?|એકાઉન્ટ\s*નં|ખાતા\s*નં|બેંક\s*એકાઉન્ટ)[\s.:#–-]*([0-9]{9,18})",
+    "branches": r"\b([A-Z]{4}0[A-Z0-9]{6})\b",
+    "subscribers": r"(?i)IMSI[^0-9]{0,12}([0-9]{15})",
+    "handsets": r"(?i)IMEI[^0-9]{0,12}((?:[0-9][0-9/\s,]{13,60}))",
+}
+
+
+def labelled_mentions(c: Column) -> dict[str, Column]:
+    """Identifiers beside their labels, each once, sorted. Devices are kept if they have 14 to 16 digits, however parted."""
+    c = ascii_digits(c)
+    found = {k: F.regexp_extract_all(c, F.lit(p), 1) for k, p in LABELLED.items()}
+    found["handsets"] = F.filter(F.transform(found["handsets"], lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: F.length(x).between(14, 16))
+    return {k: F.array_sort(F.array_distinct(v)) for k, v in found.items()}
+
+
 def mentions(c: Column) -> dict[str, Column]:
     return {k: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(p), 1))) for k, p in MENTIONS.items()}
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.scalars import phone
 from tracewell.operators.components import connected_components
 from tracewell.scratch import table
 
@@ -34,12 +35,53 @@ def entity_rows(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("entity_id").agg(F.count("*").alias("identifiers"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"), F.coalesce(least("PHONE"), least("ACCOUNT_NO"), least("IMEI")).alias("label"), F.max("oversized").alias("oversized"))
 
 
-def fan_out_refusal(pairs: DataFrame, most: int = 4) -> DataFrame:
-    """pairs (account, phone), all of them or none: a batch in which any side has over `most` partners is refused."""
+def fan_out_refusal(pairs: DataFrame, most: int = 4, batch: str | None = None) -> DataFrame:
+    """pairs (account, phone), all of a batch or none: a batch in which any side has over `most` partners is refused. batch
+    names the column that tells batches apart; without it all pairs are one."""
+    by = [batch] if batch else []
     p = pairs.where("account IS NOT NULL AND phone IS NOT NULL").distinct()
-    side = lambda c: p.groupBy(c).agg(F.count("*").alias("n")).agg(F.max("n").alias("m"))
-    worst = side("account").unionByName(side("phone")).agg(F.coalesce(F.max("m"), F.lit(0)).alias("worst"))
-    return p.crossJoin(F.broadcast(worst)).where(F.col("worst") <= most).drop("worst")
+    side = lambda c: p.groupBy(*by, c).agg(F.count("*").alias("n")).groupBy(*by).agg(F.max("n").alias("m"))
+    worst = side("account").unionByName(side("phone")).groupBy(*by).agg(F.coalesce(F.max("m"), F.lit(0)).alias("worst"))
+    met = p.join(worst, batch) if batch else p.crossJoin(F.broadcast(worst))  # one row
+    return met.where(F.col("worst") <= most).drop("worst")
+
+
+# Columns of an analyst's map and the kind of identifier each holds.
+MAP_COLUMNS = {"account_no": "ACCOUNT_NO", "phone": "PHONE", "wallet": "ACCOUNT_NO", "upi_id": "UPI_ID", "imei": "IMEI", "imsi": "IMSI"}
+
+
+def map_links(cells: DataFrame) -> DataFrame:
+    """(file, row, ids): links that an analyst has written down, ids an array<struct<id_type, id_value>> of two or more.
+
+    cells: file, row, header, value of map files without their comment lines. A file with type_a, value_a, type_b and
+    value_b gives pairs of any kinds, others a column for each kind. Phones are written in full.
+    """
+    c = cells.select("file", "row", F.lower(F.trim("header")).alias("h"), F.trim(F.coalesce("value", F.lit(""))).alias("v")).where("v <> ''")
+    wide = c.groupBy("file", "row").pivot("h", ["type_a", "value_a", "type_b", "value_b", *MAP_COLUMNS]).agg(F.first("v"))
+
+    def one(kind: Column, value: Column) -> Column:
+        full = F.when(kind == "PHONE", F.coalesce(phone(value), value)).otherwise(value)
+        return F.when(kind.isNotNull() & value.isNotNull(), F.struct(kind.alias("id_type"), full.alias("id_value")))
+
+    generic = F.array_compact(F.array(*(one(F.upper(f"type_{x}"), F.col(f"value_{x}")) for x in "ab")))
+    named = F.array_compact(F.array(*(one(F.lit(k), F.col(n)) for n, k in MAP_COLUMNS.items())))
+    pairs = F.col("type_a").isNotNull() | F.col("type_b").isNotNull()
+    return wide.select("file", "row", F.when(pairs, generic).otherwise(named).alias("ids")).where(F.size("ids") >= 2)
+
+
+def link_edges(links: DataFrame) -> DataFrame:
+    """(a, b) for resolve(): each identifier of a link with the first of it."""
+    name = lambda i: F.concat(i["id_type"], F.lit(":"), i["id_value"])
+    return links.select(name(F.col("ids")[0]).alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("i")).select("a", name(F.col("i")).alias("b"))
+
+
+def labelled(rows: DataFrame, entities: DataFrame, ids: dict[str, str]) -> DataFrame:
+    """rows with the label of the entity in each of some columns: ids maps a column to that of its label. An entity without
+    a label, or none of the table's, keeps its id as its label."""
+    for col, out in ids.items():
+        own = entities.select(F.col("entity_id").alias(col), F.col("label").alias(out))
+        rows = rows.join(own, col, "left").withColumn(out, F.coalesce(out, F.col(col).cast("string")))
+    return rows
 
 
 def lookup(rows: DataFrame, identifier: str, resolved: DataFrame) -> DataFrame:

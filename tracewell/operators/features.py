@@ -45,8 +45,17 @@ def flows_with_counterparties(txns: DataFrame, transfers: DataFrame) -> DataFram
     return own.unionByName(more)
 
 
+def distinct_identifiers(events: DataFrame) -> DataFrame:
+    """(entity_id, distinct_ips, distinct_devices): how many addresses and devices an entity's own records name as its own.
+    events: entity_id, own_ids array<struct<id_type, id_value>>."""
+    own = events.select("entity_id", F.explode("own_ids").alias("i")).select("entity_id", "i.id_type", "i.id_value").distinct()
+    n = lambda k: F.count(F.when(F.col("id_type") == k, 1))
+    return own.where("entity_id IS NOT NULL").groupBy("entity_id").agg(n("IP").alias("distinct_ips"), n("IMEI").alias("distinct_devices"))
+
+
 def entity_features(events: DataFrame, transfers: DataFrame, hits: DataFrame, hold_minutes: int = 120) -> DataFrame:
-    """One row per entity of the events, transfers or hits, with its totals, counts, ratios and window signals."""
+    """One row per entity of the events, transfers or hits, with its totals, counts, ratios and window signals; where events
+    have own_ids, its distinct addresses and devices too."""
     night = (F.hour("ts_start") <= 5) | (F.hour("ts_start") >= 23)
     base = events.groupBy("entity_id").agg(F.count("*").alias("total_events"), F.count(F.when(night, 1)).alias("night_events"), F.count(F.when(F.col("event_type") == "TRANSACTION", 1)).alias("txn_count"))
     txns = events.where("event_type = 'TRANSACTION'")
@@ -57,6 +66,8 @@ def entity_features(events: DataFrame, transfers: DataFrame, hits: DataFrame, ho
     tiers = hits.groupBy("entity_id").agg(F.count(F.when(F.col("tier") == "STRONG", 1)).alias("strong"), F.count(F.when(F.col("tier") == "MEDIUM", 1)).alias("medium"))
     calls = max_in_window(events.where("event_type = 'CALL'"), 60).withColumnRenamed("most", "max_calls_hour")
     parts = [base, money, fan_in, fan_out, tiers, calls, max_gap_days(txns).withColumnRenamed("gap_days", "max_dormancy_days"), rapid_forward(flows, hold_minutes).withColumnRenamed("forwarded", "max_rapid_forward")]
+    if "own_ids" in events.columns:
+        parts.append(distinct_identifiers(events))
     # Each part has an entity once, so one shuffle of their union brings them together.
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).where("entity_id IS NOT NULL")
     f = both.groupBy("entity_id").agg(*(F.max(c).alias(c) for c in both.columns if c != "entity_id"))

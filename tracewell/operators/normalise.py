@@ -23,11 +23,18 @@ def _reason(ts: Column, who: Column) -> Column:
     return F.when(ts.isNull(), "no timestamp").when(who.isNull(), "timestamp but no identifier")
 
 
+def _when(rows: DataFrame, source_tz: str = "Asia/Kolkata") -> Column:
+    """A row's time: `datetime_col`, `when` (or `timestamp_start`), or `date_col` and `time_col`, the first that is filled."""
+    c = lambda n: _column(rows, n)
+    start = F.coalesce(F.nullif(F.trim(c("when")), F.lit("")), c("timestamp_start"))
+    return scalars.event_time(c("datetime_col"), start, c("date_col"), c("time_col"), source_tz)
+
+
 def bank(rows: DataFrame) -> DataFrame:
     """rows: when, account_no, header_account, registered_mobile, narration, debit, credit, amount, balance, ref_no,
     currency. The header's mobile belongs to a row only if the row's account is the header's."""
     c = lambda n: _column(rows, n)
-    ts, account, header = scalars.timestamp(c("when")), F.coalesce(scalars.account(c("account_no")), scalars.account(c("header_account"))), scalars.account(c("header_account"))
+    ts, account, header = _when(rows), F.coalesce(scalars.account(c("account_no")), scalars.account(c("header_account"))), scalars.account(c("header_account"))
     said, move = narration.mine(c("narration")), scalars.bank_movement(c("debit"), c("credit"), c("amount"))
     mobile = F.when(account == header, scalars.phone(c("registered_mobile")))
     out = rows.withColumns({"_said": said, "_move": move, "_ts": ts, "_account": account, "_mobile": mobile})
@@ -39,7 +46,7 @@ def calls(rows: DataFrame) -> DataFrame:
     """rows: when, a_party, b_party, duration, call_type, imei, imsi, target, source_file. Devices belong to the caller
     only where it is the report's target, named by a column or by the file."""
     c = lambda n: _column(rows, n)
-    ts, a = scalars.timestamp(c("when")), scalars.phone(c("a_party"))
+    ts, a = _when(rows), scalars.phone(c("a_party"))
     seconds = F.floor(F.trim(c("duration")).try_cast("double")).cast("long")
     subject = F.coalesce(scalars.phone(c("target")), scalars.phone(scalars.number_in_name(c("source_file"))))
     own = lambda k, v: F.when(subject == a, ident(k, scalars.device_id(v)))
@@ -51,7 +58,7 @@ def sessions(rows: DataFrame) -> DataFrame:
     """rows: when, until, subscriber, public_ip, private_ip, imei, imsi, source_file, source_tz by column order of use:
     the subscriber, else the number in the file's name; the session is a phone's, else its public, else private address's."""
     c = lambda n: _column(rows, n)
-    ts = scalars.timestamp(c("when"))
+    ts = _when(rows)
     who = F.coalesce(scalars.phone(c("subscriber")), scalars.phone(scalars.number_in_name(c("source_file"))))
     pub, priv = scalars.clean_ip(c("public_ip")), scalars.clean_ip(c("private_ip"))
     first = F.coalesce(ident("PHONE", who), ident("IP", pub), ident("IP", priv))
@@ -62,7 +69,7 @@ def sessions(rows: DataFrame) -> DataFrame:
 def crypto(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """rows: when (UTC), from_addr, to_addr, amount, token, txn_hash; rates: token, inr. Always a debit of the sender."""
     c = lambda n: _column(rows, n)
-    ts, a, b = scalars.timestamp(c("when"), "UTC"), F.nullif(F.trim(c("from_addr")), F.lit("")), F.nullif(F.trim(c("to_addr")), F.lit(""))
+    ts, a, b = _when(rows, "UTC"), F.nullif(F.trim(c("from_addr")), F.lit("")), F.nullif(F.trim(c("to_addr")), F.lit(""))
     token, amount = F.coalesce(F.nullif(F.trim(c("token")), F.lit("")), F.lit("CRYPTO")), scalars.amount(c("amount"))
     out = rows.select(F.lit("TRANSACTION").alias("event_type"), ts.alias("ts_start"), amount.alias("amount"), F.lit("DEBIT").alias("direction"), F.concat(F.lit("CRYPTO:"), token).alias("asset"), ident("ACCOUNT_NO", a).alias("primary_id"), ident("ACCOUNT_NO", b).alias("counterparty_id"), c("txn_hash").alias("ref_no"), token.alias("token"), F.when(ts.isNull(), "no timestamp").when(a.isNull() | b.isNull(), "timestamp but no identifier").alias("reason"))
     return out.join(rates, "token", "left").withColumn("value_inr", F.round(F.col("amount") * F.col("inr"), 2)).drop("inr")

@@ -35,8 +35,17 @@ def reject_report(rejects: DataFrame, n: int = 100) -> DataFrame:
     return rejects.orderBy(F.desc(F.coalesce("rejected", "rows")), "source_file").limit(n)
 
 
-#: Words that tell a document's class, in the order of the list.
-CLASSES = {"licence": "(?i)licen[sc]ed? under|rights reserved", "secret": "token = \"[0-9a-f]+", "contact": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]", "shouting": "[A-Z]{3,}!!", "table": " [|] "}
+# Words that tell what kind of paper a document is.
+CLASSES = {
+    "affidavit": "(?i)એફીડેવીટ|એફિડેવિટ|affidavit",
+    "chargesheet": "(?i)ચાર્જશીટ|charge.?sheet",
+    "bail_application": "જામીન અરજી",
+    "arrest_record": r"\bMCR\b|ધરપકડ|અટક",
+    "panchnama": "પંચનામ",
+    "bank_reply": "બેંક એકાઉન્ટ નંબર",
+    "notice": "યાદી|નોટીસ",
+    "statement": "જવાબ|નિવેદન",
+}
 
 
 def document_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -45,6 +54,30 @@ def document_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("classes", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unclassified"))))
 
 
+def mention_facets(docs: DataFrame, kinds: list[str]) -> DataFrame:
+    """(documents, prose_only, kind, mentions): how many documents name an identifier of each kind, beside the number of all
+    documents and of those that are prose alone. docs: prose_only, and an array of values for each of kinds."""
+    n = docs.agg(F.count("*").alias("documents"), F.count(F.when(F.col("prose_only"), 1)).alias("prose_only"), *(F.count(F.when(F.size(k) > 0, 1)).alias(k) for k in kinds))
+    return n.unpivot(["documents", "prose_only"], kinds, "kind", "mentions")
+
+
+def file_counts(files: DataFrame, known: tuple[str, ...] = ("BANK", "CDR", "IPDR")) -> DataFrame:
+    """(source, files): files by source, all other sources, and none, as other. files: source_type."""
+    u = F.upper(F.coalesce("source_type", F.lit("UNKNOWN")))
+    return files.groupBy(F.when(u.isin(*known), F.lower(u)).otherwise("other").alias("source")).agg(F.count("*").alias("files"))
+
+
+def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """One page of rows in order, with the number of all rows beside each. order must tell all rows apart."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
+def top_hits(hits: DataFrame, n: int) -> DataFrame:
+    """The n coincidences of highest amount, then the earliest. A top-k report."""
+    return hits.orderBy(F.desc("amount"), "txn_ts", "txn_id", "entity_id").limit(n)
+
+
 def subject_line(ids: Column, most: int = 4) -> Column:
     """The first identifiers of a sorted array, and how many more there are."""
     n = F.size(ids)

@@ -50,10 +50,19 @@ class Search:
     tie: str = field(default="key")
 
 
+#: What a reader may look for anywhere in an event, where its table has it.
+HAYSTACK = ["event_type", "direction", "label", "narration", "location", "cell_id", "imei", "imsi", "public_ip", "counterparty", "source_file"]
+
+
+def any_text(*columns: str) -> Column:
+    """One text of all that is filled in the columns, parted by spaces."""
+    return F.concat_ws(" ", *(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns))
+
+
 def fields() -> dict[str, Column]:
     """The searchable fields of an event; others are refused."""
     t = F.col("ts_start")
-    return {"event_type": F.col("event_type"), "timestamp": F.date_format(t, "yyyy-MM-dd HH:mm:ss"), "hour_of_day": F.hour(t), "date": F.to_date(t).cast("string"), "amount": F.col("amount"), "direction": F.col("direction"), "duration": F.col("duration"), "entity_id": F.col("entity_id"), "counterparty": F.col("counterparty_entity_id"), "any_text": F.concat_ws(" ", "event_type", "direction", F.col("entity_id").cast("string"), F.col("counterparty_entity_id").cast("string"))}
+    return {"event_type": F.col("event_type"), "timestamp": F.date_format(t, "yyyy-MM-dd HH:mm:ss"), "hour_of_day": F.hour(t), "date": F.to_date(t).cast("string"), "amount": F.col("amount"), "direction": F.col("direction"), "duration": F.col("duration"), "entity_id": F.col("entity_id"), "counterparty": F.col("counterparty_entity_id"), "any_text": any_text("event_type", "direction", "entity_id", "counterparty_entity_id")}
 
 
 def predicate(c: Column, t: Test, numeric: bool) -> Column:
@@ -126,3 +135,54 @@ def run(events: DataFrame, q: Search) -> DataFrame:
         g = g.where(predicate(F.col(t.name), t, t.name in _NUMERIC))
     order = F.desc(q.aggregate) if q.descending else F.asc(q.aggregate)
     return g.orderBy(order, "key").limit(q.limit).select("key", q.aggregate, *(["events"] if q.aggregate != "events" else []))
+
+
+# ---------------------------------------------------------------- searches over entities and coincidences
+
+#: Fields of an entity; the last five are lists, of which any element may match.
+ENTITY_FIELDS = {"entity_id": "entity_id", "entity_label": "label", "risk_score": "risk_score", "risk_band": "band", "rule_flag": "flags", "phone": "phones", "account_no": "accounts", "imei": "imeis", "imsi": "imsis"}
+LISTS = {"rule_flag", "phone", "account_no", "imei", "imsi"}
+#: Fields of a coincidence; others never match.
+HIT_FIELDS = {"entity_id": "entity_id", "entity_label": "label", "tier": "tier", "amount": "amount"}
+
+
+def _holds(t: Test, column: str, numeric: bool) -> Column:
+    if t.name in LISTS:
+        return F.coalesce(F.exists(column, lambda x: predicate(x, t, False)), F.lit(False))
+    return predicate(F.col(column), t, numeric)
+
+
+def _searched(rows: DataFrame, q: Search, known: dict[str, str], order: list[Column], shape: list[Column]) -> DataFrame:
+    if not 1 <= q.limit <= 2000:
+        raise ValueError("limit must be 1 to 2000")
+    if unknown := [t.name for t in q.filters if t.name not in known]:
+        raise ValueError(f"unknown field {unknown[0]}")
+    for t in q.filters:
+        rows = rows.where(_holds(t, known[t.name], t.name in ("risk_score", "amount")))
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).limit(q.limit).select(*shape).crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > q.limit)  # one row
+
+
+def run_entities(entities: DataFrame, q: Search) -> DataFrame:
+    """(entity, entity_id, risk, band, flags, total, truncated): entities that pass all filters, by risk, at most `limit`.
+
+    entities: entity_id, label, risk_score, band, and the arrays flags, phones, accounts, imeis and imsis. total counts
+    all that pass. A test on a list holds if it holds for any element; an empty or missing list never passes."""
+    risk = F.coalesce("risk_score", F.lit(0.0))
+    order = [F.desc(risk) if q.descending else F.asc(risk), F.col("entity_id")]
+    shape = [F.col("label").alias("entity"), F.col("entity_id"), F.col("risk_score").alias("risk"), F.col("band"), F.array_join(F.array_sort(F.array_distinct("flags")), ", ").alias("flags")]
+    return _searched(entities, q, ENTITY_FIELDS, order, shape)
+
+
+def run_hits(hits: DataFrame, q: Search) -> DataFrame:
+    """(entity, when, amount, why, total, truncated): strong coincidences that pass all filters, by time of the transfer;
+    why is the first 120 signs of the explanation. hits: entity_id, label, tier, amount, txn_ts, txn_id, explanation."""
+    when = F.desc("txn_ts") if q.descending else F.asc("txn_ts")
+    shape = [F.col("label").alias("entity"), F.col("txn_ts").alias("when"), F.col("amount"), F.substring("explanation", 1, 120).alias("why")]
+    return _searched(hits.where("tier = 'STRONG'"), q, HIT_FIELDS, [when, F.col("txn_id"), F.col("entity_id")], shape)
+
+
+def shaped_events(events: DataFrame, labels: DataFrame) -> DataFrame:
+    """(type, when, entity, amount, direction): what is shown of events; when is ISO text, entity the label of its owner."""
+    own = labels.select("entity_id", F.col("label").alias("entity"))
+    return events.join(own, "entity_id", "left").select(F.col("event_type").alias("type"), F.date_format("ts_start", "yyyy-MM-dd'T'HH:mm:ss").alias("when"), "entity", "amount", "direction")

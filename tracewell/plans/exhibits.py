@@ -139,3 +139,16 @@ def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit(len(top)) + 2 * F.col("i")
     lines = m.select("file", F.inline(F.when(F.col("i") % 4 == 3, F.array(F.struct(at.alias("row"), line.alias("line")), F.struct((at + 1).alias("row"), more.alias("line")))).otherwise(F.array(F.struct(at.alias("row"), line.alias("line"))))))
     return head.unionByName(lines)
+
+
+def delimited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a delimited file for each customer, (file, row, line): delimiters differ, notes are quoted and hold the
+    delimiter, some files have lines above their header."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    m = table(spark, sf_dir, "orders").withColumn("file", F.col("o_custkey")).withColumn("i", (F.row_number().over(own) - 1).cast("int"))
+    top, sep = (F.col("file") % 3).cast("int"), F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t"), F.lit("|")), (F.col("file") % 4 + 1).cast("int"))
+    note = F.concat(F.lit('"to ""A, B"" '), F.col("o_orderkey").cast("string"), F.lit('"'))
+    line = F.concat(F.date_format("o_orderdate", "dd-MM-yyyy"), sep, note, sep, F.format_string("%.2f", F.round("o_totalprice", 2)))
+    head = F.concat(F.transform(F.filter(F.array(F.lit(0), F.lit(1)), lambda p: p < top), lambda p: F.struct(p.alias("row"), F.lit("Statement of account").alias("line"))), F.array(F.struct(top.alias("row"), F.concat(F.lit("Txn Date"), sep, F.lit("Narration"), sep, F.lit("Debit")).alias("line"))))
+    heads = m.select("file").distinct().select("file", F.inline(head))
+    return heads.unionByName(m.select("file", (top + 1 + F.col("i")).alias("row"), line.alias("line")))

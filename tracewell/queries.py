@@ -242,13 +242,6 @@ def w03_rapid_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.rapid_forward(canonical_events(spark, sf_dir).where("event_type = 'TRANSACTION'"), 120)
 
 
-@query("""SELECT account, most FROM (SELECT account, max(n) AS most FROM (SELECT o_custkey AS account, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND CURRENT ROW) AS n
-    FROM orders WHERE o_totalprice >= 450000 AND o_totalprice < 500000) x GROUP BY account) y WHERE most >= 2""")
-def w04_structuring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = ledger_rows(spark, sf_dir).where("amount >= 450000 AND amount < 500000")
-    return features.max_in_window(near, 365 * 24 * 60, "account", "ts").where("most >= 2")
-
-
 @query(f"WITH {EVENTS_SQL} SELECT entity_id, event_id, row_number() OVER (PARTITION BY entity_id ORDER BY ts_start, event_id) AS place FROM ev")
 def w05_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -395,12 +388,6 @@ def j07_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.lookup(rows, "phone", entities.resolve(entities.identifier_edges(spark, sf_dir)))
 
 
-@query("SELECT DISTINCT s_nationkey::VARCHAR AS account, s_suppkey::VARCHAR AS phone FROM supplier WHERE false")
-def j12_fan_out_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("string").alias("account"), F.col("o_custkey").cast("string").alias("phone"))
-    return entities.fan_out_refusal(p)
-
-
 # ---------------------------------------------------------------- ledgers and summaries
 
 
@@ -423,12 +410,6 @@ def f25_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.dedupe(twice.withColumn("ref_no", F.when(F.col("ref_no").isNotNull(), F.col("event_id") % 1_000_000_000))).select("event_id", "event_type", "entity_id")
 
 
-@query("SELECT event_type, 'kept' AS reason, count(*) AS rows FROM events GROUP BY 1")
-def f24_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_type", F.col("ts").alias("ts_start"), F.col("user_id").alias("entity_id"), F.lit(None).cast("long").alias("counterparty_entity_id"))
-    return ledger.reject_split(e)
-
-
 @query(f"""WITH {EVENTS_SQL} SELECT event_id, event_type, entity_id, ts_start FROM ev WHERE event_type = 'TRANSACTION' AND amount >= 20 AND amount <= 80 AND hour(ts_start) BETWEEN 9 AND 17""")
 def f26_events_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_events(spark, sf_dir).where("event_type = 'TRANSACTION' AND amount BETWEEN 20 AND 80 AND hour(ts_start) BETWEEN 9 AND 17").select("event_id", "event_type", "entity_id", "ts_start")
@@ -538,14 +519,6 @@ def g05_width_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.width_runs(_grid(spark, sf_dir))
 
 
-@query("""SELECT class, count(*) AS documents FROM (SELECT doc_id, unnest(CASE WHEN len(k) = 0 THEN ['unclassified'] ELSE k END) AS class FROM (SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)licen[sc]ed? under|rights reserved') THEN 'licence' END,
-    CASE WHEN regexp_matches(text, 'token = "[0-9a-f]+') THEN 'secret' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]') THEN 'contact' END, CASE WHEN regexp_matches(text, '[A-Z]{3,}!!') THEN 'shouting' END,
-    CASE WHEN regexp_matches(text, ' [|] ') THEN 'table' END], lambda x: x IS NOT NULL) AS k FROM documents) x) y GROUP BY class""")
-def f38_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = reports.document_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("documents"))
-
-
 # ---------------------------------------------------------------- scores, similarity and reports
 
 

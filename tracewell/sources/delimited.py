@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources import regions
+
 #: First bytes of file kinds.
 MAGIC = {"zip": "504B0304", "ole2": "D0CF11E0A1B11AE1", "pdf": "25504446", "appledouble": "00051607"}
 KNOWN = ("csv", "txt", "tsv", "html", "htm")
@@ -39,34 +41,59 @@ def unsupported(found: DataFrame) -> DataFrame:
     return found.where(~kind.isin(*KNOWN)).select("path", F.concat(F.lit("unsupported file type "), kind).alias("reason"))
 
 
-def sniff(lines: list[str]) -> str:
-    """The delimiter that splits most lines into one number of parts; comma if none does."""
-    best = max(",;|\t", key=lambda d: (max((sum(x.count(d) == n for x in lines) * min(n, 3) for n in {x.count(d) for x in lines}), default=0), d == ","))
-    return best
-
-
-def header_row(lines: list[str], aliases: set[str]) -> int:
-    """The line with most header words of the profiles, two at least; the first line if there is none."""
-    norm = [{re.sub(r"\s+", " ", c.strip().strip('"').lower()) for c in re.split(r"[,;|\t]", x)} for x in lines]
-    hits = [len(n & aliases) if len(n) > 3 else 0 for n in norm]
-    return max(range(len(hits)), key=lambda i: (hits[i], -i)) if hits and max(hits) >= 2 else 0
-
-
-def read_delimited(spark: SparkSession, path: str, aliases: set[str] | None = None) -> DataFrame:
-    """One file's rows, all strings, below its header line; lines that don't fit are dropped by the reader. Only the
-    first forty lines come to the driver, to find delimiter and header."""
-    head = [r[0] for r in spark.read.text(path).limit(40).collect()]
-    sep, at = sniff(head), header_row(head, aliases or set())
-    names, seen = [], {}
-    for i, n in enumerate(head[at].split(sep) if head else []):
-        n = n.strip().strip('"') or f"column_{i}"
-        seen[n] = seen.get(n, 0) + 1
-        names.append(n if seen[n] == 1 else f"{n}__{seen[n]}")
-    schema = ", ".join(f"`{n}` string" for n in names) or "column_0 string"
-    rows = spark.read.option("sep", sep).option("mode", "DROPMALFORMED").schema(schema).csv(path)
-    skip = {head[i].split(sep)[0].strip().strip('"') for i in range(at + 1)} if head else set()
-    first = F.col(f"`{names[0]}`") if names else F.col("column_0")
-    return rows.where(first.isNull() | ~F.trim(first).isin(*skip)) if skip else rows
+#: Delimiters, the first of equally good ones first; lines by which a file's is told.
+DELIMITERS, SNIFFED = [",", ";", "|", "\t"], 40
+
+
+def lines_of(found: DataFrame, encoding: str = "UTF-8") -> DataFrame:
+    """(file, row, line): the lines of text files (path, content), counted from 0."""
+    text = F.regexp_replace(F.decode("content", encoding), "\r\n?", "\n")
+    return found.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\n", -1)).alias("row", "line"))
+
+
+def _count(line: Column, delimiter: str) -> Column:
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))
+
+
+def delimiters(lines: DataFrame) -> DataFrame:
+    """(file, delimiter): the one that stands equally often, outside quotes, in most of a file's first lines; three or more
+    times count alike, a comma goes before others."""
+    head = lines.where((F.col("row") < SNIFFED) & (F.trim("line") != ""))
+    n = head.select("file", F.inline(F.array(*(F.struct(F.lit(-i).alias("place"), F.lit(d).alias("delimiter"), _count(F.col("line"), d).alias("n")) for i, d in enumerate(DELIMITERS)))))
+    modes = n.groupBy("file", "place", "delimiter", "n").agg((F.count("*") * F.least("n", F.lit(3))).alias("worth"))
+    return modes.groupBy("file").agg(F.max(F.struct("worth", "place", "delimiter"))["delimiter"].alias("delimiter"))
+
+
+def grid(lines: DataFrame) -> DataFrame:
+    """(file, row, cells): lines cut at their file's delimiter, but not inside quotes; doubled quotes are one, blank lines
+    are left out. Every line becomes a row, however many cells it has."""
+    met = lines.where(F.trim("line") != "").join(delimiters(lines), "file")
+    cut = F.coalesce(*(F.when(F.col("delimiter") == d, F.split("line", f'[{d}](?=(?:[^"]*"[^"]*")*[^"]*$)', -1)) for d in DELIMITERS))
+    bare = F.transform(cut, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    return met.select("file", "row", bare.alias("cells"))
+
+
+def cells(lines: DataFrame, aliases: list[str]) -> DataFrame:
+    """(file, row, col, header, value): the records of all files below the header row of each, as cells in long form."""
+    g = grid(lines)
+    return regions.grid_records(g, regions.header_rows(g, aliases))[0]
+
+
+def wide(one: DataFrame) -> DataFrame:
+    """(file, row, a column for each header): cells of files that share one header, whose names come to the driver."""
+    names = [r.header for r in one.select("col", "header").distinct().orderBy("col").collect()]
+    return one.groupBy("file", "row").pivot("header", names).agg(F.first("value"))
+
+
+def misfits(lines: DataFrame, aliases: list[str]) -> DataFrame:
+    """(file, row, cells, reason): records with other than their header's number of cells. They are read all the same, short
+    ones with empty cells at their end."""
+    g = grid(lines)
+    heads = regions.header_rows(g, aliases)
+    width = g.join(heads, "file").where("row = header").select("file", "header", F.size("cells").alias("width"))
+    odd = g.join(width, "file").where((F.col("row") > F.col("header")) & (F.size("cells") != F.col("width")))
+    return odd.select("file", "row", "cells", F.concat(F.size("cells").cast("string"), F.lit(" cells under a header of "), F.col("width").cast("string")).alias("reason"))
 
 
 def cap_rows(rows: DataFrame, file_col: str, order: str, most: int) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Geometry of messy tables: sections, runs of width, continuation rows, promoted labels and column types.
+"""Geometry of messy tables: sections and runs of width.
 
 A grid is (file, row, cells): rows of string arrays in the order of their file.
 """
@@ -40,49 +40,3 @@ def width_runs(grid: DataFrame) -> DataFrame:
     new = (~F.col("width").eqNullSafe(F.lag("width").over(_rows()))).cast("int")
     g = g.withColumn("_new", new).withColumn("run", F.sum("_new").over(_rows()))
     return g.groupBy("file", "run", "width").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("rows"))
-
-
-def coalesce_rows(grid: DataFrame) -> DataFrame:
-    """(file, record, row, cells): rows with an empty first cell are joined to the record above, cell by cell; carried
-    totals are dropped. Rows before the first record are dropped as well."""
-    first = F.trim(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
-    total = F.array_join("cells", " ").rlike("(?i)page total|brought forward|\\bb/f\\b|carried forward")
-    g = grid.where(~total).withColumn("record", F.sum((first != "").cast("int")).over(_rows())).where("record > 0")
-    long = g.select("file", "record", "row", F.posexplode("cells").alias("at", "cell"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim("cell") != "", F.struct("row", "cell")))), lambda x: x["cell"]), " ")
-    cells = long.groupBy("file", "record", "at").agg(text.alias("cell"), F.min("row").alias("row"))
-    return cells.groupBy("file", "record").agg(F.min("row").alias("row"), F.transform(F.array_sort(F.collect_list(F.struct("at", "cell"))), lambda x: x["cell"]).alias("cells"))
-
-
-def promoted(grid: DataFrame, most: int = 12) -> DataFrame:
-    """(file, row, label, value): `Label: value` cells whose label stands in two records or more of its file, the `most`
-    most common labels of each."""
-    pair = "^\\s*([A-Za-z][A-Za-z ./]{1,30})\\s*:\\s*(\\S.*)$"
-    c = grid.select("file", "row", F.explode("cells").alias("cell")).where(F.col("cell").rlike(pair))
-    c = c.select("file", "row", F.trim(F.regexp_extract("cell", pair, 1)).alias("label"), F.trim(F.regexp_extract("cell", pair, 2)).alias("value"))
-    n = c.groupBy("file", "label").agg(F.count_distinct("row").alias("n")).where("n >= 2")
-    best = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "label"))
-    return c.join(n.withColumn("_k", best).where(F.col("_k") <= most).select("file", "label"), ["file", "label"])
-
-
-#: Kinds of value by pattern, of which a column takes the purest.
-KINDS = {"datetime": "^[0-9]{1,4}[-/][0-9A-Za-z]{1,3}[-/][0-9]{1,4}[ T:][0-9:.]+$", "date": "^[0-9]{1,4}[-/][0-9A-Za-z]{1,3}[-/][0-9]{1,4}$", "time": "^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$", "phone": "^(\\+?91|0)?[6-9][0-9]{9}$", "imei": "^[0-9]{15,16}$", "ipv4": "^[0-9]{1,3}(\\.[0-9]{1,3}){3}$", "upi_id": "^[A-Za-z0-9._-]{2,}@[A-Za-z]{2,}$", "amount": "^-?[0-9,]+\\.[0-9]{1,2}$", "integer": "^[0-9]{1,9}$", "text": "[A-Za-z]{2}"}
-
-
-def column_types(values: DataFrame, least: float = 0.75, time_least: float = 0.60, samples: int = 4) -> DataFrame:
-    """(col, kind, purity, n): the kind that most values of a column have, if pure enough, else `unknown`; of equally
-    pure kinds the first in KINDS. values: col, value. Blank values don't count."""
-    v = values.select("col", F.trim("value").alias("v")).where(F.col("v") != "")
-    rates = v.groupBy("col").agg(F.count("*").alias("n"), *(F.avg(F.col("v").rlike(p).cast("int")).alias(k) for k, p in KINDS.items()))
-    best = F.reverse(F.array_sort(F.array(*(F.struct(F.col(k).alias("purity"), F.lit(-i).alias("place"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)))))[0]
-    out = rates.select("col", "n", best.alias("b"))
-    enough = (F.col("n") >= samples) & (F.col("b.purity") >= F.when(F.col("b.kind").isin("datetime", "date", "time"), time_least).otherwise(least))
-    return out.select("col", F.when(enough, F.col("b.kind")).otherwise("unknown").alias("kind"), F.round("b.purity", 4).alias("purity"), "n")
-
-
-def serial_columns(values: DataFrame) -> DataFrame:
-    """(col, serial): columns of mostly whole numbers whose distinct values fill 70 % of their range."""
-    x = F.when(F.trim("value").rlike("^[0-9]{1,9}$"), F.trim("value").cast("long"))
-    v = values.select("col", x.alias("x"))
-    s = v.groupBy("col").agg(F.avg(F.col("x").isNotNull().cast("int")).alias("p"), F.count_distinct("x").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return s.select("col", F.coalesce((F.col("p") >= 0.85) & (F.col("d") > 1) & (F.col("d") >= 0.7 * (F.col("hi") - F.col("lo") + 1)), F.lit(False)).alias("serial"))

@@ -263,3 +263,9 @@ def identities(above: DataFrame, text: DataFrame | None = None, labels: dict[str
         found.append(text.select("file", F.lit(field).alias("field"), value.alias("value")).where("value IS NOT NULL"))
     by_text = reduce(DataFrame.unionByName, found)
     return by_cell.unionByName(by_text.join(by_cell, ["file", "field"], "left_anti"))
+
+
+def identified(cells: DataFrame, whose: DataFrame, fields: list[str]) -> DataFrame:
+    """cells with a column for each of the fields of their file's identities (file, field, value); null where unknown."""
+    wide = whose.groupBy("file").pivot("field", fields).agg(F.first("value"))
+    return cells.join(wide, "file", "left")
