@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 
 from tracewell import queries
-from tracewell.operators import transfers
+from tracewell.operators import graph, transfers
 from tracewell.plans.adapter import EVENTS_SQL
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,28 @@ def test_adaptive_floor(spark):
     assert left(small, 10_000) == [(0, "INR"), (0.1, "BTC"), (3.0, "INR"), (4.0, "INR")]
     assert left(small, 2) == [(0, "INR"), (0.1, "BTC"), (2.0, "INR"), (3.0, "INR"), (4.0, "INR")]
     assert len(left(small, 0)) == 6 and left([(0.1, "BTC")], 10_000) == [(0.1, "BTC")]
+
+
+def test_chains_against_all_chains(spark):
+    """Random graphs with hubs and edges without time: the same entities as from listing every chain."""
+    import random
+
+    for seed in range(5):
+        r = random.Random(seed)
+        edges = {}
+        for _ in range(r.choice([8, 25, 60])):
+            a, b = r.choice([0, 0, r.randrange(9)]), r.choice([1, r.randrange(9)])
+            if a != b:
+                edges[a, b] = r.choice([None, r.randrange(6), r.randrange(6), r.randrange(6)])
+        span = 2
+        want = set()
+        for (a, b), t1 in edges.items():
+            for (b2, c), t2 in edges.items():
+                if b2 != b or c == a or t1 is not None and t2 is not None and t2 - t1 > span:
+                    continue
+                for (c2, d), t3 in edges.items():
+                    if c2 == c and d not in (a, b) and (t1 is None or t3 is None or t3 - t1 <= span):
+                        want |= {a, b, c, d}
+        rows = [(a, b, None if t is None else t * 3_600_000_000) for (a, b), t in edges.items()]
+        got = {x.entity_id for x in graph.layering(spark.createDataFrame(rows, "src long, dst long, t long"), span).collect()}
+        assert got == want

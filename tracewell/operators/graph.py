@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.adapter import micros
@@ -55,15 +55,57 @@ def circular_flow(edges: DataFrame, longest: int = 6) -> DataFrame:
     return c.select(F.explode("path").alias("entity_id"), F.size("path").alias("n")).groupBy("entity_id").agg(F.count("*").alias("cycles"), F.min("n").alias("shortest"))
 
 
+#: Edges kept of each node for chains: what remains after the chain's two other nodes are ruled out is still the best.
+KEPT = 3
+
+
+def _nearest(edges: DataFrame, node: str, other: str, best: Column) -> DataFrame:
+    """For each node the KEPT edges of greatest `best`, its other ends all different."""
+    rank = F.row_number().over(Window.partitionBy(node).orderBy(F.desc(best), other))
+    return edges.withColumn("_n", rank).where(F.col("_n") <= KEPT).drop("_n")
+
+
 def layering(edges: DataFrame, span_hours: int = 48) -> DataFrame:
-    """(entity_id) on a chain of three edges over four different nodes, no edge later than the span after the first."""
-    span = span_hours * 3_600_000_000
-    e = edges.select("src", "dst", "t")
-    a = e.select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.col("t").alias("t1"))
-    b = e.select(F.col("src").alias("n2"), F.col("dst").alias("n3"), F.col("t").alias("t2"))
-    c = e.select(F.col("src").alias("n3"), F.col("dst").alias("n4"), F.col("t").alias("t3"))
-    chain = a.join(b, "n2").where(f"n3 <> n1 AND coalesce(t2 - t1, 0) <= {span}").join(c, "n3").where(f"n4 <> n1 AND n4 <> n2 AND coalesce(t3 - t1, 0) <= {span}")
-    return chain.select(F.explode(F.array("n1", "n2", "n3", "n4")).alias("entity_id")).distinct()
+    """(entity_id) on a chain of three edges over four different nodes, no edge later than the span after the first; an
+    edge without a time is never too late.
+
+    Chains are not listed. Of the edges into a node only the latest few can matter to what lies behind it, of those out of
+    a node the earliest few, so joins stay linear in the edges, whatever the degree of a hub. edges: one for each ordered
+    pair of different nodes.
+    """
+    span, far = span_hours * 3_600_000_000, 1 << 61
+    e = edges.where("src <> dst").select("src", "dst", F.coalesce(F.col("t").cast("long"), F.lit(far)).alias("first"), F.coalesce(F.col("t").cast("long"), F.lit(-far)).alias("late"))
+    e = written(e, "dated")
+    into = _nearest(e.select(F.col("src").alias("n1"), F.col("dst").alias("n2"), F.col("first").alias("t1")), "n2", "n1", F.col("t1"))
+    out = _nearest(e.select(F.col("src").alias("n3"), F.col("dst").alias("n4"), F.col("late").alias("t3")), "n3", "n4", -F.col("t3"))
+    into, out = written(into, "into"), written(out, "out")
+    mid = e.select(F.col("src").alias("n2"), F.col("dst").alias("n3"), F.col("late").alias("t2"))
+    # The nodes in the middle: of at most KEPT edges on either side some pair fits, or none of all does.
+    both = mid.join(into, "n2").where(f"n1 <> n3 AND t2 - t1 <= {span}").join(out, "n3").where(f"n4 <> n1 AND n4 <> n2 AND t3 - t1 <= {span}")
+    inner = both.select(F.explode(F.array("n2", "n3")).alias("entity_id"))
+    # The first node: after its edge to n2, the two edges from there that are over earliest, whichever node it is.
+    ahead = mid.join(out, "n3").where("n4 <> n2").select("n2", F.col("n3").alias("a"), F.col("n4").alias("b"), (-F.greatest("t2", "t3")).alias("good"))
+    behind = mid.join(into, "n2").where(f"n1 <> n3 AND t2 - t1 <= {span}").select("n3", F.col("n1").alias("a"), F.col("n2").alias("b"), F.col("t1").alias("good"))
+    begin = _fitting(e.select(F.col("src").alias("x"), F.col("dst").alias("n2"), F.col("first").alias("t")), _spare(ahead, "n2"), "n2").where(f"-good - t <= {span}")
+    end = _fitting(e.select(F.col("dst").alias("x"), F.col("src").alias("n3"), F.col("late").alias("t")), _spare(behind, "n3"), "n3").where(f"t - good <= {span}")
+    return inner.unionByName(begin.select(F.col("x").alias("entity_id"))).unionByName(end.select(F.col("x").alias("entity_id"))).distinct()
+
+
+def _spare(ways: DataFrame, node: str) -> DataFrame:
+    """(node, a, b, good): for each node its best way over a and b, and the best ways that avoid the first one's a, and its
+    b: one of the three is the best for whoever may not be on it."""
+    rank = F.row_number().over(Window.partitionBy(node).orderBy(F.desc("good"), "a", "b"))
+    w = written(ways, "ways")
+    top = w.withColumn("_n", rank).where("_n = 1").drop("_n")
+    one = top.select(node, F.col("a").alias("_a"), F.col("b").alias("_b"))
+    met = w.join(one, node)
+    spare = [met.where(f"a <> {x} AND b <> {x}").withColumn("_n", rank).where("_n = 1").select(node, "a", "b", "good") for x in ("_a", "_b")]
+    return top.select(node, "a", "b", "good").unionByName(spare[0]).unionByName(spare[1])
+
+
+def _fitting(ends: DataFrame, ways: DataFrame, node: str) -> DataFrame:
+    """Ends of chains at each node with the ways from it that don't pass them."""
+    return ends.join(ways, node).where("a <> x AND b <> x")
 
 
 # ---------------------------------------------------------------- what a viewer asks for

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset, a local folder, but only for a local master: on a
+    cluster, executors could not see each other's."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
