@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars
-from tracewell.operators import anomaly, correlate, entities, features, ledger, reports, rules, search
+from tracewell.operators import anomaly, correlate, entities, features, ledger, normalise, reports, rules, search
 from tracewell.plans import exhibits
 from tracewell.plans.adapter import EVENTS_SQL, canonical_events
 from tracewell.queries import _FLAGS_SQL, _flags, _hits_sql, _transfers, query
@@ -260,3 +260,131 @@ def s11_identified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, _ = regions.grid_records(data, regions.header_rows(data, words))
     whose = regions.identities(books.where("sheet = 0").select("file", "row", "cells"))
     return regions.identified(cells, whose, ["account_holder", "account_no"]).groupBy("file", "account_holder", "account_no").agg(F.count_distinct("row").alias("records"))
+
+
+# ---------------------------------------------------------------- rows of each kind of source as events
+
+
+@query("""SELECT o_orderkey AS ref_no, o_orderdate AS ts_start, round(o_totalprice, 2) AS amount, CASE WHEN o_orderkey % 3 = 2 AND o_orderstatus <> 'F' THEN 'DEBIT' WHEN o_orderkey % 3 = 2 THEN 'CREDIT' WHEN o_orderkey % 3 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS direction,
+    'ACCOUNT_NO:501' || lpad(o_custkey::VARCHAR, 9, '0') AS own, CASE o_orderkey % 4 WHEN 0 THEN 'PHONE:+9198' || lpad(o_orderkey::VARCHAR, 8, '0') WHEN 1 THEN 'ACCOUNT_NO:1' || lpad(o_orderkey::VARCHAR, 11, '0') WHEN 2 THEN 'UPI_ID:shop.' || o_custkey || '@okbank' ELSE 'BENEFICIARY:Anna Maria Smith' END AS other,
+    CASE o_orderkey % 4 WHEN 3 THEN 'NEFT' ELSE 'UPI' END AS mode FROM orders""")
+def f20_bank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement rows as transactions: amounts in debit, credit or signed columns, the other side from the narration."""
+    k, id_ = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    sum_ = F.format_number(F.round("o_totalprice", 2), 2)
+    said = F.when(k % 4 == 0, F.concat(F.lit("UPI/98"), F.lpad(id_, 8, "0"), F.lit("@okbank/x"))).when(k % 4 == 1, F.concat(F.lit("UPI/1"), F.lpad(id_, 11, "0"), F.lit("@sbi/x"))).when(k % 4 == 2, F.concat(F.lit("UPI/shop."), F.col("o_custkey").cast("string"), F.lit("@okbank/x"))).otherwise("NEFT/Anna Maria Smith/ab")
+    rows = table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("when"), F.concat(F.lit("-:501"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("account_no"), said.alias("narration"),
+        F.when(k % 3 == 0, sum_).alias("debit"), F.when(k % 3 == 1, sum_).alias("credit"), F.when(k % 3 == 2, F.when(F.col("o_orderstatus") == "F", sum_).otherwise(F.concat(F.lit("-"), sum_))).alias("amount"), id_.alias("ref_no"),
+    )
+    name = lambda c: F.concat(F.col(f"{c}.id_type"), F.lit(":"), F.col(f"{c}.id_value"))
+    return normalise.bank(rows).select(F.col("ref_no").cast("long").alias("ref_no"), "ts_start", "amount", "direction", name("primary_id").alias("own"), name("counterparty_id").alias("other"), "mode")
+
+
+@query("""SELECT event_id, date_trunc('second', ts) AS ts_start, k AS duration, CASE event_id % 3 WHEN 0 THEN 'OUT' ELSE 'IN' END AS direction, '+9198' || lpad(user_id::VARCHAR, 8, '0') AS phone, '+9197' || lpad(k::VARCHAR, 8, '0') AS other, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS own_ids
+    FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM events WHERE event_type = 'click') x""")
+def f21_call_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call records as calls; a device is the caller's own only where the report is about the caller."""
+    e = table(spark, sf_dir, "events").where("event_type = 'click'").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1))
+    a = F.concat(F.lit("98"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    kind = F.when(F.col("event_id") % 3 == 0, "MOC").when(F.col("event_id") % 3 == 1, "SMS-T").otherwise("Roaming In")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), a.alias("a_party"), F.concat(F.col("k"), F.lit(".0")).alias("duration"), kind.alias("call_type"), F.concat(F.lit("35"), F.lpad("k", 13, "0")).alias("imei"), F.when(F.col("event_id") % 2 == 0, a).otherwise("9000000000").alias("target"), F.concat(F.lit("x_"), F.col("event_id").cast("string"), F.lit(".csv")).alias("source_file"), F.concat(F.lit("97"), F.lpad("k", 8, "0")).alias("b_party"))
+    kept = written(normalise.calls(rows), "calls")
+    return kept.select("ts_start", "duration", "direction", F.col("primary_id.id_value").alias("phone"), F.col("counterparty_id.id_value").alias("other"), F.size("own_ids").alias("own_ids")).join(_ids_of_calls(spark, sf_dir), ["ts_start", "phone", "other", "duration"]).select("event_id", "ts_start", "duration", "direction", "phone", "other", "own_ids")
+
+
+def _ids_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, ts_start, phone, other, duration) of the events that the call records stand for."""
+    e = table(spark, sf_dir, "events").where("event_type = 'click'").withColumn("duration", F.regexp_extract("props", "([0-9]+)", 1).cast("long"))
+    return e.select("event_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts_start"), F.concat(F.lit("+9198"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("phone"), F.concat(F.lit("+9197"), F.lpad(F.col("duration").cast("string"), 8, "0")).alias("other"), "duration")
+
+
+def _session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as session records: a third name their subscriber, the others share an address block with one that does."""
+    e = table(spark, sf_dir, "events").where("event_type = 'view'")
+    u = F.col("user_id")
+    v6 = F.concat(F.lit("2401:4900:"), F.lower(F.hex(F.floor(u / 10))), F.lit(":0:0:0:0:"), F.lower(F.hex(F.col("event_id") % 65536)))
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("98"), F.lpad(u.cast("string"), 8, "0"))).alias("subscriber"), v6.alias("public_ip"))
+
+
+@query("""WITH v AS (SELECT event_id, date_trunc('second', ts) AS ts, user_id // 10 AS block, CASE WHEN event_id % 3 = 0 THEN '+9198' || lpad(user_id::VARCHAR, 8, '0') END AS phone FROM events WHERE event_type = 'view'),
+    f AS (SELECT block, phone FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY ts, phone) AS n FROM v WHERE phone IS NOT NULL) x WHERE n = 1)
+    SELECT coalesce(v.phone, f.phone) AS phone, v.phone IS NULL AND f.phone IS NOT NULL AS upgraded, count(*) AS sessions FROM v LEFT JOIN f USING (block) GROUP BY 1, 2""")
+def j13_prefix_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions without a subscriber take that of the first session in the same block of addresses."""
+    s = normalise.prefix_phones(normalise.sessions(_session_rows(spark, sf_dir)))
+    return s.groupBy("phone", "upgraded").agg(F.count("*").alias("sessions"))
+
+
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'PHONE' ELSE 'IP' END AS kind, count(*) AS sessions, count(DISTINCT CASE WHEN event_id % 3 = 0 THEN user_id::VARCHAR ELSE (user_id // 10) || ':' || event_id % 65536 END) AS ids, min(date_trunc('second', ts)) AS first FROM events WHERE event_type = 'view' GROUP BY 1""")
+def f22_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session records as sessions of a phone, else of an address."""
+    s = normalise.sessions(_session_rows(spark, sf_dir))
+    return s.groupBy(F.col("primary_id.id_type").alias("kind")).agg(F.count("*").alias("sessions"), F.count_distinct("primary_id.id_value").alias("ids"), F.min("ts_start").alias("first"))
+
+
+@query("""SELECT CASE WHEN event_id % 5 = 0 THEN 'timestamp but no identifier' END AS reason, CASE WHEN event_id % 2 = 0 THEN 'CRYPTO:USDT' ELSE 'CRYPTO:CRYPTO' END AS asset, count(*) AS rows, round(sum(CASE WHEN event_id % 2 = 0 THEN round(round(value, 2) * 83.5, 2) END), 1) AS value_inr, min(date_trunc('second', ts)) + to_minutes(330) AS first
+    FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""")
+def f23_crypto_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows in UTC as debits, valued where their token has a rate; rows with one end only are no transfers."""
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("from_addr"), F.when(F.col("event_id") % 5 > 0, "Tx").alias("to_addr"), F.format_string("%.2f", F.round("value", 2)).alias("amount"), F.when(F.col("event_id") % 2 == 0, "USDT").alias("token"), F.col("event_id").cast("string").alias("txn_hash"))
+    rates = spark.createDataFrame([("USDT", 83.5)], "token string, inr double")
+    return normalise.crypto(rows, rates).groupBy("reason", "asset").agg(F.count("*").alias("rows"), F.round(F.sum("value_inr"), 1).alias("value_inr"), F.min("ts_start").alias("first"))
+
+
+@query("""SELECT DISTINCT '50' || lpad(c_custkey::VARCHAR, 9, '0') AS account, '+91' || ph AS phone FROM (SELECT c_custkey, unnest(['98' || lpad(c_custkey::VARCHAR, 8, '0'), '70' || lpad((c_custkey // 7)::VARCHAR, 8, '0')]) AS ph FROM customer) x""")
+def j11_reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts and mobiles from a bank's reply, whose cells hold several of them between other words."""
+    c = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("A/C 50"), F.lpad(c.cast("string"), 9, "0"), F.lit(" (savings)")).alias("account"), F.concat(F.lit("+9198"), F.lpad(c.cast("string"), 8, "0"), F.lit(" / 070"), F.lpad(F.floor(c / 7).cast("string"), 8, "0"), F.lit(" mob")).alias("mobile"))
+    return normalise.reply_pairs(rows, "account", "mobile")
+
+
+@query("""SELECT 'sess_' || c_custkey || '_jan' AS col, '98' || lpad(c_custkey::VARCHAR, 8, '0') AS phone FROM customer WHERE c_custkey BETWEEN 100 AND 999""")
+def j10_stem_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a report that are named like session files take the phone of the file."""
+    c = table(spark, sf_dir, "customer").where("c_custkey BETWEEN 100 AND 999")
+    stems = c.select(F.concat(F.lit("Sess_"), F.col("c_custkey").cast("string")).alias("stem"), F.concat(F.lit("98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"))
+    cols = c.select(F.concat(F.lit("sess_"), F.col("c_custkey").cast("string"), F.lit("_jan")).alias("col"))
+    return normalise.stem_phones(cols, stems)
+
+
+@query("""SELECT '+91 98' || lpad((doc_id % 500)::VARCHAR, 8, '0') AS asked, doc_id, 'phones' AS kind FROM documents WHERE doc_id % 3 > 0""")
+def j17_find_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents name a number, asked for in another form than they write it in."""
+    number = F.concat(F.lit("98"), F.lpad((F.col("doc_id") % 500).cast("string"), 8, "0"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" call "), number, F.lit(". "))).otherwise("")).alias("text"), number.alias("n"))
+    found = d.select("doc_id", F.explode(scalars.mentions(F.col("text"))["phones"]).alias("value"), F.lit("phones").alias("kind"))
+    asked = d.where("doc_id % 3 > 0").select(F.concat(F.lit("+91 "), "n").alias("value")).distinct()
+    return normalise.find_mentions(found, asked)
+
+
+# ---------------------------------------------------------------- what readers are shown
+
+
+@query(f"""{_FLAGS_SQL}, en AS (SELECT b.*, coalesce(t.n, 0) AS txn_count, coalesce(t.n, 0) + coalesce(co.n, 0) AS event_count, round(coalesce(m.s, 0), 2) AS volume FROM banded b LEFT JOIN (SELECT entity_id, count(*) AS n FROM ev WHERE event_type = 'TRANSACTION' GROUP BY 1) t USING (entity_id)
+    LEFT JOIN co USING (entity_id) LEFT JOIN (SELECT entity_id, sum(amount) AS s FROM fl GROUP BY 1) m USING (entity_id))
+    SELECT entity_id, risk_score, band, txn_count, event_count, volume, (SELECT count(*) FROM en) AS total FROM en ORDER BY risk_score DESC, typologies_fired DESC, raw_weight DESC, entity_id LIMIT 25 OFFSET 25""")
+def p02_entities_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of entities by risk, with what moved and how much, and how many entities there are."""
+    f, flags = _flags(spark, sf_dir)
+    rows = reports.enriched(rules.score(f, flags), f)
+    got = reports.page(rows, [F.desc("risk_score"), F.desc("typologies_fired"), F.desc("raw_weight"), "entity_id"], 25, 25)
+    return got.select("entity_id", "risk_score", "band", "txn_count", "event_count", "volume", "total")
+
+
+@query(f"""{_FLAGS_SQL}, o AS (SELECT entity_id, list_sort(list_distinct(list(rule))) AS r FROM flags GROUP BY 1)
+    SELECT entity_id, 'Subject ' || entity_id || ' | Risk ' || printf('%.1f', risk_score) || ' (' || band || ') | Grounds: ' || replace(array_to_string(r[1:4], '; '), '_', ' ') || CASE WHEN len(r) > 4 THEN ' (+' || (len(r) - 4) || CASE len(r) WHEN 5 THEN ' further typology)' ELSE ' further typologies)' END ELSE '' END
+    || ' | ' || CASE band WHEN 'high' THEN 'put forward for filing, subject to confirmation' ELSE 'flagged for review' END AS line FROM banded JOIN o USING (entity_id) WHERE band IN ('high', 'medium')""")
+def p08_draft_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, flags = _flags(spark, sf_dir)
+    return reports.draft_lines(rules.score(f, flags), flags)
+
+
+@query("""WITH f AS (SELECT user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END AS kind, count(*) AS rows FROM events WHERE event_type <> 'error' GROUP BY 1, 2)
+    SELECT CASE kind WHEN 0 THEN 'CDR' WHEN 1 THEN 'BANK' END AS source, CASE kind WHEN 0 THEN 'calls' WHEN 1 THEN 'bank' END AS profile, count(*) AS files, sum(rows)::BIGINT AS rows, count(*) FILTER (kind > 0) AS manual FROM f GROUP BY 1, 2""")
+def a26_ingestion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = exhibits.exhibits(spark, sf_dir)
+    found = columns.detected(cells, columns.profile_table(spark, exhibits.PROFILES), by_value=False)
+    return reports.ingestion_metrics(found, cells.groupBy("file").agg(F.count_distinct("row").alias("rows")))

@@ -88,14 +88,19 @@ def _clock(time: Column) -> Column:
     return F.coalesce(F.when(h.between(0, 23) & m.between(0, 59) & s.between(0, 59), h * 3600 + m * 60 + s), F.lit(0))
 
 
-def _at(day: Column, time: Column) -> Column:
-    return (F.date_trunc("DAY", day).cast("timestamp_ntz") + F.make_dt_interval(secs=_clock(time).cast("decimal(18,6)"))).cast("timestamp_ntz")
+def _day(date: Column) -> Column:
+    """A date's text without quotes or a clock behind it."""
+    return F.regexp_replace(_unquoted(date), r"[\sT:]+[0-9]{1,2}:[0-9]{2}.*$", "")
+
+
+def _plus(at: Column, seconds: Column) -> Column:
+    return (at + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("timestamp_ntz")
 
 
 def date_time(date: Column, time: Column, source_tz: str = "Asia/Kolkata", zone: str = "Asia/Kolkata") -> Column:
     """A zone-free timestamp from a date and a time in columns of their own: HH:MM[:SS], hhmmss, hmmss, hhmm or hmm. A time
     that is none, or none at all, is midnight; without a date there is nothing."""
-    local = _at(timestamp(_unquoted(date)), time)
+    local = _plus(timestamp(_day(date)), _clock(time))
     return local if source_tz == zone else F.convert_timezone(F.lit(source_tz), F.lit(zone), local)
 
 
@@ -104,8 +109,7 @@ def event_time(datetime_col: Column, timestamp_start: Column, date_col: Column,
     is filled but can't be read gives null, not the next."""
     there = lambda c: F.coalesce(F.trim(c.cast("string")) != "", F.lit(False))
     full = F.when(there(datetime_col), datetime_col).when(there(timestamp_start), timestamp_start)
-    read = timestamp(F.coalesce(full, _unquoted(date_col)))
-    local = F.when(full.isNotNull(), read).otherwise(_at(read, time_col))
+    local = _plus(timestamp(F.coalesce(full, _day(date_col))), F.when(full.isNull(), _clock(time_col)).otherwise(0))
     return local if source_tz == zone else F.convert_timezone(F.lit(source_tz), F.lit(zone), local)
 
 

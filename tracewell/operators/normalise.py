@@ -46,7 +46,8 @@ def calls(rows: DataFrame) -> DataFrame:
     """rows: when, a_party, b_party, duration, call_type, imei, imsi, target, source_file. Devices belong to the caller
     only where it is the report's target, named by a column or by the file."""
     c = lambda n: _column(rows, n)
-    ts, a = _when(rows), scalars.phone(c("a_party"))
+    rows = rows.withColumns({"_ts": _when(rows), "_a": scalars.phone(c("a_party"))})  # read once
+    ts, a = F.col("_ts"), F.col("_a")
     seconds = F.floor(F.trim(c("duration")).try_cast("double")).cast("long")
     subject = F.coalesce(scalars.phone(c("target")), scalars.phone(scalars.number_in_name(c("source_file"))))
     own = lambda k, v: F.when(subject == a, ident(k, scalars.device_id(v)))
@@ -58,7 +59,8 @@ def sessions(rows: DataFrame) -> DataFrame:
     """rows: when, until, subscriber, public_ip, private_ip, imei, imsi, source_file, source_tz by column order of use:
     the subscriber, else the number in the file's name; the session is a phone's, else its public, else private address's."""
     c = lambda n: _column(rows, n)
-    ts = _when(rows)
+    rows = rows.withColumn("_ts", _when(rows))
+    ts = F.col("_ts")
     who = F.coalesce(scalars.phone(c("subscriber")), scalars.phone(scalars.number_in_name(c("source_file"))))
     pub, priv = scalars.clean_ip(c("public_ip")), scalars.clean_ip(c("private_ip"))
     first = F.coalesce(ident("PHONE", who), ident("IP", pub), ident("IP", priv))

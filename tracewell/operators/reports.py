@@ -73,6 +73,37 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
+def enriched(scores: DataFrame, features: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """scores with what a list of entities shows beside them: volume (all money in and out), txn_count and event_count (its
+    transactions and coincidences), and the label where labels (entity_id, label) are given."""
+    own = features.select("entity_id", F.coalesce("txn_count", F.lit(0)).alias("txn_count"), (F.coalesce("txn_count", F.lit(0)) + F.coalesce("strong", F.lit(0)) + F.coalesce("medium", F.lit(0))).alias("event_count"), F.round(F.coalesce("total_in", F.lit(0.0)) + F.coalesce("total_out", F.lit(0.0)), 2).alias("volume"))
+    out = scores.join(own, "entity_id", "left").fillna(0, ["txn_count", "event_count", "volume"])
+    return out.join(labels.select("entity_id", "label"), "entity_id", "left") if labels is not None else out
+
+
+#: Grounds that a draft names before it counts the rest, and subjects it is written for (the reference's own limits).
+GROUNDS, SUBJECTS = 4, 10
+
+
+def draft_lines(ranked: DataFrame, flags: DataFrame, most: int = GROUNDS) -> DataFrame:
+    """(entity_id, line): for entities of a high or medium band with a flag, what a report says of them: score, grounds by
+    name, and what is recommended, which for a medium band is no more than review. ranked: entity_id, risk_score, band."""
+    own = flags.groupBy("entity_id").agg(F.array_sort(F.collect_set("rule")).alias("r"))
+    n = F.size("r")
+    more = F.when(n > most, F.concat(F.lit(" (+"), (n - most).cast("string"), F.when(n - most == 1, " further typology)").otherwise(" further typologies)"))).otherwise("")
+    grounds = F.concat(F.array_join(F.transform(F.slice("r", 1, most), lambda x: F.replace(x, F.lit("_"), F.lit(" "))), "; "), more)
+    action = F.when(F.col("band") == "high", "put forward for filing, subject to confirmation").otherwise("flagged for review")
+    line = F.concat(F.lit("Subject "), F.col("entity_id").cast("string"), F.lit(" | Risk "), F.format_string("%.1f", "risk_score"), F.lit(" ("), F.col("band"), F.lit(") | Grounds: "), grounds, F.lit(" | "), action)
+    return ranked.where("band IN ('high', 'medium')").join(own, "entity_id").select("entity_id", line.alias("line"))
+
+
+def ingestion_metrics(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(source, profile, files, rows, manual): what was read, by source and profile, and how many files wait for an analyst;
+    source and profile are null for files that none claims. sizes: file, rows."""
+    g = found.join(sizes, "file", "left")
+    return g.groupBy("source", "profile").agg(F.count("*").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.when(F.col("needs_manual_mapping"), 1)).alias("manual"))
+
+
 def top_hits(hits: DataFrame, n: int) -> DataFrame:
     """The n coincidences of highest amount, then the earliest. A top-k report."""
     return hits.orderBy(F.desc("amount"), "txn_ts", "txn_id", "entity_id").limit(n)

@@ -536,7 +536,11 @@ def j14_similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.orderBy(F.desc("similarity"), "a", "b").limit(50)
 
 
-@query()
+@query(f"""{_FLAGS_SQL}, el(rule, eligible) AS (SELECT 'rapid_in_out', count(*) FROM (SELECT entity_id FROM fl WHERE direction = 'CREDIT' GROUP BY 1 HAVING sum(amount) > 0) UNION ALL SELECT 'mule_account', count(*) FROM fi WHERE fan_in >= 5
+    UNION ALL SELECT 'call_transfer_coincidence', count(*) FROM co UNION ALL SELECT 'comm_burst', count(*) FROM cb WHERE most > 0 UNION ALL SELECT 'dormant_activation', count(*) FROM (SELECT entity_id FROM ev WHERE event_type = 'TRANSACTION' AND entity_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'structuring', count(*) FROM (SELECT entity_id FROM fl WHERE direction = 'CREDIT' GROUP BY 1 HAVING sum(amount) >= 900000)), fd AS (SELECT rule, count(DISTINCT entity_id) AS fired FROM flags GROUP BY 1)
+    SELECT rule, rule <> 'comm_burst' AS enabled, eligible, coalesce(fired, 0) AS fired, CASE WHEN rule = 'comm_burst' THEN 'disabled' WHEN eligible = 0 THEN 'no eligible entity' WHEN coalesce(fired, 0) = 0 THEN 'eligible but never fired' ELSE '' END AS note
+    FROM el LEFT JOIN fd USING (rule)""")
 def a20_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, flags = _flags(spark, sf_dir)
     tests = {"rapid_in_out": F.col("total_in") > 0, "mule_account": F.col("fan_in") >= 5, "call_transfer_coincidence": (F.col("strong") > 0) | (F.col("medium") > 0), "comm_burst": F.col("max_calls_hour") > 0, "dormant_activation": F.col("txn_count") > 1, "structuring": F.col("total_in") >= 900_000}
