@@ -9,7 +9,7 @@ from tracewell.functions import scalars
 from tracewell.operators import anomaly, correlate, entities, features, ledger, normalise, reports, rules, search
 from tracewell.plans import exhibits
 from tracewell.plans.adapter import EVENTS_SQL, canonical_events
-from tracewell.queries import _FLAGS_SQL, _flags, _hits_sql, _transfers, query
+from tracewell.queries import _FLAGS_SQL, _IDS, _flags, _hits_sql, _transfers, query
 from tracewell.scratch import table, written
 from tracewell.sources import columns, delimited, grids, regions
 
@@ -388,3 +388,53 @@ def a26_ingestion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = exhibits.exhibits(spark, sf_dir)
     found = columns.detected(cells, columns.profile_table(spark, exhibits.PROFILES), by_value=False)
     return reports.ingestion_metrics(found, cells.groupBy("file").agg(F.count_distinct("row").alias("rows")))
+
+
+# ---------------------------------------------------------------- what is known of entities beside what merges them
+
+_WEAK = f"""{_IDS}, w AS (SELECT DISTINCT 'IP:10.' || regexp_extract(props, '([0-9]+)', 1) || '.0.' || (user_id % 7) AS identifier, 'PHONE:' || user_id AS m FROM events WHERE event_type = 'view'), weak AS (SELECT DISTINCT w.identifier, entity_id FROM w JOIN c ON c.identifier = w.m)"""
+
+
+def _weak_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_type = 'view'")
+    ip = F.concat(F.lit("IP:10."), F.regexp_extract("props", "([0-9]+)", 1), F.lit(".0."), (F.col("user_id") % 7).cast("string"))
+    return e.select(ip.alias("a"), F.concat(F.lit("PHONE:"), F.col("user_id").cast("string")).alias("b"))
+
+
+@query(f"WITH RECURSIVE {_WEAK} SELECT * FROM weak")
+def r01_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with every entity whose phone was online from them; they merge nobody."""
+    return entities.attached(_weak_edges(spark, sf_dir), entities.resolve(entities.identifier_edges(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_WEAK}, a AS (SELECT identifier, entity_id FROM c UNION ALL SELECT * FROM weak), h AS (SELECT 'PHONE:' || c_custkey AS identifier, c_name AS holder FROM customer WHERE c_custkey % 30 = 4),
+    n AS (SELECT entity_id, arg_min(holder, a.identifier) FILTER (holder IS NOT NULL) AS holder, min(split_part(a.identifier, ':', 2)) FILTER (a.identifier LIKE 'PHONE:%') AS phone, min(split_part(a.identifier, ':', 2)) FILTER (a.identifier LIKE 'IP:%') AS ip, min(split_part(a.identifier, ':', 2)) FILTER (a.identifier LIKE 'IMEI:%') AS device
+        FROM a LEFT JOIN h ON h.identifier = a.identifier GROUP BY 1)
+    SELECT entity_id, coalesce(holder, phone, ip, device) AS label FROM n""")
+def r02_holder_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by the name of a holder, else by a phone; every thirtieth phone has a name."""
+    resolved = written(entities.resolve(entities.identifier_edges(spark, sf_dir)), "resolved")
+    holders = table(spark, sf_dir, "customer").where("c_custkey % 30 = 4").select(F.concat(F.lit("PHONE:"), F.col("c_custkey").cast("string")).alias("identifier"), F.col("c_name").alias("holder"))
+    return entities.entity_labels(resolved, entities.attached(_weak_edges(spark, sf_dir), resolved), holders)
+
+
+@query("""SELECT c_custkey FROM customer WHERE contains(lower(c_name), '00077') OR c_mktsegment ILIKE '%build%' AND contains('{"segment":"' || lower(c_mktsegment) || '","nation":' || c_nationkey || '}', 'building","nation":7') ORDER BY c_custkey LIMIT 500""")
+def f27_workbench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader finds by a text in names or in any attribute; two searches put together."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("label"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).alias("attributes"))
+    found = search.workbench(c, "00077", order=["c_custkey"]).unionByName(search.workbench(c, 'Building","nation":7', order=["c_custkey"]))
+    return found.select("c_custkey").distinct().orderBy("c_custkey").limit(search.SHOWN)
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT 'evt_' || event_id AS id, '{{"type":"' || event_type || '","start":"' || strftime(ts_start, '%Y-%m-%dT%H:%M:%S') || '","end":"' || strftime(ts_end, '%Y-%m-%dT%H:%M:%S') || '","minute_of_day":' || (hour(ts_start) * 60 + minute(ts_start)) || ',"entity":"' || entity_id || '"'
+    || CASE WHEN cp IS NULL THEN '' ELSE ',"counterparty":"' || cp || '"' END || '}}' AS json FROM ev WHERE event_type <> 'TRANSACTION' AND entity_id IS NOT NULL""")
+def f29_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and sessions as JSON text (amounts are left to tests: engines write doubles in different ways)."""
+    return search.serialised(canonical_events(spark, sf_dir).where("event_type <> 'TRANSACTION' AND entity_id IS NOT NULL"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT event_id FROM ev WHERE hour(ts_start) * 60 + minute(ts_start) BETWEEN 600 AND 660 AND dayname(ts_start) = 'Monday' AND lower(asset) = 'inr' ORDER BY ts_start DESC, event_id LIMIT 200")
+def q03_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over fields that follow from time, and those that only some tables have."""
+    q = search.Search(filters=(search.Test("minute_of_day", "between", values=(600, 660)), search.Test("weekday", "eq", "monday"), search.Test("asset", "eq", "INR")), limit=200)
+    return search.run(canonical_events(spark, sf_dir), q).select("event_id")

@@ -27,6 +27,26 @@ def resolve(edges: DataFrame, cap: int = 50) -> DataFrame:
     return c.join(size, "component").select(F.col("node").alias("identifier"), F.col("component").alias("entity_id"), "size", (F.col("size") > cap).alias("oversized"))
 
 
+def attached(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(identifier, entity_id): identifiers that never merge entities, such as addresses, names and handles, with every
+    entity that has one of its own beside them in a record. edges: a, b."""
+    merges = lambda c: F.split(c, ":")[0].isin(*MERGE_KINDS)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weak = both.where(merges("a") & ~merges("b")).select(F.col("a").alias("identifier"), F.col("b").alias("weak")).distinct()
+    return weak.join(resolved.select("identifier", "entity_id"), "identifier").select(F.col("weak").alias("identifier"), "entity_id").distinct()
+
+
+def entity_labels(resolved: DataFrame, weak: DataFrame, holders: DataFrame) -> DataFrame:
+    """(entity_id, label): the holder's name, that of the smallest identifier that has one, else the smallest phone, account,
+    address or device. weak: attached(); holders: identifier, holder."""
+    all_ids = resolved.select("identifier", "entity_id").unionByName(weak)
+    named = all_ids.join(holders.where("trim(holder) <> ''"), "identifier", "left")
+    kind, value = F.split("identifier", ":")[0], F.expr("substring_index(identifier, ':', -1)")
+    least = [F.min(F.when(kind == k, value)) for k in ("PHONE", "ACCOUNT_NO", "IP", "IMEI")]
+    name = F.min(F.when(F.col("holder").isNotNull(), F.struct("identifier", "holder")))["holder"]
+    return named.groupBy("entity_id").agg(F.coalesce(name, *least).alias("label"))
+
+
 def entity_rows(resolved: DataFrame) -> DataFrame:
     """(entity_id, identifiers, kinds, label, oversized): one row per entity; its label is its smallest phone, else account,
     else device."""

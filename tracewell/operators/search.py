@@ -65,6 +65,18 @@ def fields() -> dict[str, Column]:
     return {"event_type": F.col("event_type"), "timestamp": F.date_format(t, "yyyy-MM-dd HH:mm:ss"), "hour_of_day": F.hour(t), "date": F.to_date(t).cast("string"), "amount": F.col("amount"), "direction": F.col("direction"), "duration": F.col("duration"), "entity_id": F.col("entity_id"), "counterparty": F.col("counterparty_entity_id"), "any_text": any_text("event_type", "direction", "entity_id", "counterparty_entity_id")}
 
 
+#: Fields of events that not every table has, and their columns.
+OPTIONAL = {"entity_label": "label", "phone": "phone", "location": "location", "cell_id": "cell_id", "imei": "imei", "imsi": "imsi", "ip": "public_ip", "narration": "narration", "asset": "asset", "ref_no": "ref_no", "source_file": "source_file", "balance": "balance"}
+
+
+def fields_of(events: DataFrame) -> dict[str, Column]:
+    """The searchable fields of these events; any_text then is all that a reader sees of them."""
+    more = {n: F.col(c) for n, c in OPTIONAL.items() if c in events.columns}
+    seen = [c for c in HAYSTACK if c in events.columns and c not in ("event_type", "direction")]
+    t = F.col("ts_start")
+    return fields() | more | {"minute_of_day": F.hour(t) * 60 + F.minute(t), "weekday": F.date_format(t, "EEEE"), "any_text": any_text("event_type", "direction", "entity_id", "counterparty_entity_id", *seen)}
+
+
 def predicate(c: Column, t: Test, numeric: bool) -> Column:
     """A null never matches; equality is of lower-cased text; order is of numbers where both are, else of text."""
     if t.op not in OPS:
@@ -89,7 +101,7 @@ def predicate(c: Column, t: Test, numeric: bool) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-_NUMERIC = {"hour_of_day", "amount", "duration", "entity_id", "counterparty", "count", "sum_amount", "avg_amount", "max_amount"}
+_NUMERIC = {"hour_of_day", "minute_of_day", "balance", "amount", "duration", "entity_id", "counterparty", "count", "sum_amount", "avg_amount", "max_amount"}
 
 
 def metrics() -> dict[str, Column]:
@@ -110,7 +122,7 @@ def run(events: DataFrame, q: Search) -> DataFrame:
     """Rows of a search: events by time, or groups by their aggregate, at most `limit` of them as the search states."""
     if not 1 <= q.limit <= 2000:
         raise ValueError("limit must be 1 to 2000")
-    known = fields()
+    known = fields_of(events)
     for name in [t.name for t in q.filters] + ([q.group_by] if q.group_by else []):
         if name not in known:
             raise ValueError(f"unknown field {name}")
@@ -186,3 +198,22 @@ def shaped_events(events: DataFrame, labels: DataFrame) -> DataFrame:
     """(type, when, entity, amount, direction): what is shown of events; when is ISO text, entity the label of its owner."""
     own = labels.select("entity_id", F.col("label").alias("entity"))
     return events.join(own, "entity_id", "left").select(F.col("event_type").alias("type"), F.date_format("ts_start", "yyyy-MM-dd'T'HH:mm:ss").alias("when"), "entity", "amount", "direction")
+
+
+#: Rows that a workbench shows at most (the reference's own limit).
+SHOWN = 500
+
+
+def workbench(rows: DataFrame, text: str, label: str = "label", attributes: str = "attributes", order: list | None = None, most: int = SHOWN) -> DataFrame:
+    """rows whose label or any of whose attributes (a struct or map) hold a text, in whatever case, `most` of them at most."""
+    want = F.lit(text.strip().lower())
+    hay = F.concat_ws(" ", F.lower(F.col(label).cast("string")), F.lower(F.to_json(attributes)))
+    return rows.where(F.contains(hay, want)).orderBy(*(order or rows.columns[:1])).limit(most)
+
+
+def serialised(events: DataFrame) -> DataFrame:
+    """(id, json): events as text for a reader: times in ISO form, the minute of the day, attributes without what is null."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    minute = F.hour("ts_start") * 60 + F.minute("ts_start")
+    body = F.struct(F.col("event_type").alias("type"), iso("ts_start").alias("start"), iso("ts_end").alias("end"), minute.alias("minute_of_day"), F.col("entity_id").cast("string").alias("entity"), F.col("counterparty_entity_id").cast("string").alias("counterparty"), "amount", "direction")
+    return events.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("id"), F.to_json(body).alias("json"))
