@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and Python. A batch also ends at Spark's own bound of rows.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Values of a hash by which rows are told apart before a join: the bound of a broadcast.
 PICKS = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -42,7 +42,7 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 def in_small_batches(df: DataFrame) -> DataFrame:
     """df, whose session from now on sends Python batches of BATCH_BYTES at most (or of one larger row): a task then
-    holds a few megabytes of texts at a time, however long they are. A smaller bound that is set already stays."""
+    holds a megabyte of texts at a time, however long they are. A smaller bound that is set already stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int("".join(filter(str.isdigit, conf.get(key)))) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))

@@ -400,8 +400,8 @@ def _plain(model: str, back: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 ids = v.encode([t or "" for t in part.column(1).to_pylist()])
                 cols = [part.column(0), _lists(ids)] + ([pa.array([v.decode(x) for x in ids], pa.string())] if back else [])
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "text"][: len(cols)])
@@ -426,7 +426,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     an empty result. Only texts of more than `chunk` signs are shuffled, by chunks.
     """
     small, giant = _split(docs, id_col, text_col, chunk)
-    out, long = small.mapInArrow(_plain(model, False), "doc_id long, ids array<int>"), _giants(giant, model, chunk, block)
+    out, long = small.mapInArrow(freeing(_plain(model, False)), "doc_id long, ids array<int>"), _giants(giant, model, chunk, block)
     return out if long is None else out.unionByName(long)
 
 
@@ -448,7 +448,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(doc_id, ids, text): decode(encode(docs)), with both in one pass for all but giant texts."""
     small, giant = _split(docs, id_col, text_col, chunk)
-    out, long = small.mapInArrow(_plain(model, True), "doc_id long, ids array<int>, text string"), _giants(giant, model, chunk, block)
+    out, long = small.mapInArrow(freeing(_plain(model, True)), "doc_id long, ids array<int>, text string"), _giants(giant, model, chunk, block)
     return out if long is None else out.unionByName(decode(long, model))
 
 
