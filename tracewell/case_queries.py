@@ -323,14 +323,14 @@ def f22_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.col("primary_id.id_type").alias("kind")).agg(F.count("*").alias("sessions"), F.count_distinct("primary_id.id_value").alias("ids"), F.min("ts_start").alias("first"))
 
 
-@query("""SELECT CASE WHEN event_id % 5 = 0 THEN 'timestamp but no identifier' END AS reason, CASE WHEN event_id % 2 = 0 THEN 'CRYPTO:USDT' ELSE 'CRYPTO:CRYPTO' END AS asset, count(*) AS rows, round(sum(CASE WHEN event_id % 2 = 0 THEN round(round(value, 2) * 83.5, 2) END), 1) AS value_inr, min(date_trunc('second', ts)) + to_minutes(330) AS first
+@query("""SELECT CASE WHEN event_id % 5 = 0 THEN 'timestamp but no identifier' END AS reason, CASE WHEN event_id % 2 = 0 THEN 'CRYPTO:USDT' ELSE 'CRYPTO:CRYPTO' END AS asset, count(*) AS rows, sum(CASE WHEN event_id % 2 = 0 THEN CAST(round(value, 2) AS DECIMAL(18, 2)) * 83 END)::DOUBLE AS value_inr, min(date_trunc('second', ts)) + to_minutes(330) AS first
     FROM events WHERE event_type = 'purchase' GROUP BY 1, 2""")
 def f23_crypto_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows in UTC as debits, valued where their token has a rate; rows with one end only are no transfers."""
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     rows = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("from_addr"), F.when(F.col("event_id") % 5 > 0, "Tx").alias("to_addr"), F.format_string("%.2f", F.round("value", 2)).alias("amount"), F.when(F.col("event_id") % 2 == 0, "USDT").alias("token"), F.col("event_id").cast("string").alias("txn_hash"))
-    rates = spark.createDataFrame([("USDT", 83.5)], "token string, inr double")
-    return normalise.crypto(rows, rates).groupBy("reason", "asset").agg(F.count("*").alias("rows"), F.round(F.sum("value_inr"), 1).alias("value_inr"), F.min("ts_start").alias("first"))
+    rates = spark.createDataFrame([("USDT", 83.0)], "token string, inr double")
+    return normalise.crypto(rows, rates).groupBy("reason", "asset").agg(F.count("*").alias("rows"), F.sum(F.col("value_inr").cast("decimal(18,2)")).cast("double").alias("value_inr"), F.min("ts_start").alias("first"))
 
 
 @query("""SELECT DISTINCT '50' || lpad(c_custkey::VARCHAR, 9, '0') AS account, '+91' || ph AS phone FROM (SELECT c_custkey, unnest(['98' || lpad(c_custkey::VARCHAR, 8, '0'), '70' || lpad((c_custkey // 7)::VARCHAR, 8, '0')]) AS ph FROM customer) x""")
