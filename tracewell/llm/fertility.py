@@ -73,10 +73,15 @@ def repeated_words(ids: np.ndarray, width: int = 3) -> int:
     if len(ids) <= width:
         return 0
     key = ids.astype(np.int64)[: len(ids) - width + 1]
+    size = int(ids.max()) + 1
     for i in range(1, width):
         nxt = ids[i : len(ids) - width + 1 + i]
-        _, key = np.unique(key * (int(ids.max()) + 1) + nxt, return_inverse=True)
-    again = np.bincount(key)[key] > 1
+        if size ** (i + 1) >= 1 << 62:  # else the windows so far are numbers of their own
+            _, key = np.unique(key, return_inverse=True)
+        key = key * size + nxt
+    order = np.sort(key)
+    twice = order[1:][order[1:] == order[:-1]]
+    again = np.isin(key, twice) if len(twice) else np.zeros(len(key), bool)
     hit = np.zeros(len(ids), bool)
     for i in range(width):
         hit[i : i + len(again)] |= again
@@ -100,7 +105,7 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each text its ids under each vocabulary."""
-        return [[np.array(self.sp.encode(t), np.int32), *(e.encode_to_numpy(t) for e in self.others)] for t in texts]
+        return [[np.array(x, np.int32) for x in (self.sp.encode(t), *(e.encode_ordinary(t) for e in self.others))] for t in texts]
 
 
 def _evenness(ids: np.ndarray) -> tuple[float, float]:
