@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracewell import case_queries, exhibit_queries, queries  # noqa: F401 all register
 from tracewell.functions import scalars
 from tracewell.operators import anomaly, components, correlate, entities, features, graph, ledger, reports, rules, search, transfers
-from tracewell.sources import delimited
+from tracewell.sources import delimited, store
 from tracewell.streaming import coincidences
 
 SF = "/root/testdata/sf0.001"
@@ -162,10 +162,41 @@ def test_delimited(spark, tmp_path):
     assert kept.count() == 3 and copies.count() == 1 and delimited.unsupported(found).count() == 1
     kinds = {os.path.basename(r.path): r.k for r in found.select("path", delimited.container(F.col("content")).alias("k")).collect()}
     assert kinds["c.bin"] == "pdf" and kinds["a.csv"] == "text"
-    delimited.save(spark.range(3).toDF("x"), str(tmp_path / "out"), "one")
-    delimited.save(spark.range(2).toDF("x"), str(tmp_path / "out"), "two")
-    delimited.save(spark.range(1).toDF("x"), str(tmp_path / "out"), "one")
-    assert {r.dataset: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("dataset").count().collect()} == {"one": 1, "two": 2}
+
+
+def test_store(spark, tmp_path):
+    """Data sets replaced one by one, columns added later, counts read back."""
+    path = str(tmp_path / "case")
+    three, one = spark.range(3).toDF("x"), spark.range(1).toDF("x")
+    store.save({"events": three, "entities": one}, path, "a")
+    store.save({"events": spark.range(2).select(F.col("id").alias("x"), F.lit("new").alias("later"))}, path, "b")
+    store.save({"events": one}, path, "a")
+    assert {(r.dataset, r.x, r.later) for r in store.read(spark, path, "events").collect()} == {("a", 0, None), ("b", 0, "new"), ("b", 1, "new")}
+    assert {r.table: r.rows for r in store.counts(spark, path, ["events", "entities", "hits"], "a").collect()} == {"events": 1, "entities": 1, "hits": 0}
+    assert store.read(spark, path, "events", "b").count() == 2
+
+
+def test_similar_labels_against_all_pairs(spark):
+    """Labels meet under pieces; none is lost of the pairs that comparing all with all finds."""
+    from difflib import SequenceMatcher
+
+    from tracewell.operators import similar
+
+    r = random.Random(2)
+    names = ["".join(r.choice("abcd ") for _ in range(r.randint(1, 22))).strip() for _ in range(60)]
+    names += [n[:k] + r.choice("abx") + n[k + r.randint(0, 1) :] for n in names for k in [r.randrange(len(n) + 1)]] + [names[0], names[1].upper()]
+    rows = [(i, n) for i, n in enumerate(names)] + [(999, None)]
+    first = {}
+    for i, n in rows:
+        if n is not None and len(n.strip()) >= 4:
+            first.setdefault(n.strip().lower(), i)
+    want = set()
+    for x, i in first.items():
+        for y, j in first.items():
+            if i < j and abs(len(x) - len(y)) <= 6 and round(SequenceMatcher(None, x, y).ratio(), 4) >= 0.88:
+                want.add((i, j))
+    got = {(p.a, p.b) for p in similar.similar_labels(spark.createDataFrame(rows, "id long, name string"), "id", "name").collect()}
+    assert got == want and len(want) > 20
 
 
 def test_profiles_and_flags(spark):

@@ -130,8 +130,3 @@ def unpivot_flags(rows: DataFrame, id_col: str) -> DataFrame:
     others = [c for c in rows.columns if c != id_col]
     long = rows.unpivot(id_col, others, "other", "cell")
     return long.where(F.lower(F.trim("cell")).isin("yes", "y", "1", "true")).select(F.col(id_col).alias("id"), "other").distinct()
-
-
-def save(df: DataFrame, path: str, dataset: str) -> None:
-    """One data set's rows put in the place of its former ones, others left alone."""
-    df.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
