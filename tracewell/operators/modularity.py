@@ -14,6 +14,8 @@ from tracewell.scratch import written
 #: Rounds of merging, of moving single nodes, and of both again.
 MERGES, MOVES, AGAIN = 60, 25, 4
 LEAST = 1e-12
+#: Gain of modularity under which a further round of moves, or of both, isn't worth its joins.
+WORTH = 1e-4
 
 
 def modularity(links: DataFrame, m: float) -> float:
@@ -126,8 +128,11 @@ def communities(edges: DataFrame) -> DataFrame:
                     break
             if not tried:
                 break
+            gained = tried[2] - after
             own, links, after = tried
-        if after <= q + LEAST:
+            if gained < WORTH:
+                break
+        if after <= q + WORTH:
             break
         q = after
     least = own.groupBy("c").agg(F.min("node").alias("community"))
