@@ -341,13 +341,12 @@ def j11_reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.reply_pairs(rows, "account", "mobile")
 
 
-@query("""SELECT 'sess_' || c_custkey || '_jan' AS col, '98' || lpad(c_custkey::VARCHAR, 8, '0') AS phone FROM customer WHERE c_custkey BETWEEN 100 AND 999""")
+@query("""SELECT lpad(c_custkey::VARCHAR, 7, '0') || '_sess_jan' AS col, '98' || lpad(c_custkey::VARCHAR, 8, '0') AS phone FROM customer""")
 def j10_stem_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of a report that are named like session files take the phone of the file."""
-    c = table(spark, sf_dir, "customer").where("c_custkey BETWEEN 100 AND 999")
-    stems = c.select(F.concat(F.lit("Sess_"), F.col("c_custkey").cast("string")).alias("stem"), F.concat(F.lit("98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"))
-    cols = c.select(F.concat(F.lit("sess_"), F.col("c_custkey").cast("string"), F.lit("_jan")).alias("col"))
-    return normalise.stem_phones(cols, stems)
+    c, n = table(spark, sf_dir, "customer"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    stems = c.select(F.concat(n, F.lit("_Sess")).alias("stem"), F.concat(F.lit("98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"))
+    return normalise.stem_phones(c.select(F.concat(n, F.lit("_sess_jan")).alias("col")), stems)
 
 
 @query("""SELECT '+91 98' || lpad((doc_id % 500)::VARCHAR, 8, '0') AS asked, doc_id, 'phones' AS kind FROM documents WHERE doc_id % 3 > 0""")
