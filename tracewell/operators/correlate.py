@@ -18,12 +18,13 @@ def participants(events: DataFrame, event_type: str) -> DataFrame:
 
 def nearest_call(txns: DataFrame, calls: DataFrame, minutes: int) -> DataFrame:
     """txns (eid, event_id, t, ..) with the call of the same eid nearest in time, within so many minutes; of two equally
-    near the earlier. One sort of both sides by (eid, time): no join, so a busy entity costs no pairs."""
+    near the earlier. Both sides are sorted by (eid, time), forth and back: no join, so a busy entity costs no pairs."""
     a = txns.withColumn("is_call", F.lit(0))
     b = calls.select("eid", F.col("t"), F.struct(F.col("t").alias("at"), F.col("event_id").alias("id"), F.col("ts_start").alias("ts"), F.col("other")).alias("call"), F.lit(1).alias("is_call"))
     both = a.unionByName(b, allowMissingColumns=True)
     before = Window.partitionBy("eid").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("eid").orderBy("t").rangeBetween(0, Window.unboundedFollowing)
+    # Backwards, so that this frame too grows row by row; one that ends unbounded is summed anew for every row.
+    after = Window.partitionBy("eid").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
     # Of calls at one time the first event counts on either side.
     first_at = Window.partitionBy("eid", "t").orderBy(F.col("call.id").asc_nulls_last())
     both = both.withColumn("here", F.when(F.row_number().over(first_at) == 1, F.col("call")))
