@@ -3,7 +3,10 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from tests.test_fusion import EVENT, event
+from tracewell import queries
 from tracewell.operators import correlate
 
 
@@ -25,3 +28,12 @@ def test_nearest_calls_of_a_busy_entity(spark):
             if abs(t - r[2]) <= dt.timedelta(minutes=10):
                 want[r[0]] = i
     assert {h.txn_id: h.call_id for h in hits.collect()} == want
+
+
+def test_orders_of_customer_zero_without_items(spark, tmp_path):
+    """An order that no item answers goes to 0, whoever placed it."""
+    t = F.lit("2024-01-01").cast("timestamp_ntz")
+    spark.range(2).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit(5.0).alias("o_totalprice"), t.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(0).select(F.col("id").alias("l_orderkey"), F.col("id").alias("l_suppkey"), F.col("id").alias("l_partkey"), F.lit(5.0).alias("l_extendedprice"), t.alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.j01_double_entry(spark, str(tmp_path)).collect()
+    assert sorted((r.from_entity, r.to_entity, r.ref) for r in got) == [(0, 0, 0), (1, 0, 1)]
