@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.test_fusion import EVENT, event
-from tracewell import queries
+from tracewell import case_queries, queries
 from tracewell.operators import correlate
 
 
@@ -37,3 +37,11 @@ def test_orders_of_customer_zero_without_items(spark, tmp_path):
     spark.range(0).select(F.col("id").alias("l_orderkey"), F.col("id").alias("l_suppkey"), F.col("id").alias("l_partkey"), F.lit(5.0).alias("l_extendedprice"), t.alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = queries.j01_double_entry(spark, str(tmp_path)).collect()
     assert sorted((r.from_entity, r.to_entity, r.ref) for r in got) == [(0, 0, 0), (1, 0, 1)]
+
+
+def test_words_that_hold_a_label_are_none(spark, tmp_path):
+    """A card number after a word with IMEI in it is no handset; a branch is bounded by what is no ASCII word."""
+    rows = [(0, "die Eimeinheit 4111 1111 1111 1111"), (1, "x"), (2, "\u00e4HDFC0123456"), (3, "IMEINo: 359788098237234")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.kind: r.mentions for r in case_queries.a25_mention_facets(spark, str(tmp_path)).collect()}
+    assert got == {"accounts": 1, "branches": 2, "handsets": 2}
