@@ -25,8 +25,8 @@ BITS, BLOCKS, ROUNDS = 128, 6, 16
 #: Fingerprints of one block that differ in MEET bits or fewer are candidates; in SURE or fewer they are linked as they
 #: are (a similarity of about 0.93), others only after their sets were compared.
 MEET, SURE = 36, 8
-#: A bucket beyond LARGE first gives up those that lie within SURE of another; one beyond BUCKET is dealt out anew.
-LARGE, BUCKET = 1 << 12, 1 << 15
+#: A bucket beyond BUCKET is dealt out anew; rows of a bucket that are held against the others at once.
+BUCKET, STEP = 1 << 15, 64
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -89,51 +89,54 @@ def dealt(fps: np.ndarray, before: np.ndarray, level: int) -> tuple[np.ndarray,
 def tree(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges (positions) of a minimum spanning forest of the fingerprints within `distance`: two that are close are
     joined by a path of edges none of which is longer than their own distance."""
-    near, source, out, x = np.full(len(fps), BITS + 1, np.uint8), np.zeros(len(fps), np.int64), [], 0
+    near, source, left, rest = np.full(len(fps), BITS + 1, np.uint8), np.zeros(len(fps), np.int64), np.arange(len(fps)), fps
+    out, at, done = [], 0, 0
     for _ in range(len(fps) - 1):
-        d = np.bitwise_count(fps ^ fps[x]).sum(1, dtype=np.uint8)
+        x = int(left[at])
+        d = np.bitwise_count(rest ^ fps[x]).sum(1, dtype=np.uint8)
         closer = (d < near) & (near < 255)
         near[closer], source[closer] = d[closer], x
-        near[x] = 255  # in the forest
-        x = int(near.argmin())
-        if near[x] <= distance:
-            out.append((int(source[x]), x))
-    return out
-
-
-def gathered(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges from leaders to those within `distance` of them, none of which is a leader."""
-    rest, out = np.arange(len(fps)), []
-    while len(rest):
-        x, rest = rest[0], rest[1:]
-        near = np.bitwise_count(fps[rest] ^ fps[x]).sum(1) <= distance
-        out += [(int(x), int(y)) for y in rest[near]]
-        rest = rest[~near]
+        near[at] = 255  # in the forest
+        done += 1
+        if 2 * done > len(near):
+            keep = near < 255
+            near, source, left, rest, done = near[keep], source[keep], left[keep], rest[keep], 0
+        at = int(near.argmin())
+        if near[at] <= distance:
+            out.append((int(source[at]), int(left[at])))
     return out
 
 
 def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
     """Candidate edges of one bucket."""
-    first = gathered(fps, SURE) if len(fps) > LARGE else []
-    stay = np.setdiff1d(np.arange(len(fps)), [y for _, y in first])
-    return first + [(int(stay[a]), int(stay[b])) for a, b in tree(fps[stay], MEET)]
+    return tree(fps, MEET)
+
+
+def bucket_pairs(fps: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
+    """All pairs (positions) of one bucket within MEET that are of different groups, for a few rows at a time."""
+    for at in range(0, len(fps), STEP):
+        d = np.bitwise_count(fps[at : at + STEP, None] ^ fps[None, at:]).sum(2, dtype=np.uint8)
+        x, y = np.nonzero((d <= MEET) & (group[at : at + STEP, None] != group[None, at:]))
+        yield np.stack([x, y], 1)[y > x] + at
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, b) come sorted by key. Gives candidates (src, dst, bits) and, for a bucket beyond the bound, its
-    rows again for the next level. Holds one bucket of bounded size."""
+    """Rows (key, a, b) or (key, a, b, c) come sorted by key. Gives candidates (src, dst, bits) and, for a bucket beyond
+    the bound, its rows again for the next level. Holds one bucket of bounded size. Where rows have a group c, the
+    candidates are all pairs of different groups."""
+    names = ["src", "dst", "bits", "key", "a", "b", "c"]
 
     def out(fps: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
         x, y = fps[edges[:, 0]], fps[edges[:, 1]]
         ends = np.sort(np.stack([nodes_of(x), nodes_of(y)], 1), axis=1)
         none = pa.nulls(len(edges), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int64)), none, none, none], ["src", "dst", "bits", "key", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int64)), none, none, none, none], names)
 
-    def again(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def again(key: np.ndarray, fps: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(key), pa.array(fps[:, 0].view(np.int64)), pa.array(fps[:, 1].view(np.int64))], ["src", "dst", "bits", "key", "a", "b"])
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(key), pa.array(fps[:, 0].view(np.int64)), pa.array(fps[:, 1].view(np.int64)), pa.array(group)], names)
 
-    def compared(key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compared(key: np.ndarray, fps: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[new, len(key)])
         of, edges = np.repeat(np.arange(len(new)), size), []
@@ -141,55 +144,66 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(1, 4):
             row = np.flatnonzero(small[s:] & (of[s:] == of[:-s]))
             near = np.bitwise_count(fps[row + s] ^ fps[row]).sum(1) <= MEET
+            if apart:
+                near &= group[row + s] != group[row]
             edges.append(np.stack([row[near], row[near] + s], 1))
         for k in np.flatnonzero((size > 4) & (size <= BUCKET)):
+            if apart:
+                own = slice(new[k], new[k] + size[k])
+                yield from (out(fps[own], e) for e in bucket_pairs(fps[own], group[own]) if len(e))
+                continue
             edges.append(np.array(bucket_links(fps[new[k] : new[k] + size[k]]), int).reshape(-1, 2) + new[k])
         yield out(fps, np.concatenate(edges))
         over = (size > BUCKET)[of]
         if over.any():
-            yield again(key[over], fps[over])
+            yield again(key[over], fps[over], group[over])
 
-    key, fps, heavy = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), None
+    key, fps, group, heavy, apart = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), None, False
     for batch in batches:
+        apart = batch.num_columns > 3
         k, a, b = (batch.column(i).to_numpy() for i in range(3))
         key, fps = np.r_[key, k], np.concatenate([fps, np.stack([a, b], 1).view(np.uint64)])
+        group = np.r_[group, batch.column(3).to_numpy() if apart else np.zeros(len(k), np.int64)]
         if heavy is not None:  # the rest of a bucket that is being passed on
             n = int(np.argmin(np.r_[key == heavy, False]))
             if n:
-                yield again(key[:n], fps[:n])
-                key, fps = key[n:], fps[n:]
+                yield again(key[:n], fps[:n], group[:n])
+                key, fps, group = key[n:], fps[n:], group[n:]
             heavy = heavy if not len(key) else None
         if not len(key):
             continue
         last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])  # the last bucket may go on
         if len(key) - last > BUCKET:
             heavy, last = key[-1], len(key)
-        yield from compared(key[:last], fps[:last])
-        key, fps = key[last:], fps[last:]
+        yield from compared(key[:last], fps[:last], group[:last])
+        key, fps, group = key[last:], fps[last:], group[last:]
     if len(key) > 1:
-        yield from compared(key, fps)
+        yield from compared(key, fps, group)
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(src, dst, bits): pairs of names of the fingerprints of `distinct` (a, b) that a bucket's spanning forest has.
+    """(src, dst, bits): pairs of names of the fingerprints of `distinct` (a, b) that a bucket's spanning forest has; where
+    it has a group c too, all pairs of one bucket within MEET that are of different groups.
 
     A bucket of more than BUCKET fingerprints is dealt out again by blocks of another order, up to four times.
     """
-    rows, out = distinct.select(F.lit(0).cast("long").alias("key"), "a", "b"), None
+    own = [c for c in ("a", "b", "c") if c in distinct.columns]
+    rows, out = distinct.select(F.lit(0).cast("long").alias("key"), *own), None
+    kind = "key long, " + ", ".join(f"{c} long" for c in own)
     for level in range(5):
 
         def deal(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 2048):
-                    before, x, y = (b.column(i).to_numpy()[at : at + 2048] for i in range(3))
-                    row, key = dealt(np.stack([x, y], 1).view(np.uint64), before, level)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x[row]), pa.array(y[row])], ["key", "a", "b"])
+                    before, *values = (b.column(i).to_numpy()[at : at + 2048] for i in range(b.num_columns))
+                    row, key = dealt(np.stack(values[:2], 1).view(np.uint64), before, level)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(v[row]) for v in values)], ["key", *own])
 
-        met = rows.mapInArrow(freeing(deal), "key long, a long, b long").repartition("key").sortWithinPartitions("key")
-        found = written(met.mapInArrow(freeing(_pairs), "src long, dst long, bits long, key long, a long, b long"), "links")
+        met = rows.mapInArrow(freeing(deal), kind).repartition("key").sortWithinPartitions("key")
+        found = written(met.mapInArrow(freeing(_pairs), "src long, dst long, bits long, key long, a long, b long, c long"), "links")
         got = found.where("src IS NOT NULL").select("src", "dst", "bits")
         out = got if out is None else out.unionByName(got)
-        rows = found.where("src IS NULL").select("key", "a", "b")
+        rows = found.where("src IS NULL").select("key", *own)
         if rows.isEmpty():
             return out.distinct()
     raise RuntimeError(f"buckets of over {BUCKET} fingerprints remain; the bound is too small")
@@ -245,8 +259,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = found.where(F.col("bits") > SURE).join(of("src"), "src", "left").join(of("dst"), "dst", "left")
     asked = written(asked.where(F.coalesce("_src", "src") != F.coalesce("_dst", "dst")).select("src", "dst"), "asked")
     if not asked.isEmpty():
-        more = _similar(docs, text_col, prints, asked, least)
-        groups = connected_components(groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+        joined = lambda more: connected_components(groups.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
+        groups = joined(_similar(docs, text_col, prints, asked, least))
+        # A forest has one path between two fingerprints. Where a link of it was refused, what it held together may still
+        # hold by others: of those fingerprints every pair that lies in different groups by now is asked for.
+        parted = asked.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(F.coalesce("_src", "src") != F.coalesce("_dst", "dst"))
+        parted = written(parted.select("src", "dst"), "parted")
+        if not parted.isEmpty():
+            whole = connected_components(found.select("src", "dst"))
+            torn = whole.join(parted.select(F.col("src").alias("node")), "node", "left_semi").select("component").distinct()
+            nodes = whole.join(torn, "component", "left_semi").select("node")
+            again = prints.select("node", "a", "b").distinct().join(nodes, "node", "left_semi").join(groups, "node", "left")
+            links = candidates(written(again.select("a", "b", F.coalesce("component", "node").alias("c")), "again"))
+            rest = written(links.select("src", "dst").join(asked, ["src", "dst"], "left_anti"), "rest")
+            if not rest.isEmpty():
+                groups = joined(_similar(docs, text_col, prints, rest, least))
     return prints.join(groups, "node", "left").select("id", "v", F.coalesce("component", "node").alias("component"))
 
 
