@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_fusion import EVENT, event
 from tracewell import case_queries, queries
 from tracewell.operators import correlate
+from tracewell.scratch import dealt
 
 
 def plan(df):
@@ -45,3 +46,11 @@ def test_words_that_hold_a_label_are_none(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.kind: r.mentions for r in case_queries.a25_mention_facets(spark, str(tmp_path)).collect()}
     assert got == {"accounts": 1, "branches": 2, "handsets": 2}
+
+
+def test_tasks_of_files_hold_a_bounded_number_of_rows(spark):
+    """A table ten times as large is dealt to ten times as many tasks, each file to one of them."""
+    rows = spark.range(10_000).select((F.col("id") % 500).alias("file"), "id")
+    met = dealt(rows, "file", most=500)
+    assert met.rdd.getNumPartitions() == 20 and met.count() == 10_000
+    assert met.select("file", F.spark_partition_id().alias("p")).distinct().count() == 500
