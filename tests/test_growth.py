@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_fusion import EVENT, event
 from tracewell import case_queries, queries
-from tracewell.operators import correlate
+from tracewell.operators import correlate, reports
 from tracewell.scratch import dealt
 
 
@@ -54,3 +54,12 @@ def test_tasks_of_files_hold_a_bounded_number_of_rows(spark):
     met = dealt(rows, "file", most=500)
     assert met.rdd.getNumPartitions() == 20 and met.count() == 10_000
     assert met.select("file", F.spark_partition_id().alias("p")).distinct().count() == 500
+
+
+def test_classes_are_found_once(spark, tmp_path):
+    """Each pattern stands once in the plan, behind a plain search, and finds what it finds by itself."""
+    texts = ["an AFFIDAVIT, charge\nsheet", "Charge-Sheet affable", "MCR", "xMCRx mcr", "નોટીસ ધરપકડ", None, "", "affıdavit"]
+    spark.createDataFrame([(9 * i + 8, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = case_queries.f38_document_classes(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == len(reports.CLASSES)
+    assert {r["class"]: r.documents for r in got.collect()} == {"affidavit": 1, "chargesheet": 1, "arrest_record": 2, "notice": 1, "unclassified": 4}

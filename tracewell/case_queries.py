@@ -141,7 +141,8 @@ def f38_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = ["Affidavit", "charge-sheet", "જામીન અરજી", "MCR", "પંચનામું", "બેંક એકાઉન્ટ નંબર", "નોટીસ", "નિવેદન યાદી"]
     more = F.coalesce(*(F.when(F.col("doc_id") % 9 == i, F.lit(f" {w}")) for i, w in enumerate(said)), F.lit(""))
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
-    return reports.document_classes(d).select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("documents"))
+    # No document is without a class; a plain explode would make sure of that first, by finding all of them again.
+    return reports.document_classes(d).select(F.explode_outer("classes").alias("class")).groupBy("class").agg(F.count("*").alias("documents"))
 
 
 _PAPERS = r"""pp AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' A/C No. : ' || (100000000 + doc_id) || ' ' WHEN 1 THEN ' HDFC0' || lpad(doc_id::VARCHAR, 6, '0') || ' ' WHEN 2 THEN ' IMEI: 359788/09/' || lpad(doc_id::VARCHAR, 6, '0') || '/4. ' ELSE '' END AS text, doc_id % 3 = 0 AS prose_only FROM documents)"""

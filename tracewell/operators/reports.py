@@ -48,10 +48,26 @@ CLASSES = {
 }
 
 
+#: Texts of which a paper must hold one to fit its class's pattern, looked for in small letters: a plain search, which spares
+#: most texts the pattern. None has an i, whose small letter depends on the locale.
+NEEDED = {
+    "affidavit": ["એફીડેવીટ", "એફિડેવિટ", "aff"],
+    "chargesheet": ["ચાર્જશીટ", "charge"],
+    "bail_application": ["જામીન અરજી"],
+    "arrest_record": ["mcr", "ધરપકડ", "અટક"],
+    "panchnama": ["પંચનામ"],
+    "bank_reply": ["બેંક એકાઉન્ટ નંબર"],
+    "notice": ["યાદી", "નોટીસ"],
+    "statement": ["જવાબ", "નિવેદન"],
+}
+
+
 def document_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with classes, an array: those whose pattern is found, or `unclassified`."""
-    found = F.array_compact(F.array(*(F.when(F.col(text_col).rlike(p), F.lit(k)) for k, p in CLASSES.items())))
-    return docs.withColumn("classes", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unclassified"))))
+    may = lambda k: reduce(lambda a, b: a | b, (F.contains("_low", F.lit(w)) for w in NEEDED[k]))
+    fits = [F.when(may(k), F.when(F.col(text_col).rlike(p), F.lit(k))) for k, p in CLASSES.items()]
+    found = docs.withColumn("_low", F.lower(text_col)).withColumn("classes", F.array_compact(F.array(*fits))).drop("_low")
+    return found.withColumn("classes", F.when(F.size("classes") > 0, F.col("classes")).otherwise(F.array(F.lit("unclassified"))))
 
 
 def mention_facets(docs: DataFrame, kinds: list[str]) -> DataFrame:
