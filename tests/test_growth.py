@@ -9,6 +9,7 @@ from tests.test_fusion import EVENT, event
 from tracewell import case_queries, queries
 from tracewell.operators import correlate, reports
 from tracewell.scratch import dealt
+from tracewell.sources import delimited
 
 
 def plan(df):
@@ -63,3 +64,11 @@ def test_classes_are_found_once(spark, tmp_path):
     got = case_queries.f38_document_classes(spark, str(tmp_path))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == len(reports.CLASSES)
     assert {r["class"]: r.documents for r in got.collect()} == {"affidavit": 1, "chargesheet": 1, "arrest_record": 2, "notice": 1, "unclassified": 4}
+
+
+def test_lines_are_cut_once(spark):
+    """The delimited lines of a file are cut by one projection, whose cells the later steps read."""
+    lines = spark.createDataFrame([("f", 0, "date,memo"), ("f", 1, 'x,"a, ""b"""'), ("f", 2, "y,z")], "file string, row int, line string")
+    got = delimited.cells(lines, ["date", "memo"])
+    assert "split(" not in plan(got)
+    assert sorted((r.row, r.header, r.value) for r in got.collect()) == [(0, "date", "x"), (0, "memo", 'a, "b"'), (1, "date", "y"), (1, "memo", "z")]

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.scratch import dealt
 from tracewell.sources import regions
 
 #: First bytes of file kinds.
@@ -69,14 +70,14 @@ def grid(lines: DataFrame) -> DataFrame:
     """(file, row, cells): lines cut at their file's delimiter, but not inside quotes; doubled quotes are one, blank lines
     are left out. Every line becomes a row, however many cells it has."""
     met = lines.where(F.trim("line") != "").join(delimiters(lines), "file")
-    cut = F.coalesce(*(F.when(F.col("delimiter") == d, F.split("line", f'[{d}](?=(?:[^"]*"[^"]*")*[^"]*$)', -1)) for d in DELIMITERS))
+    cut = F.coalesce(*(F.when(F.col("delimiter") == d, F.split("line", f'[{d}](?=(?:[^"]*+"[^"]*+")*+[^"]*+$)', -1)) for d in DELIMITERS))
     bare = F.transform(cut, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
     return met.select("file", "row", bare.alias("cells"))
 
 
 def cells(lines: DataFrame, aliases: list[str]) -> DataFrame:
     """(file, row, col, header, value): the records of all files below the header row of each, as cells in long form."""
-    g = grid(lines)
+    g = dealt(grid(lines), "file")  # cut once: each test of the cells below would cut the lines anew
     return regions.grid_records(g, regions.header_rows(g, aliases))[0]
 
 
