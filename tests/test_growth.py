@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tests.test_fusion import EVENT, event
 from tracewell import case_queries, queries
 from tracewell.operators import correlate, reports
 from tracewell.scratch import dealt
-from tracewell.sources import delimited
+from tracewell.sources import columns, delimited
 
 
 def plan(df):
@@ -57,6 +58,16 @@ def test_tasks_of_files_hold_a_bounded_number_of_rows(spark):
     assert met.select("file", F.spark_partition_id().alias("p")).distinct().count() == 500
 
 
+def test_values_that_are_no_numbers_are_not_read_as_such(spark):
+    """Reading a text as a number costs an exception where it is none, so only digits are read."""
+    v = spark.createDataFrame([("443",), ("UPI/1/PAY/a@okbank",), ("70000",), ("9999999999999",)], "v string")
+    k = columns.kinds(F.col("v"))
+    got = v.select("v", *(k[n].alias(n) for n in ("port", "duration", "bytes")))
+    read = re.findall(r"(THEN \()?try_cast\(v#\d+ as bigint\)", got._jdf.queryExecution().optimizedPlan().toString())
+    assert read and all(read)
+    assert [tuple(r)[1:] for r in got.collect()] == [(True, True, True), (False, False, False), (False, True, True), (False, False, False)]
+
+
 def test_classes_are_found_once(spark, tmp_path):
     """Each pattern stands once in the plan, behind a plain search, and finds what it finds by itself."""
     texts = ["an AFFIDAVIT, charge\nsheet", "Charge-Sheet affable", "MCR", "xMCRx mcr", "નોટીસ ધરપકડ", None, "", "affıdavit"]
