@@ -35,6 +35,8 @@ def _tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
             return at
         f = int(rng.choice(wide))
         cut = float(rng.uniform(low[f], high[f]))
+        if cut <= low[f]:  # between neighbouring numbers, such as sums added in another order, there is none
+            cut = float(high[f])
         left = rows[:, f] < cut
         nodes[at] = (f, cut, grow(rows[left], depth + 1), grow(rows[~left], depth + 1), 0.0)
         return at
