@@ -207,6 +207,30 @@ def test_tokens_are_the_libraries_own(spark):
         assert [x.tolist() for x in ids] == want
 
 
+def test_pieces_by_ranks_are_the_librarys(monkeypatch):
+    """Random strings of pieces and signs, known and unknown, have the library's ids without a call of the library, but for
+    those with spaces together; long words and texts without a space, too."""
+    import random
+
+    tokens = fertility.Tokens()
+    sp, called = tokens.sp, []
+    r = random.Random(6)
+    pieces = [sp.IdToPiece(i).replace("▁", " ") for i in range(3, sp.GetPieceSize()) if not sp.IsByte(i)]
+    sign = lambda: chr(r.choice([r.randrange(1, 0x300), r.randrange(0x300, 0xD800), r.randrange(0xE000, 0x20000)]))
+    texts = ["".join(r.choice([r.choice(pieces), r.choice(pieces), sign(), " ", "\n", "▁x"]) for _ in range(r.randrange(60))) for _ in range(4000)]
+    texts += ["x" * 5000, "Wörter\n" * 3000, "漢字かな" * 2000, "<s> a<|none|>b </s>", "a ", "\x00 \uffff", "\U0001f600 \U0001f601\u2581"]
+    want = [sp.encode(t) for t in texts]
+
+    class Library:
+        def encode(self, text):
+            called.append(text)
+            return sp.encode(text)
+
+    monkeypatch.setattr(tokens.merged, "sp", Library())
+    assert [x[0].tolist() for x in tokens.encode(texts)] == want
+    assert all(not t or "  " in f" {t}".replace("▁", " ") for t in called) and len(called) < len(texts)
+
+
 def test_rules_query_against_brute_force(spark):
     """Base columns of every row of the table, and that the bands decide: gibberish goes, the other texts stay."""
     import random

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.text import in_small_batches, word_blocks
+from tracewell.llm.vocab import NONE, MergedPieces
 from tracewell.scratch import written
 
 #: SentencePiece model with byte fallback, and two byte-level vocabularies as ranks.
@@ -101,11 +102,12 @@ class Tokens:
         for path in ranks:
             with open(path, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.others.append(tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=table, special_tokens={}))
+            self.others.append(tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=table, special_tokens={NONE: max(table.values()) + 1}))
+        self.merged = MergedPieces(self.sp)
 
     def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
         """For each text its ids under each vocabulary."""
-        return [[np.array(x, np.int32) for x in (self.sp.encode(t), *(e.encode_ordinary(t) for e in self.others))] for t in texts]
+        return [[self.merged.encode(t), *(e.encode_to_numpy(t, disallowed_special=()) for e in self.others)] for t in texts]
 
 
 def _evenness(ids: np.ndarray) -> tuple[float, float]:

@@ -84,6 +84,66 @@ class Pieces(Vocabulary):
         return [np.array(x, np.uint32) for x in self.sp.encode(texts, num_threads=1)]
 
 
+#: A special token that stands for nothing: without any, tiktoken looks for the empty one at every sign.
+NONE = "<|none|>"
+
+
+class MergedPieces:
+    """The ids of a SentencePiece BPE model by tiktoken, in about half the time.
+
+    Both join, of all neighbours that make a piece, those of the best score, the first of equals. tiktoken joins bytes,
+    so signs come first: each is put together from its bytes, and what is left of one that is no piece becomes byte
+    pieces. No piece holds a space after another sign, so words can be cut apart beforehand. Pieces of spaces alone have
+    one score, which ranks can't tell: texts with two spaces together (or one at the front, where the model adds its own)
+    are left to the library, and so are all if the model is of another kind.
+    """
+
+    def __init__(self, sp) -> None:
+        self.sp, self.encoding = sp, None
+        ids = [i for i in range(sp.GetPieceSize()) if not (sp.IsByte(i) or sp.IsControl(i) or sp.IsUnknown(i))]
+        pieces = {i: sp.IdToPiece(i) for i in ids}
+        of_byte = {int(sp.IdToPiece(i)[3:5], 16): i for i in range(sp.GetPieceSize()) if sp.IsByte(i)}
+        joined = sorted((i for i in ids if len(pieces[i]) > 1 and pieces[i].strip("▁")), key=lambda i: -sp.GetScore(i))
+        if len(of_byte) < 256 or not self._known(sp) or any("▁" in pieces[i].lstrip("▁") for i in joined) or len({sp.GetScore(i) for i in joined}) < len(joined):
+            return
+        import tiktoken
+
+        signs = {pieces[i].replace("▁", " ").encode(): i for i in ids if len(pieces[i]) == 1}
+        # What each rank stands for: bytes, beginnings of signs and signs, then the joined pieces, best score first.
+        parts = {bytes([b]): [signs.get(bytes([b]), of_byte[b])] for b in range(256)}
+        for c in signs:
+            for k in range(2, len(c) + 1):
+                parts.setdefault(c[:k], [signs[c]] if k == len(c) else [of_byte[b] for b in c[:k]])
+        parts |= {pieces[i].replace("▁", " ").encode(): [i] for i in joined}
+        self.encoding = tiktoken.Encoding("pieces", pat_str=" ?[^ ]+| ", mergeable_ranks={b: n for n, b in enumerate(parts)}, special_tokens={NONE: len(parts)})
+        self.sizes = np.array([len(x) for x in parts.values()])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.array([i for x in parts.values() for i in x], np.int32)
+
+    @staticmethod
+    def _known(sp) -> bool:
+        """Whether the model merges pairs, has plain pieces only, and changes nothing in a text but its spaces."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2 as proto
+        except ImportError:
+            return False
+        model = proto.ModelProto.FromString(sp.serialized_model_proto())
+        kinds, t, n = proto.ModelProto.SentencePiece, model.trainer_spec, model.normalizer_spec
+        plain = {kinds.NORMAL, kinds.UNKNOWN, kinds.CONTROL, kinds.BYTE} >= {x.type for x in model.pieces}
+        as_is = n.add_dummy_prefix and n.escape_whitespaces and not (n.precompiled_charsmap or n.remove_extra_whitespaces)
+        return plain and as_is and t.model_type == t.BPE and t.byte_fallback and not t.treat_whitespace_as_suffix
+
+    def encode(self, text: str) -> np.ndarray:
+        spaced = f" {text}".replace("▁", " ")
+        if not self.encoding or not text or "  " in spaced:
+            return np.array(self.sp.encode(text), np.int32)
+        ranks = self.encoding.encode_to_numpy(spaced, disallowed_special=())
+        n = self.sizes[ranks]
+        if len(ranks) == n.sum():
+            return self.flat[self.starts[ranks]]
+        return self.flat[np.repeat(self.starts[ranks] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 @lru_cache(maxsize=4)
 def byte_level(path: str = BYTE_BPE, special: bool = False) -> ByteLevel:
     return ByteLevel(path, special)
