@@ -114,6 +114,25 @@ def test_communities_are_as_good_as_greedy_merging(spark, edges):
         assert len(set(got.values())) == 4
 
 
+def test_rounds_of_communities_write_little(spark, monkeypatch):
+    """A round of moves writes its moves and the groups after them, once, and both ways to apply them are weighed in one
+    job; links are written by merges and once after the moves."""
+    rng = random.Random(9)
+    pairs = {(a, b) for a in range(60) for b in rng.sample(range(60), 3) if a < b}
+    labels, plain = [], modularity.written
+    monkeypatch.setattr(modularity, "written", lambda df, label: labels.append(label) or plain(df, label))
+    got = {x.node: x.community for x in modularity.communities(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
+    n = {x: labels.count(x) for x in labels}
+    assert n["moves"] > 1 and n["own"] <= 1 + n["best"] + n["moves"] and n["links"] <= 2 * n["wide"] + modularity.AGAIN
+
+    rows = [(got[a], got[b], 0, 1, 1.0) for a, b in pairs]
+    links = spark.createDataFrame(rows, "a long, b long, x long, y long, w double")
+    ends = {c: sum((a == c) + (b == c) for a, b, *_ in rows) for c in set(got.values())}
+    want = sum(a == b for a, b, *_ in rows) / len(rows) - sum((k / (2 * len(rows))) ** 2 for k in ends.values())
+    found = modularity.modularities(links, float(len(rows)), ("a", "b"), ("x", "y"))
+    assert abs(found[0] - want) < 1e-9 and abs(found[1] + 0.5) < 1e-9
+
+
 def test_communities_of_nothing(spark):
     assert modularity.communities(spark.createDataFrame([], "src long, dst long")).count() == 0
 

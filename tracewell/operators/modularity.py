@@ -18,11 +18,22 @@ LEAST = 1e-12
 WORTH = 1e-4
 
 
+def modularities(links: DataFrame, m: float, *pairs: tuple[str, str]) -> list[float]:
+    """links: w of each undirected edge once and, for each way to group it, the columns of its two groups, alike inside
+    one. One job finds the modularity of every way."""
+    ends = []
+    for i, (a, b) in enumerate(pairs):
+        own = F.when(F.col(a) == F.col(b), F.col("w")).otherwise(0.0)
+        ends += [F.struct(F.lit(i).alias("way"), F.col(a).alias("c"), own.alias("inside")), F.struct(F.lit(i).alias("way"), F.col(b).alias("c"), F.lit(0.0).alias("inside"))]
+    of = links.select(F.explode(F.array(*ends)).alias("x"), "w").groupBy("x.way", "x.c").agg(F.sum("w").alias("k"), F.sum("x.inside").alias("inside"))
+    rows = of.groupBy("way").agg(F.sum("inside").alias("inside"), F.sum((F.col("k") / (2 * m)) ** 2).alias("chance")).collect()  # one row per way
+    got = {x.way: x.inside / m - x.chance for x in rows}
+    return [got.get(i, 0.0) for i in range(len(pairs))]
+
+
 def modularity(links: DataFrame, m: float) -> float:
     """links: (a, b, w) between groups, a = b inside one, each undirected edge once."""
-    inside = F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0))
-    ends = links.select(F.col("a").alias("c"), "w").unionByName(links.select(F.col("b").alias("c"), "w")).groupBy("c").agg(F.sum("w").alias("k"))
-    return (links.agg(inside).first()[0] or 0.0) / m - (ends.agg(F.sum((F.col("k") / (2 * m)) ** 2)).first()[0] or 0.0)
+    return modularities(links, m, ("a", "b"))[0]
 
 
 def _degrees(links: DataFrame) -> DataFrame:
@@ -47,43 +58,48 @@ def _best_merges(links: DataFrame, m: float) -> DataFrame:
     return sides.groupBy("c").agg(F.max(F.struct("r", "to")).alias("x")).select("c", "x.to", F.col("x.r.gain").alias("gain"))
 
 
+def _joining(best: DataFrame) -> DataFrame:
+    """(c, to, mutual): the groups c that become the group to, by whom each (c, to, gain) would best merge with.
+
+    Pairs that choose each other gain what they hope for: these are mutual. Those that choose a member of such a pair join
+    it too, if all of it together gains more: so a hub takes up its neighbours in one round. Of any choices the greatest
+    gain is mutual, so there is a row where there is a choice."""
+    of = lambda c, to: best.select(F.col("c").alias(c), F.col("to").alias(to))
+    chain = of("c", "_1").join(of("_1", "_2"), "_1", "left").join(of("_2", "_3"), "_2", "left").where("_3 = _1")
+    return chain.select("c", F.least("_1", "_2").alias("to"), (F.col("_2") == F.col("c")).alias("mutual")).where("c <> to")
+
+
 def _merged(links: DataFrame, own: DataFrame, m: float) -> tuple[DataFrame, DataFrame, float]:
     """links and own (node, c) after groups were merged as long as that gains."""
     q = modularity(links, m)
     for _ in range(MERGES):
-        best = written(_best_merges(links, m), "best")
-        if best.isEmpty():
+        wide = written(_joining(written(_best_merges(links, m), "best")), "wide")
+        n_wide, n_mutual = wide.agg(F.count("*"), F.count_if("mutual")).first()
+        if not n_wide:
             break
-        back = best.select(F.col("c").alias("to"), F.col("to").alias("_back"))
-        pairs = best.join(back, "to", "left")
-        # Pairs that choose each other gain what they hope for. Those that choose a member of such a pair join it too, if
-        # all of it together gains more: so a hub takes up its neighbours in one round.
-        mutual = written(pairs.where("_back = c AND c > to").select("c", "to"), "mutual")
-        heads = mutual.select(F.col("c").alias("to"), F.col("to").alias("head")).unionByName(mutual.select("to", F.col("to").alias("head")))
-        wide = written(best.join(heads, "to").where("c <> head").select("c", F.col("head").alias("to")), "wide")
+        mutual = wide.where("mutual")
         tried = written(_renamed(links, wide), "links")
-        after = modularity(tried, m)
-        into = wide
-        narrow = written(_renamed(links, mutual), "links")
-        q_narrow = modularity(narrow, m)
-        if q_narrow >= after and mutual.count() * 8 >= wide.count():
-            into, tried, after = mutual, narrow, q_narrow
-        elif after <= q:
-            into, tried, after = mutual, narrow, q_narrow
+        after, into = modularity(tried, m), wide
+        # What the pairs alone would give is only sought where it may decide.
+        if n_mutual < n_wide and (after <= q or n_mutual * 8 >= n_wide):
+            narrow = written(_renamed(links, mutual), "links")
+            q_narrow = modularity(narrow, m)
+            if after <= q or q_narrow >= after:
+                into, tried, after = mutual, narrow, q_narrow
         links, q = tried, after
-        own = written(own.join(into, "c", "left").select("node", F.coalesce("to", "c").alias("c")), "own")
+        own = written(own.join(into.select("c", "to"), "c", "left").select("node", F.coalesce("to", "c").alias("c")), "own")
     return links, own, q
 
 
-def _moves(edges: DataFrame, own: DataFrame, m: float) -> DataFrame:
-    """(node, c, to, gain): the group to which each node would best move, where that gains. edges: both ways."""
-    k = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+def _moves(edges: DataFrame, k: DataFrame, own: DataFrame, m: float) -> DataFrame:
+    """(node, c, to, gain): the group to which each node would best move, where that gains. edges: both ways; k: (node, k)
+    of their degrees."""
     at = own.join(k, "node")
     size = at.groupBy("c").agg(F.sum("k").alias("size"))
     to = edges.join(own.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
     g = to.join(at, "node").join(size.select(F.col("c").alias("to"), F.col("size").alias("size_to")), "to").join(size, "c")
-    inside = g.groupBy("node").agg(F.max(F.when(F.col("to") == F.col("c"), F.col("w"))).alias("w_own"))
-    g = g.where("to <> c").join(inside, "node")
+    inside = F.max(F.when(F.col("to") == F.col("c"), F.col("w"))).over(Window.partitionBy("node"))
+    g = g.withColumn("w_own", inside).where("to <> c")
     gain: Column = (F.col("w") - F.coalesce("w_own", F.lit(0.0))) / m - F.col("k") * (F.col("size_to") - F.col("size") + F.col("k")) / (2 * m * m)
     g = g.withColumn("gain", gain).where(F.col("gain") > LEAST)
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "to"))
@@ -91,7 +107,11 @@ def _moves(edges: DataFrame, own: DataFrame, m: float) -> DataFrame:
 
 
 def _applied(own: DataFrame, moves: DataFrame) -> DataFrame:
-    return own.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "c").alias("c"))
+    """(node, every, some): each node's group after all moves, and after those alone that are first in both their groups."""
+    one = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("gain"), "node"))
+    sides = moves.select("node", "to", "gain", F.explode(F.array("c", "to")).alias("g")).withColumn("_n", one)
+    alone = sides.groupBy("node", "to").agg((F.max("_n") == 1).alias("alone"))
+    return own.join(alone, "node", "left").select("node", F.coalesce("to", "c").alias("every"), F.when(F.col("alone"), F.col("to")).otherwise(F.col("c")).alias("some"))
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -106,32 +126,29 @@ def communities(edges: DataFrame) -> DataFrame:
     m = float(e.count())
     both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "both")
     own = written(both.select(F.col("a").alias("node")).distinct().withColumn("c", F.col("node")), "own")
+    k = written(_degrees(e).withColumnRenamed("c", "node"), "degrees")
     if not m:
         return own.withColumnRenamed("c", "community")
     links, q = e, -1.0
     for _ in range(AGAIN):
         links, own, after = _merged(links, own, m)
+        moved = False
         for _ in range(MOVES):
-            moves = written(_moves(both, own, m), "moves")
+            moves = written(_moves(both, k, own, m), "moves")
             if moves.isEmpty():
                 break
-            one = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("gain"), "node"))
-            sides = moves.select("node", "gain", F.col("c").alias("g")).unionByName(moves.select("node", "gain", F.col("to").alias("g")))
-            first = sides.withColumn("_n", one).groupBy("node").agg(F.max("_n").alias("_n")).where("_n = 1")
-            tried = None
-            for some in (moves, moves.join(first, "node", "left_semi")):
-                now = written(_applied(own, some), "own")
-                joined = written(_renamed(e, now.select(F.col("node").alias("c"), F.col("c").alias("to"))), "links")
-                reached = modularity(joined, m)
-                if reached > after + LEAST:
-                    tried = now, joined, reached
-                    break
-            if not tried:
+            now = written(_applied(own, moves), "own")
+            ends = [now.select(F.col("node").alias(x), *(F.col(y).alias(f"{x}_{y}") for y in ("every", "some"))) for x in ("a", "b")]
+            found = modularities(e.join(ends[0], "a").join(ends[1], "b"), m, ("a_every", "b_every"), ("a_some", "b_some"))
+            taken = [(y, x) for y, x in zip(("every", "some"), found, strict=True) if x > after + LEAST]
+            if not taken:
                 break
-            gained = tried[2] - after
-            own, links, after = tried
+            own, moved = now.select("node", F.col(taken[0][0]).alias("c")), True
+            gained, after = taken[0][1] - after, taken[0][1]
             if gained < WORTH:
                 break
+        if moved:
+            links = written(_renamed(e, own.select(F.col("node").alias("c"), F.col("c").alias("to"))), "links")
         if after <= q + WORTH:
             break
         q = after
